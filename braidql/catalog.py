@@ -1,0 +1,4 @@
+"""Registered queries, one for each operator, with the SQL they must equal."""
+
+QUERIES: dict = {}
+ORACLE: dict[str, str] = {}
