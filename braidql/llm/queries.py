@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import mixing, tokenbin
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,11 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = tokenbin.write_tokens(_table(spark, sf_dir, "documents"))
+    return tokenbin.read_tokens(manifest, full=False).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 MIX_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source,
@@ -58,6 +63,7 @@ JOIN walked w ON s.source IS NOT DISTINCT FROM w.source AND s.h = w.h
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_token_frames": op4_token_frames,
     "op9_mix_sources": op9_mix_sources,
 }
 
