@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, tokenbin
+from . import mixing, tokenbin, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +23,32 @@ def op4_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.read_tokens(manifest, full=False).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op6_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = warc.write_captures(_table(spark, sf_dir, "pages"))
+    captures = warc.assemble(warc.read_records(files, keep_block=False))
+    return captures.select(
+        "page_id",
+        "payload_bytes",
+        F.regexp_replace("payload_digest", "^sha256:", "").alias("payload_digest"),
+        "record_type",
+        F.col("original.page_id").alias("refers_to"),
+    )
+
+
+WARC_SQL = """
+WITH sized AS (
+  SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
+), digests AS (
+  SELECT page_id, octet_length(payload) AS payload_bytes, sha256(payload) AS payload_digest FROM sized
+), firsts AS (
+  SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM digests
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id > first THEN first END AS refers_to
+FROM firsts
+"""
+
 MIX_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source,
@@ -64,9 +91,11 @@ JOIN walked w ON s.source IS NOT DISTINCT FROM w.source AND s.h = w.h
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_frames": op4_token_frames,
+    "op6_warc_transactions": op6_warc_transactions,
     "op9_mix_sources": op9_mix_sources,
 }
 
 ORACLE: dict[str, str] = {
+    "op6_warc_transactions": WARC_SQL,
     "op9_mix_sources": MIX_SQL,
 }
