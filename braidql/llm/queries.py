@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, tokenbin, warc
+from . import media, mixing, tokenbin, warc
+from .storage import materialize
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +19,40 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op1_media_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as the samples of a WAV file whose declared type is wrong for half of them."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    stored = materialize(
+        _table(spark, sf_dir, "documents").select(
+            "doc_id",
+            F.octet_length(text).cast("long").alias("n_bytes"),
+            F.when(F.crc32(text.cast("binary")) % 2 == 0, F.lit("audio/wav")).otherwise(F.lit("image/png")).alias("declared"),
+            media.wav_of(media.padded(text)).alias("media"),
+        ),
+        "media",
+    )
+    seen = stored.withColumn("report", media.sniff(F.col("media"), F.col("declared")))
+    body = F.substring(F.col("media"), F.col("report.body_offset").cast("int") + 1, F.col("report.body_length").cast("int"))
+    found = F.transform("report.embedded", lambda e: F.concat_ws(":", e["type"], e["offset"], e["length"]))
+    return seen.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length(body).cast("long").alias("payload_bytes"),
+        F.sha2(body, 256).alias("payload_sha256"),
+        F.crc32(F.substring(body, -64, 64)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.concat_ws(
+            ";",
+            F.concat(F.lit("type="), F.col("report.type")),
+            F.concat(F.lit("declared="), F.col("declared")),
+            F.concat(F.lit("corrected="), F.col("report.corrected").cast("string")),
+            F.concat(F.lit("length="), F.col("report.length").cast("string")),
+            F.concat(F.lit("embedded="), F.concat_ws(",", found)),
+        ).alias("feature"),
+    )
+
+
 def op4_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = tokenbin.write_tokens(_table(spark, sf_dir, "documents"))
     return tokenbin.read_tokens(manifest, full=False).select("doc_id", "start", "n_tokens", "ids_crc32")
@@ -90,6 +125,7 @@ JOIN walked w ON s.source IS NOT DISTINCT FROM w.source AND s.h = w.h
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_media_sniff": op1_media_sniff,
     "op4_token_frames": op4_token_frames,
     "op6_warc_transactions": op6_warc_transactions,
     "op9_mix_sources": op9_mix_sources,
