@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, mixing, tokenbin, warc
+from . import media, mixing, quality, tokenbin, warc
 from .storage import materialize
 
 
@@ -70,6 +70,18 @@ def op6_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_quality_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.fit_on_labels(docs, _table(spark, sf_dir, "labels"))
+    scored = quality.score(docs.select("doc_id", "text", "n_chars"), model, meta_cols=("n_chars",))
+    return scored.select(
+        "doc_id",
+        (quality.fold(F.col("doc_id"), 5) == 0).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"),
+    )
+
+
 WARC_SQL = """
 WITH sized AS (
   SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
@@ -129,6 +141,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_frames": op4_token_frames,
     "op6_warc_transactions": op6_warc_transactions,
     "op9_mix_sources": op9_mix_sources,
+    "op10_quality_machine": op10_quality_machine,
 }
 
 ORACLE: dict[str, str] = {
