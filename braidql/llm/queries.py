@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, mixing, quality, tokenbin, warc
+from . import decontaminate, media, mixing, quality, tokenbin, warc
 from .storage import materialize
 
 
@@ -70,6 +70,10 @@ def op6_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op10_quality_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = quality.fit_on_labels(docs, _table(spark, sf_dir, "labels"))
@@ -140,6 +144,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_sniff": op1_media_sniff,
     "op4_token_frames": op4_token_frames,
     "op6_warc_transactions": op6_warc_transactions,
+    "op8_decontaminate": op8_decontaminate,
     "op9_mix_sources": op9_mix_sources,
     "op10_quality_machine": op10_quality_machine,
 }
