@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, media, mixing, quality, tokenbin, warc
+from . import decontaminate, media, mixing, neardup, quality, tokenbin, warc
 from .storage import materialize
 
 
@@ -58,6 +58,10 @@ def op4_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.read_tokens(manifest, full=False).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op6_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = warc.write_captures(_table(spark, sf_dir, "pages"))
     captures = warc.assemble(warc.read_records(files, keep_block=False))
@@ -143,6 +147,7 @@ JOIN walked w ON s.source IS NOT DISTINCT FROM w.source AND s.h = w.h
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_sniff": op1_media_sniff,
     "op4_token_frames": op4_token_frames,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_warc_transactions": op6_warc_transactions,
     "op8_decontaminate": op8_decontaminate,
     "op9_mix_sources": op9_mix_sources,
