@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, media, mixing, neardup, quality, tokenbin, warc
+from . import decontaminate, lmscore, media, mixing, neardup, quality, tokenbin, warc
 from .storage import materialize
 
 
@@ -74,6 +74,10 @@ def op6_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -149,6 +153,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_frames": op4_token_frames,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_warc_transactions": op6_warc_transactions,
+    "op7_recurrent_lm": op7_recurrent_lm,
     "op8_decontaminate": op8_decontaminate,
     "op9_mix_sources": op9_mix_sources,
     "op10_quality_machine": op10_quality_machine,
