@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lmscore, media, mixing, neardup, quality, tokenbin, warc
+from . import decontaminate, html_layout, lmscore, media, mixing, neardup, quality, tokenbin, tokencount, warc
 from .storage import materialize
 
 
@@ -53,6 +53,23 @@ def op1_media_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = html_layout.render(F.col("html"))
+    pages = _table(spark, sf_dir, "pages").select("page_id", text.alias("text"))
+    return pages.select("page_id", "text", F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", "\n"))).alias("n_lines"))
+
+
+def op3_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three edits of each text: ten characters go at a quarter, three words come in the middle, a sentence is put for the last five characters."""
+    docs = _table(spark, sf_dir, "documents")
+    n = F.char_length(F.coalesce("text", F.lit("")))
+    kind = "array<struct<start:bigint,delete:bigint,insert:string>>"
+    edits = [(n / 4, 10, ""), (n / 2, 0, " one more thing"), (n - 5, 5, ". The end.")]
+    todo = F.array(*[F.struct(F.floor(at).cast("long").alias("start"), F.lit(cut).cast("long").alias("delete"), F.lit(new).alias("insert")) for at, cut, new in edits])
+    trees = tokencount.build_trees(docs.withColumn("edits", todo.cast(kind)), keep={"edits": kind})
+    return tokencount.edit_trees(trees, full=False).select("doc_id", "n_before", "n_tokens", "n_edits", "text_bytes", "encoded_bytes")
+
+
 def op4_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = tokenbin.write_tokens(_table(spark, sf_dir, "documents"))
     return tokenbin.read_tokens(manifest, full=False).select("doc_id", "start", "n_tokens", "ids_crc32")
@@ -150,6 +167,8 @@ JOIN walked w ON s.source IS NOT DISTINCT FROM w.source AND s.h = w.h
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_sniff": op1_media_sniff,
+    "op2_html_layout": op2_html_layout,
+    "op3_edit_counts": op3_edit_counts,
     "op4_token_frames": op4_token_frames,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_warc_transactions": op6_warc_transactions,
