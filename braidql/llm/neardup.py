@@ -197,7 +197,7 @@ def _units(texts: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """(unit, tid, side, tree): what a task compares."""
     sizes = texts.select(F.col("tid").alias("node"), "n")
     sized = roots.join(sizes, "node")
-    groups = sized.groupBy("root").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("shingles"))
+    groups = materialize(sized.groupBy("root").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("shingles")), "lsh-sizes")
     grouped = materialize(sized.join(groups, "root").select(F.col("node").alias("tid"), "root", "texts", "shingles", "n"), "lsh-groups")
     small = (F.col("texts") <= MANY_BLOCKS * BLOCK_TEXTS) & (F.col("shingles") <= MANY_BLOCKS * BLOCK_SHINGLES)
     units = _dealt(grouped.filter(small).withColumn("tree", F.lit(None).cast("int")), "root", "texts", "shingles")
