@@ -162,7 +162,7 @@ WEIGHTS = "tokens double, weights binary"
 def _trainer(net, vocabulary, options: dict):
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, learned = net.value.load(net.value.flat()), 0
-        for part in slices(batches, "text", 1 << 20):
+        for part in slices(batches, "text", 4 << 20):
             hashes, rest, bounds = tokenize(part.column("text"))
             _, symbol, classes, words = vocabulary.value.look_up(hashes, rest)
             learned += recurrent.train(own, symbol, classes, words, bounds, vocabulary.value.start_symbol, **options)
@@ -196,7 +196,7 @@ def tree_average(copies: DataFrame, fan: int = 8) -> np.ndarray | None:
     return sum(np.frombuffer(r.weights, np.float32) * w for r, w in zip(rows, weight / weight.sum(), strict=True))
 
 
-def train(training: DataFrame, vocabulary: Vocabulary, class_share, word_share, text_col: str = "text", hidden: int = 24, rounds: int = 3, every: int = 12, **options) -> recurrent.GatedNet:
+def train(training: DataFrame, vocabulary: Vocabulary, class_share, word_share, text_col: str = "text", hidden: int = 16, rounds: int = 3, every: int = 20, **options) -> recurrent.GatedNet:
     """The averaged network after ``rounds`` rounds."""
     sc = training.sparkSession.sparkContext
     held = sc.broadcast(vocabulary)
@@ -239,7 +239,7 @@ def _scorer(net, vocabulary):
     return run
 
 
-def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, frequent: int = 4096, width: int = 64, table: int = 1 << 17, **options) -> DataFrame:
+def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, frequent: int = 2048, width: int = 64, table: int = 1 << 17, **options) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row."""
     training = df.filter(fold(F.col(id_col), folds) != 0)
     counts = count_words(training, text_col)

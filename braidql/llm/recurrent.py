@@ -182,7 +182,7 @@ def window(flat: np.ndarray, begins: np.ndarray, lengths: np.ndarray, start: int
     return np.where(at < lengths, flat[np.minimum(begins + at, len(flat) - 1)], pad)
 
 
-def train(net: GatedNet, symbols, classes, words, bounds, start_symbol: int, steps: int = 16, texts: int = 32, rate: float = 0.01) -> int:
+def train(net: GatedNet, symbols, classes, words, bounds, start_symbol: int, steps: int = 16, texts: int = 128, rate: float = 0.02) -> int:
     """One pass over texts by truncated backpropagation, states carried from window to window; the tokens learned from."""
     lengths = np.diff(bounds)
     adam, learned = Adam(net, rate), 0
