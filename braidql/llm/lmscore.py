@@ -6,7 +6,8 @@ classes of ``width`` words; other words fall into classes by their first bytes.
 A gated recurrent network (``recurrent``) predicts class and frequent word; a
 word elsewhere has its smoothed share of its class.
 
-Training is data-parallel: in each of ``rounds`` rounds every partition trains
+Training starts on a bounded sample (the ``warm`` training texts of smallest
+hash, some epochs in one task) and then is data-parallel: in each of ``rounds`` rounds every partition trains
 a copy of the weights on its own part of the training documents (one in
 ``every`` by hash, another part each round), and the copies are averaged in a
 tree, weighted by their tokens.  So what is learned from grows with the corpus
@@ -159,10 +160,11 @@ def build_vocabulary(counts: DataFrame, frequent: int, width: int, table: int) -
 WEIGHTS = "tokens double, weights binary"
 
 
-def _trainer(net, vocabulary, options: dict):
+def _trainer(net, vocabulary, epochs: int, options: dict):
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, learned = net.value.load(net.value.flat()), 0
-        for part in slices(batches, "text", 4 << 20):
+        parts = slices(batches, "text", 4 << 20)
+        for part in list(parts) * epochs if epochs > 1 else parts:
             hashes, rest, bounds = tokenize(part.column("text"))
             _, symbol, classes, words = vocabulary.value.look_up(hashes, rest)
             learned += recurrent.train(own, symbol, classes, words, bounds, vocabulary.value.start_symbol, **options)
@@ -196,15 +198,21 @@ def tree_average(copies: DataFrame, fan: int = 8) -> np.ndarray | None:
     return sum(np.frombuffer(r.weights, np.float32) * w for r, w in zip(rows, weight / weight.sum(), strict=True))
 
 
-def train(training: DataFrame, vocabulary: Vocabulary, class_share, word_share, text_col: str = "text", hidden: int = 16, rounds: int = 3, every: int = 20, **options) -> recurrent.GatedNet:
-    """The averaged network after ``rounds`` rounds."""
+def train(training: DataFrame, vocabulary: Vocabulary, class_share, word_share, text_col: str = "text", hidden: int = 16, rounds: int = 3, every: int = 20, warm: int = 512, warm_epochs: int = 3, **options) -> recurrent.GatedNet:
+    """The averaged network after the warm start and ``rounds`` rounds."""
     sc = training.sparkSession.sparkContext
     held = sc.broadcast(vocabulary)
     net = recurrent.GatedNet.create(vocabulary.start_symbol + 1, hidden, class_share, word_share)
-    part = F.pmod(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), F.lit(every))
-    for k in range(rounds):
-        own = training.filter(part == k % every).select(F.col(text_col).alias("text"))
-        copies = materialize(own.mapInArrow(_trainer(sc.broadcast(net), held, options), WEIGHTS), "lm-weights")
+    hashed = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    part = F.pmod(hashed, F.lit(every))
+    for k in range(-1, rounds):
+        if k < 0:
+            own = training.select(F.col(text_col).alias("text"), hashed.alias("hash")).orderBy("hash").limit(warm).coalesce(1).select("text")
+            trainer = _trainer(sc.broadcast(net), held, warm_epochs, {"texts": 16, "rate": 0.01} | options)
+        else:
+            own = training.filter(part == k % every).select(F.col(text_col).alias("text"))
+            trainer = _trainer(sc.broadcast(net), held, 1, {"rate": 0.005} | options)
+        copies = materialize(own.mapInArrow(trainer, WEIGHTS), "lm-weights")
         mean = tree_average(copies)
         if mean is None:
             continue
