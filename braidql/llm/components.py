@@ -14,7 +14,7 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates the large-star and small-star steps until nothing changes; each
     keeps the number of edges and halves depth, so rounds grow with the
     logarithm of the longest path.  What meets at a hub is a minimum, combined
-    before it is shuffled, and a join that adaptive execution can split.
+    before it is shuffled, and a join of written tables, which adaptive execution can split.
     """
     edges = materialize(edges.filter("a is not null and b is not null and a != b").select("a", "b").distinct(), "cc-edges")
     mark = _mark(edges)
@@ -34,7 +34,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _star(edges: DataFrame) -> DataFrame:
     """(u, a, m) for each edge u-a: m is the least of u and its neighbours."""
-    least = edges.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m"))
+    # Written first: over two plain exchanges a hub's edges can be split among tasks.
+    least = materialize(edges.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m")), "cc-least")
     return edges.select(F.col("a").alias("of"), F.col("b").alias("a")).join(least, F.col("of") == F.col("u")).select("u", "a", "m")
 
 
