@@ -45,7 +45,13 @@ def _keys(x: Typed) -> Column:
 def _values(x: Typed) -> Column:
     if x.is_struct:
         kinds = {f.dataType.json() for f in x.dtype.fields}
-        cell = (lambda f: x.col[f.name]) if len(kinds) == 1 else (lambda f: text(Typed(x.col[f.name], f.dataType)))
+        if all(isinstance(f.dataType, T.NumericType) for f in x.dtype.fields):
+            whole = all(Typed(x.col, f.dataType).is_integer for f in x.dtype.fields)
+            cell = lambda f: x.col[f.name].cast("long" if whole else "double")
+        elif len(kinds) == 1:
+            cell = lambda f: x.col[f.name]
+        else:
+            cell = lambda f: text(Typed(x.col[f.name], f.dataType))
         return F.array(*[cell(f) for f in x.dtype.fields])
     return x.col if x.is_array else F.map_values(x.col)
 

@@ -53,6 +53,10 @@ def unify(items: list[Typed]) -> tuple[list[Column], T.DataType]:
     if all(isinstance(k, T.NumericType) for k in kinds):
         wide = T.LongType() if all(Typed(F.lit(0), k).is_integer for k in kinds) else T.DoubleType()
         return [i.col.cast(wide) for i in items], wide
+    if all(isinstance(k, T.ArrayType) and isinstance(k.elementType, T.NumericType) for k in kinds):
+        whole = all(Typed(F.lit(0), k.elementType).is_integer for k in kinds)
+        wide = T.ArrayType(T.LongType() if whole else T.DoubleType())
+        return [i.col.cast(wide) for i in items], wide
     return [text(i) for i in items], T.StringType()
 
 
