@@ -140,7 +140,7 @@ class PieceTree:
             starts = np.concatenate([[0], cut])
             stops = np.append(starts[1:], len(middle))
             fresh_sizes = stops - starts
-            fresh_tokens = self.enc._pieces(np.frombuffer(middle, np.uint8), starts, stops)[1]
+            fresh_tokens = np.array(self.enc.count_few([middle[x:y] for x, y in zip(starts.tolist(), stops.tolist(), strict=True)]), np.int64)
         sizes = np.concatenate([sizes[:p], fresh_sizes, sizes[q:]])
         tokens = np.concatenate([tokens[:p], fresh_tokens, tokens[q:]])
         raw = raw[:lo] + middle + raw[hi:]

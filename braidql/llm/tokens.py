@@ -21,7 +21,11 @@ _KIND = np.zeros(256, np.uint8)  # 1 letter or digit, 2 punctuation that may be
 for _b in range(128):
     _c = chr(_b)
     _KIND[_b] = 1 if _c.isalnum() else 3 if _c.isspace() or 0x1C <= _b <= 0x1F else 2 if _c.isprintable() and _c not in "'<>|[]" else 0
-_HIGH = np.arange(256) >= 128
+# Last bytes of the non-ASCII characters with the property White_Space, and their first bytes; characters that share them are only cut less.
+_MAY_END = np.zeros(256, bool)
+_MAY_END[[*range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF]] = True
+_MAY_BEGIN = np.zeros(256, bool)
+_MAY_BEGIN[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
 def default_tokenizer() -> str:
@@ -31,16 +35,6 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _unicode_space_near(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Whether a non-ASCII white-space character may end or begin at ``at``."""
-    prev = raw[at - 1]
-    # Last bytes of the non-ASCII characters with the property White_Space; others that share them are only cut less.
-    may_end = _HIGH[prev] & ((prev <= 0x8A) | np.isin(prev, np.array([0xA0, 0xA8, 0xA9, 0xAF, 0x9F], np.uint8)))
-    following = raw[np.minimum(at + 1, len(raw) - 1)]
-    may_begin = np.isin(following, np.array([0xC2, 0xE1, 0xE2, 0xE3], np.uint8))
-    return may_end | may_begin
-
-
 def piece_starts(raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Where the pieces of all texts begin; every text begins one unless it is empty."""
     n = len(raw)
@@ -53,8 +47,7 @@ def piece_starts(raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     spaced[1:-1] = blank & (kind[:-2] != 3) & (kind[2:] != 3)
     at = np.flatnonzero(spaced)
     if len(at):
-        doubt = _unicode_space_near(raw, at)
-        # C2 is doubtful before 85 and A0 only; E2 before 80 and 81 only.
+        doubt = _MAY_END[raw[at - 1]] | _MAY_BEGIN[raw[np.minimum(at + 1, n - 1)]]
         spaced[at[doubt]] = False
     edge = np.zeros(n, bool)
     edge[1:] = ((here == 2) & (before == 1)) | ((here == 1) & (before == 2))
@@ -75,6 +68,7 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cache = cache
+        self.few: dict[bytes, int] = {}
         self._reset()
 
     def _reset(self) -> None:
@@ -116,6 +110,17 @@ class PieceEncoder:
         slot = slot[back]
         return self.at[slot], self.size[slot]
 
+    def count_few(self, pieces: list[bytes]) -> list[int]:
+        """Ids in each of a handful of pieces, remembered one by one."""
+        new = [p for p in dict.fromkeys(pieces) if p not in self.few]
+        if new:
+            if len(self.few) > self.cache // 4:
+                self.few.clear()
+                new = list(dict.fromkeys(pieces))
+            found = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in new], add_special_tokens=False)
+            self.few.update(zip(new, (len(e.ids) for e in found), strict=True))
+        return [self.few[p] for p in pieces]
+
     def counts(self, raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(starts of the pieces, ids in each, first piece of each text)."""
         starts = piece_starts(raw, bounds)
