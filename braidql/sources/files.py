@@ -91,6 +91,8 @@ def _read(spark: SparkSession, path: str, kind: Format, schema: Any, options: di
         return _read_json5(spark, path, schema)
     if kind.name == "excel":
         return _read_excel(spark, path, options)
+    if kind.options.get("multiLine") and kind.source == "json" and formats.is_lines(_head(spark, path)):
+        kind = formats.FORMATS["jsonlines"]
     reader = spark.read.format(kind.source)
     ignore = options.pop("ignore_errors", False)
     if kind.name in ("csv", "tsv", "adt") and options.pop("detect_separator", False):
@@ -173,6 +175,8 @@ def save(df: DataFrame, path: str, format: str | None = None, mode: str = "error
     if not single:
         writer.save(path)
         return None
+    if kind.name in ("json", "jsoncompact"):
+        return _save_array(df, path, mode)
     folder = f"{path}.{tempfile.gettempprefix()}{abs(hash(path)) % 10**8}"
     writer.save(folder)
     return _keep_one_file(df.sparkSession, folder, path, mode)
@@ -193,6 +197,22 @@ def _keep_one_file(spark: SparkSession, folder: str, path: str, mode: str) -> No
     fs.delete(at, True)
 
 
+def _save_array(df: DataFrame, path: str, mode: str) -> None:
+    """One JSON array, streamed through the driver a partition at a time."""
+    spark = df.sparkSession
+    to = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = to.getFileSystem(spark._jsc.hadoopConfiguration())
+    if mode == "errorifexists" and fs.exists(to):
+        raise FileExistsError(path)
+    stream = fs.create(to, True)
+    try:
+        for i, row in enumerate(df.toJSON().toLocalIterator()):
+            stream.write(bytearray((("[" if not i else ",") + "\n" + row).encode()))
+        stream.write(bytearray(b"\n]\n" if not df.isEmpty() else b"[]\n"))
+    finally:
+        stream.close()
+
+
 def _save_local(df: DataFrame, path: str, kind: Format) -> None:
     """Arrow and Excel files are written by the driver, for results that fit it."""
     table = df.toArrow()

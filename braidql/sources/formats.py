@@ -76,6 +76,12 @@ def format_of_bytes(head: bytes) -> Format | None:
     return None
 
 
+def is_lines(head: bytes) -> bool:
+    """Whether a JSON text holds one object a line (its first line is one by itself)."""
+    line = head.decode("utf-8", "replace").lstrip().split("\n", 1)[0]
+    return line[:1] == "{" and _is_json(line)
+
+
 def _is_json(line: str) -> bool:
     try:
         json.loads(line)
