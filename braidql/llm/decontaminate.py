@@ -148,7 +148,7 @@ class BenchmarkIndex:
         shingles, of = shingle_hashes(words, cuts, SHINGLE)
         self.shingles = [np.unique(shingles[a:b], return_counts=True) for a, b in zip(of, of[1:], strict=False)]
         known, df = np.unique(np.concatenate([s for s, _ in self.shingles]) if self.shingles else np.zeros(0, np.uint64), return_counts=True)
-        self.known, self.rarest = known, 1 + np.log(max(len(texts), 1))
+        self.known = known
         self.weights = 1 + np.log(len(texts) / np.maximum(df, 1))
         width = 64 // (radius + 1)
         blocks = [(b * width, width if b < radius else 64 - b * width) for b in range(radius + 1)]
@@ -164,11 +164,10 @@ class BenchmarkIndex:
             prints = [next(p for s, p in fingerprints(words[cuts[i] + o : cuts[i] + o + size], [size]))[0] for i, o in owners]
             self.by_size[size] = SizeIndex(np.array(prints, np.uint64), np.array([i for i, _ in owners]), np.array([o for _, o in owners]), blocks)
 
-    def _weight(self, shingles: np.ndarray) -> np.ndarray:
-        if not len(self.known):
-            return np.full(len(shingles), self.rarest)
+    def _weight(self, item: int, shingles: np.ndarray) -> np.ndarray:
+        """Rarity of each shingle among the items; one that no item has weighs as the item's own do on average."""
         at = np.minimum(np.searchsorted(self.known, shingles), len(self.known) - 1)
-        return np.where(self.known[at] == shingles, self.weights[at], self.rarest)
+        return np.where(self.known[at] == shingles, self.weights[at], self.weights[np.searchsorted(self.known, self.shingles[item][0])].mean())
 
     def similarity(self, item: int, words: np.ndarray) -> float:
         """Weighted Jaccard similarity of an item and a passage."""
@@ -177,7 +176,7 @@ class BenchmarkIndex:
         every = np.union1d(mine, other)
         a, b = np.zeros(len(every)), np.zeros(len(every))
         a[np.searchsorted(every, mine)], b[np.searchsorted(every, other)] = times, counts
-        weight = self._weight(every)
+        weight = self._weight(item, every)
         most = float((np.maximum(a, b) * weight).sum())
         return float((np.minimum(a, b) * weight).sum()) / most if most else 0.0
 

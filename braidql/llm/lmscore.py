@@ -138,7 +138,8 @@ def build_vocabulary(counts: DataFrame, frequent: int, width: int, table: int) -
     if END not in words[chosen]:
         end = np.flatnonzero(words == END)
         if not len(end):
-            words, c, rest = np.append(words, END), np.append(c, 0), np.append(rest, 0)
+            found = counts.filter(F.col("word") == END).agg(F.sum("c")).first()[0]
+            words, c, rest = np.append(words, END), np.append(c, found or 0), np.append(rest, 0)
             end = np.array([len(words) - 1])
         chosen = np.append(chosen[: groups * width - 1], end)
     slot = np.full(len(words), -1)
