@@ -13,7 +13,8 @@ a copy of the weights on its own part of the training documents (one in
 tree, weighted by their tokens.  So what is learned from grows with the corpus
 while nothing that grows reaches the driver.
 
-The ``table`` most frequent words' counts are broadcast (a fixed bound); other
+The counts of the most frequent words, at most ``table`` of them, are broadcast
+(whole levels of frequency that a histogram admits, so nothing is sorted); other
 words of a text leave as 64-bit hashes and meet their counts in a join.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case, told apart by 64-bit
@@ -103,6 +104,7 @@ class Vocabulary:
     groups: int
     total: int
     distinct: int
+    texts: int
     rest_log: np.ndarray  # log10 of the smoothed mass of each class of other words
 
     def look_up(self, hashes: np.ndarray, rest: np.ndarray):
@@ -128,7 +130,14 @@ def count_words(training: DataFrame, text_col: str = "text") -> DataFrame:
 
 def build_vocabulary(counts: DataFrame, frequent: int, width: int, table: int) -> tuple[Vocabulary, np.ndarray, np.ndarray]:
     """(vocabulary, shares of the classes, shares of the words in each class)."""
-    top = counts.orderBy(F.col("c").desc(), "word").limit(table).toArrow()
+    level = F.floor(F.log2(F.col("c")) * 8)
+    levels, above = [], 0
+    for r in sorted(counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True):
+        above += r.n
+        if above > table:
+            break
+        levels.append(r.level)
+    top = counts.filter(level >= (min(levels) if levels else 1 << 20)).toArrow().sort_by([("c", "descending"), ("word", "ascending")])
     words, c, rest = (top.column(k).to_numpy() for k in ("word", "c", "rest"))
     totals = counts.groupBy("rest").agg(F.sum("c").cast("long").alias("c"), F.count(F.lit(1)).alias("n")).collect()
     total, distinct = sum(r.c for r in totals), sum(r.n for r in totals)
@@ -154,7 +163,8 @@ def build_vocabulary(counts: DataFrame, frequent: int, width: int, table: int) -
     own = own.reshape(groups, width)
     shares = np.concatenate([own.sum(1), mass])
     sort = np.argsort(words)
-    vocabulary = Vocabulary(words[sort], c[sort], slot[sort], width, groups, total, distinct, np.log10(mass))
+    texts = int(c[words == END][0])
+    vocabulary = Vocabulary(words[sort], c[sort], slot[sort], width, groups, total, distinct, texts, np.log10(mass))
     return vocabulary, shares / shares.sum(), own / own.sum(1, keepdims=True)
 
 
@@ -208,7 +218,8 @@ def train(training: DataFrame, vocabulary: Vocabulary, class_share, word_share,
     part = F.pmod(hashed, F.lit(every))
     for k in range(-1, rounds):
         if k < 0:
-            own = training.select(F.col(text_col).alias("text"), hashed.alias("hash")).orderBy("hash").limit(warm).coalesce(1).select("text")
+            some = F.pmod(hashed, F.lit(1 << 30)) < min(1.0, 4 * warm / max(vocabulary.texts, 1)) * (1 << 30)
+            own = training.filter(some).select(F.col(text_col).alias("text"), hashed.alias("hash")).orderBy("hash").limit(warm).coalesce(1).select("text")
             trainer = _trainer(sc.broadcast(net), held, warm_epochs, {"texts": 16, "rate": 0.01} | options)
         else:
             own = training.filter(part == k % every).select(F.col(text_col).alias("text"))

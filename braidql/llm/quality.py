@@ -241,9 +241,11 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, folds: int = 5, sample: in
     The sample is drawn from the labels alone, so only as many texts as it
     holds are looked up: its ids are a broadcast of ``sample`` rows at most.
     """
+    usable = labels.filter(F.col("quality").isin(0, 1) & (fold(F.col(id_col), folds) != 0))
+    share = min(1.0, 4 * sample / max(usable.count(), 1))  # enough rows that the sample is full, few enough to meet in one task
     chosen = (
-        labels.filter(F.col("quality").isin(0, 1) & (fold(F.col(id_col), folds) != 0))
-        .select(F.col(id_col).alias("label_id"), F.col("quality").alias("label"), F.xxhash64(id_col).alias("order"))
+        usable.select(F.col(id_col).alias("label_id"), F.col("quality").alias("label"), F.xxhash64(id_col).alias("order"))
+        .filter(F.pmod("order", F.lit(1 << 30)) < share * (1 << 30))
         .orderBy("order", "label")
         .limit(sample)
     )
