@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .registry import FilterError, Typed, const, double, register, truthy
+from .registry import FilterError, Typed, const, register, truthy
 
 
 def _need_array(x: Typed, name: str) -> None:
@@ -225,16 +225,3 @@ def _correl(a: Typed, b: Typed) -> Column:
     from .aggregates import pearson
 
     return pearson(F.transform(a.col, lambda v: v.cast("double")), F.transform(b.col, lambda v: v.cast("double")))
-
-
-@register("log_returns")
-def _log_returns(x: Typed) -> Column:
-    p = F.transform(x.col, lambda v: v.cast("double"))
-    return F.transform(p, lambda v, i: F.when((i > 0) & (v > 0) & (F.get(p, F.greatest(i - 1, F.lit(0))) > 0), F.log(v / F.get(p, F.greatest(i - 1, F.lit(0))))))
-
-
-def doubles(x: Typed) -> Column:
-    return F.transform(x.col, lambda v: v.cast("double"))
-
-
-__all__ = ["double", "doubles"]

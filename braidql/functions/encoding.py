@@ -29,21 +29,14 @@ def base58_decode(coded: str) -> bytes:
     return b"\0" * (len(coded) - len(coded.lstrip(BASE58[0]))) + value.to_bytes((value.bit_length() + 7) // 8, "big")
 
 
-def _mapped(fn) -> pa.Array:
-    def over(values: pa.Array) -> pa.Array:
-        return pa.array([None if v is None else fn(v) for v in values.to_pylist()], pa.string())
-
-    return over
-
-
 def _as_udf(name: str, fn) -> None:
     """Encodings without a builtin: Arrow batches."""
 
     def build(x: Typed) -> Column:
         def run(values: pa.Array) -> pa.Array:
-            return _mapped(fn)(values)
+            return pa.array([None if v is None else fn(v) for v in values.to_pylist()], pa.string())
 
-        run.__annotations__ = {"values": pa.Array, "return": pa.Array}
+        run.__annotations__ = {"values": pa.Array, "return": pa.Array}  # read by Spark as classes
         return F.arrow_udf(run, "string")(text(x))
 
     register(name)(build)

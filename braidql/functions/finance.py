@@ -14,12 +14,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .aggregates import array_mean, array_sum, array_var
-from .arrays import doubles
 from .registry import Typed, double, register
 
 NAN = float("nan")
 
 
+def doubles(x: Typed) -> Column:
+    return F.transform(x.col, lambda v: v.cast("double"))
+
+
 def _at(c: Column, i: Column) -> Column:
     return F.get(c, F.greatest(i, F.lit(0)))
 
@@ -41,6 +44,12 @@ def _float(args: tuple[Typed, ...], k: int, default: float) -> Column:
     return double(args[k]) if len(args) > k else F.lit(default)
 
 
+@register("log_returns")
+def _log_returns(x: Typed) -> Column:
+    p = doubles(x)
+    return F.transform(p, lambda v, i: F.when((i > 0) & (v > 0) & (_at(p, i - 1) > 0), F.log(v / _at(p, i - 1))))
+
+
 @register("roc", low=1, high=2)
 def _roc(x: Typed, *period: Typed) -> Column:
     p, n = doubles(x), _int(period, 0, 12)
