@@ -267,7 +267,7 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     net = train(training, vocabulary, class_share, word_share, text_col, **options)
     sc = df.sparkSession.sparkContext
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    scored = materialize(rows.mapInArrow(_scorer(sc.broadcast(net), sc.broadcast(vocabulary)), SCORED), "lm-scored").withColumn("row", F.monotonically_increasing_id())
+    scored = materialize(rows.mapInArrow(_scorer(sc.broadcast(net), sc.broadcast(vocabulary)), SCORED).withColumn("row", F.monotonically_increasing_id()), "lm-scored")
     other = scored.select("row", F.explode("others").alias("other"))
     tally = (
         other.join(counts.select("word", "c"), F.col("other") == F.col("word"), "left")

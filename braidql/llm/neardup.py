@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -212,38 +212,50 @@ def _units(texts: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
 def find_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, trees: int = 24, depth: int = 6, recall: float = 0.999) -> tuple[DataFrame, DataFrame]:
     """(rows, linked) of a corpus.
 
-    ``rows``: doc_id, row, tid of each row (tid: MD5 of its text).  ``linked``:
-    tid, root, links of every text that is similar to a different one.
+    ``rows``: doc_id, tid of each row (tid: MD5 of its text).  ``linked``:
+    tid, root, links of every text that is similar to a different one.  Rows
+    are told apart by id and text alone, never by their place in a scan.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = materialize(
-        df.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.md5(text.cast("binary")).alias("tid"), _signatures(trees, depth)(text).alias("sig")).select("doc_id", "row", "tid", "sig.n", "sig.labels"),
-        "lsh-rows",
-    )
-    texts = materialize(rows.groupBy("tid").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("labels").alias("labels")), "lsh-texts")
+    rows = materialize(df.select(F.col(id_col).alias("doc_id"), _tid(text).alias("tid"), _signatures(trees, depth)(text).alias("sig")).select("doc_id", "tid", "sig.n", "sig.labels"), "lsh-rows")
+    texts = materialize(rows.groupBy("tid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("labels").alias("labels")), "lsh-texts")
+    once = not _repeats(rows)
     for at in range(depth, 0, -1):
         nodes = materialize(_nodes_of(texts, at, depth), "lsh-nodes")
         roots = components(nodes.select(F.col("least").alias("a"), F.col("tid").alias("b")))
         units = _units(texts, nodes, roots)
-        wanted = materialize(roots.join(texts, F.col("node") == F.col("tid")).select("tid", "row", "labels"), "lsh-wanted")
-        found = _verify(df, text_col, wanted, units, threshold, trees, at, depth)
+        wanted = materialize(roots.join(texts, F.col("node") == F.col("tid")).select("tid", "doc_id", "labels"), "lsh-wanted")
+        sets = _sets_of(df, id_col, text_col, wanted, once)
+        found = _verify(sets, units, threshold, trees, at, depth)
         total = found.agg(F.sum("pairs") / 2, F.sum("expected")).first()
         if not total[1] or total[0] / total[1] >= recall:
             break
     tied = components(found.select(F.col("tid").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("tid").agg(F.sum("links").cast("long").alias("links"))
     linked = links.join(tied, F.col("tid") == F.col("node")).select("tid", "root", "links")
-    return rows.select("doc_id", "row", "tid"), materialize(linked, "lsh-linked")
+    return rows.select("doc_id", "tid"), materialize(linked, "lsh-linked")
 
 
-def _verify(df: DataFrame, text_col: str, wanted: DataFrame, units: DataFrame, threshold: float, trees: int, at: int, depth: int) -> DataFrame:
-    """Rows of ``UNIT``: exact links of the texts in ``wanted``, unit by unit."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = df.select(text.alias("text"), F.monotonically_increasing_id().alias("row"))
-    chosen = wanted.select(F.col("row").alias("of"), "tid", "labels")
-    sets = keyed.join(chosen, F.col("row") == F.col("of")).select("tid", "labels", "text").withColumn("shingles", _shingle_column()(F.col("text"))).drop("text")
-    sets = materialize(sets, "lsh-sets")
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _tid(text: Column) -> Column:
+    return F.md5(text.cast("binary"))
+
+
+def _repeats(rows: DataFrame) -> bool:
+    """Whether rows agree in both id and text."""
+    return not rows.groupBy("tid", "doc_id").count().filter("count > 1").isEmpty()
+
+
+def _sets_of(df: DataFrame, id_col: str, text_col: str, wanted: DataFrame, once: bool) -> DataFrame:
+    """tid, labels, shingles of the wanted texts, each from its row of least id: copies of a hot text have other ids."""
+    keyed = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", _tid(F.col("text")))
+    rows = keyed.join(wanted, (F.col("key") == F.col("tid")) & F.col("id").eqNullSafe(F.col("doc_id"))).select("tid", "labels", "text")
+    rows = rows if once else rows.dropDuplicates(["tid"])
+    return materialize(rows.withColumn("shingles", _shingle_column()(F.col("text"))).drop("text"), "lsh-sets")
+
+
+def _verify(sets: DataFrame, units: DataFrame, threshold: float, trees: int, at: int, depth: int) -> DataFrame:
+    """Rows of ``UNIT``: exact links of the texts in ``sets``, unit by unit."""
+    n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     side = F.when(F.col("same"), 0).when(F.col("greater"), 2).otherwise(1)
     dealt = units.withColumn("side", side).drop("same", "greater").join(sets, "tid")
     labels = F.when(F.col("tree").isNotNull(), F.col("labels"))
@@ -267,14 +279,13 @@ def near_duplicates(df: DataFrame, **options) -> DataFrame:
 
 
 def drop_near_duplicates(df: DataFrame, **options) -> DataFrame:
-    """``df``, all columns, with one row of each class: that of the least id.
-
-    ``df`` must be a stable scan, such as a written table: rows are named by
-    their place in it.
-    """
+    """``df``, all columns, with one row of each class: that of the least id."""
+    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
     rows, linked = find_links(df, **options)
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "tid")
     tagged = rows.join(linked.select("tid", "root"), "tid", "left").withColumn("root", F.coalesce("root", "tid"))
-    kept = tagged.groupBy("root").agg(F.min(order).alias("o")).select(F.col("o.row").alias("kept_row"))
-    name = "__neardup_row"
-    return df.withColumn(name, F.monotonically_increasing_id()).join(kept, F.col(name) == F.col("kept_row"), "left_semi").drop(name)
+    kept = materialize(tagged.groupBy("root").agg(F.min(order).alias("o")).select(F.col("o.doc_id").alias("kept_id"), F.col("o.tid").alias("kept_tid")), "lsh-kept")
+    key = "__neardup_tid"
+    keyed = df.withColumn(key, _tid(F.coalesce(F.col(text_col), F.lit(""))))
+    out = keyed.join(kept, (F.col(key) == F.col("kept_tid")) & F.col(id_col).eqNullSafe(F.col("kept_id")), "left_semi")
+    return (out.dropDuplicates([key]) if _repeats(rows) else out).drop(key)
