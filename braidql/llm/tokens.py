@@ -63,7 +63,7 @@ def piece_starts(raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 class PieceEncoder:
     """Ids of whole texts by way of a bounded cache of pieces."""
 
-    def __init__(self, path: str, cache: int = 600_000):
+    def __init__(self, path: str, cache: int = 2_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -114,7 +114,7 @@ class PieceEncoder:
         """Ids in each of a handful of pieces, remembered one by one."""
         new = [p for p in dict.fromkeys(pieces) if p not in self.few]
         if new:
-            if len(self.few) > self.cache // 4:
+            if len(self.few) > 100_000:
                 self.few.clear()
                 new = list(dict.fromkeys(pieces))
             found = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in new], add_special_tokens=False)
