@@ -182,15 +182,21 @@ def window(flat: np.ndarray, begins: np.ndarray, lengths: np.ndarray, start: int
     return np.where(at < lengths, flat[np.minimum(begins + at, len(flat) - 1)], pad)
 
 
-def train(net: GatedNet, symbols, classes, words, bounds, start_symbol: int, steps: int = 16, texts: int = 128, rate: float = 0.02) -> int:
-    """One pass over texts by truncated backpropagation, states carried from window to window; the tokens learned from."""
-    lengths = np.diff(bounds)
+def train(net: GatedNet, symbols, classes, words, bounds, start_symbol: int, steps: int = 16, texts: int = 128, rate: float = 0.02, stretch: int = 1024) -> int:
+    """One pass over texts by truncated backpropagation, states carried from window to window; the tokens learned from.
+
+    Longer texts are learned in stretches of ``stretch`` tokens side by side,
+    so that a long one does not fill windows of its own.
+    """
+    parts = -(-np.diff(bounds) // stretch)
+    firsts = np.repeat(bounds[:-1], parts) + stretch * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
+    lengths = np.minimum(np.repeat(bounds[1:], parts), firsts + stretch) - firsts
     adam, learned = Adam(net, rate), 0
     for group in lockstep(lengths, texts):
         group = group[lengths[group] > 0]
         if not len(group):
             continue
-        begins, size = bounds[group], lengths[group]
+        begins, size = firsts[group], lengths[group]
         state = np.zeros((len(group), net.hidden), np.float32)
         for start in range(0, int(size[0]), steps):
             live = int(np.searchsorted(-size, -start, "left"))
