@@ -8,10 +8,11 @@ word elsewhere has its smoothed share of its class.
 
 Training starts on a bounded sample (the ``warm`` training texts of smallest
 hash, some epochs in one task) and then is data-parallel: in each of ``rounds`` rounds every partition trains
-a copy of the weights on its own part of the training documents (one in
-``every`` by hash, another part each round), and the copies are averaged in a
-tree, weighted by their tokens.  So what is learned from grows with the corpus
-while nothing that grows reaches the driver.
+a copy of the weights on its own documents of the round (one in ``every`` by
+hash of the text, another part each round; ``every`` is ``rounds`` unless given,
+so that the rounds together learn from each training text once), and the copies
+are averaged in a tree, weighted by their tokens.  Nothing that grows with the
+corpus reaches the driver.
 
 The counts of the most frequent words, at most ``table`` of them, are broadcast
 (whole levels of frequency that a histogram admits, so nothing is sorted); other
@@ -209,12 +210,13 @@ def tree_average(copies: DataFrame, fan: int = 8) -> np.ndarray | None:
     return sum(np.frombuffer(r.weights, np.float32) * w for r, w in zip(rows, weight / weight.sum(), strict=True))
 
 
-def train(training: DataFrame, vocabulary: Vocabulary, class_share, word_share, text_col: str = "text", hidden: int = 16, rounds: int = 3, every: int = 20, warm: int = 512, warm_epochs: int = 3, **options) -> recurrent.GatedNet:
+def train(training: DataFrame, vocabulary: Vocabulary, class_share, word_share, text_col: str = "text", hidden: int = 16, rounds: int = 3, every: int | None = None, warm: int = 512, warm_epochs: int = 3, **options) -> recurrent.GatedNet:
     """The averaged network after the warm start and ``rounds`` rounds."""
     sc = training.sparkSession.sparkContext
     held = sc.broadcast(vocabulary)
     net = recurrent.GatedNet.create(vocabulary.start_symbol + 1, hidden, class_share, word_share)
     hashed = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    every = every or max(rounds, 1)
     part = F.pmod(hashed, F.lit(every))
     for k in range(-1, rounds):
         if k < 0:

@@ -121,3 +121,16 @@ def test_no_training_rows(spark):
     df = spark.createDataFrame([(i, "a b") for i in range(300) if held(i)][:5], "doc_id long, text string")
     rows = lmscore.score_documents(df, frequent=4, width=2, table=8).collect()
     assert all(r.train_tokens == 0 and r.n_known == 0 and r.base_score == 0 and math.isfinite(r.score) for r in rows)
+
+
+def test_rounds_learn_from_every_training_text(docs, monkeypatch):
+    """The tokens of the rounds after the warm start are those of all training texts."""
+    learned, average = [], lmscore.tree_average
+
+    def spy(copies, *args):
+        learned.append(sum(r.tokens for r in copies.collect()))
+        return average(copies, *args)
+
+    monkeypatch.setattr(lmscore, "tree_average", spy)
+    rows = lmscore.score_documents(docs, frequent=4, width=2, table=8, warm=4).collect()
+    assert sum(learned[1:]) == rows[0].train_tokens
