@@ -148,7 +148,9 @@ class GatedNet:
             grad["recurrent"] += before.T @ through
             carry = d * z + through @ self.recurrent.T
         grad["gate_bias"] = given.sum((0, 1))
-        np.add.at(grad["inputs"], symbols.ravel(), given.reshape(-1, 3 * h))
+        order = np.argsort(symbols, axis=None, kind="stable")
+        used, first = np.unique(symbols.ravel()[order], return_index=True)
+        grad["inputs"][used] = np.add.reduceat(given.reshape(-1, 3 * h)[order], first)
         return loss / total, grad, states[-1]
 
 
@@ -182,22 +184,48 @@ def window(flat: np.ndarray, begins: np.ndarray, lengths: np.ndarray, start: int
     return np.where(at < lengths, flat[np.minimum(begins + at, len(flat) - 1)], pad)
 
 
+def stretch_states(net: GatedNet, symbols, bounds, start_symbol: int, stretch: int, steps: int = 32, texts: int = 2048) -> np.ndarray:
+    """State before each stretch of each text, by running through the longer texts with the weights as they are."""
+    parts = -(-np.diff(bounds) // stretch)
+    places = np.cumsum(parts) - parts
+    out = np.zeros((int(parts.sum()), net.hidden), np.float32)
+    for group in lockstep(parts, texts):
+        group = group[parts[group] > 1]
+        if not len(group):
+            continue
+        state = np.zeros((len(group), net.hidden), np.float32)
+        for k in range(1, int(parts[group[0]])):
+            live = group[: int(np.searchsorted(-parts[group], -k, "left"))]
+            state = state[: len(live)]
+            for start in range((k - 1) * stretch, k * stretch, steps):
+                given = window(symbols, bounds[live], np.diff(bounds)[live], start - 1, min(steps, k * stretch - start), start_symbol)
+                if start == 0:
+                    given[0] = start_symbol
+                state = net.run(given, state)[0][-1]
+            out[places[live] + k] = state
+    return out
+
+
 def train(net: GatedNet, symbols, classes, words, bounds, start_symbol: int, steps: int = 16, texts: int = 128, rate: float = 0.02, stretch: int = 1024) -> int:
     """One pass over texts by truncated backpropagation, states carried from window to window; the tokens learned from.
 
     Longer texts are learned in stretches of ``stretch`` tokens side by side,
-    so that a long one does not fill windows of its own.
+    so that a long one does not fill windows of its own.  Each inner stretch
+    begins with the true token before it and the state there, as the weights at
+    the start of the pass give it.
     """
     parts = -(-np.diff(bounds) // stretch)
     firsts = np.repeat(bounds[:-1], parts) + stretch * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
     lengths = np.minimum(np.repeat(bounds[1:], parts), firsts + stretch) - firsts
+    inner = np.arange(parts.sum()) > np.repeat(np.cumsum(parts) - parts, parts)
+    states = stretch_states(net, symbols, bounds, start_symbol, stretch)
     adam, learned = Adam(net, rate), 0
     for group in lockstep(lengths, texts):
         group = group[lengths[group] > 0]
         if not len(group):
             continue
         begins, size = firsts[group], lengths[group]
-        state = np.zeros((len(group), net.hidden), np.float32)
+        state = states[group]
         for start in range(0, int(size[0]), steps):
             live = int(np.searchsorted(-size, -start, "left"))
             take = min(steps, int(size[0]) - start)
@@ -207,7 +235,7 @@ def train(net: GatedNet, symbols, classes, words, bounds, start_symbol: int, ste
             mask = (start + np.arange(take)[:, None]) < n
             given = window(symbols, b, n, start - 1, take, start_symbol)
             if start == 0:
-                given[0] = start_symbol
+                given[0] = np.where(inner[group], given[0], start_symbol)
             _, grad, state = net.gradients(given, target, word, mask, state[:live])
             adam.apply(grad)
             learned += int(mask.sum())

@@ -134,3 +134,26 @@ def test_rounds_learn_from_every_training_text(docs, monkeypatch):
     monkeypatch.setattr(lmscore, "tree_average", spy)
     rows = lmscore.score_documents(docs, frequent=4, width=2, table=8, warm=4).collect()
     assert sum(learned[1:]) == rows[0].train_tokens
+
+
+def test_training_carries_state_into_inner_stretches(monkeypatch):
+    rng, model, seen = np.random.default_rng(4), net(), []
+    bounds = np.array([0, 3, 43, 43, 60])
+    symbols, classes, words = rng.integers(0, 8, 60), rng.integers(0, 3, 60), rng.integers(0, 3, 60)
+    first, gradients = model.load(model.flat()), recurrent.GatedNet.gradients
+
+    def spy(self, given, target, word, mask, state):
+        seen.append((given.copy(), state.copy()))
+        return gradients(self, given, target, word, mask, state)
+
+    monkeypatch.setattr(recurrent.GatedNet, "gradients", spy)
+    assert recurrent.train(model, symbols, classes, words, bounds, 8, stretch=16, steps=16) == 60
+    given, state = seen[0]
+    want = []
+    for i, j in zip(bounds, bounds[1:], strict=False):
+        before = np.concatenate([[8], symbols[i:j]])
+        run = np.concatenate([np.zeros((1, 5)), first.run(before[:-1, None], np.zeros((1, 5), np.float32))[0][:, 0]]) if j > i else []
+        want += [(before[k], run[k]) for k in range(0, j - i, 16)]
+    key = lambda x: (int(x[0]), x[1].tolist())
+    for (a, s), (b, t) in zip(sorted(zip(given[0], state, strict=True), key=key), sorted(want, key=key), strict=True):
+        assert a == b and s == pytest.approx(t, abs=1e-5)
