@@ -3,8 +3,10 @@
 Words are runs of letters and digits, A-Z in lower case.  Every benchmark item
 is fingerprinted over windows of its size class (the largest of 1, 2, 3, 4, 6,
 8, 12, 16, 24, ... words that fits) and of half that size, at its start, middle
-and end: an edit that leaves an item similar leaves one of them whole.  Every
-document is fingerprinted over windows of those sizes at every word.
+and end.  An item that stays similar with a change inside it has smaller windows
+too, tiled along all of it, so small that changes in every second of them cost
+more similarity than the threshold allows: one stays whole.  Every document is
+fingerprinted over windows of those sizes at every word.
 
 Window sums are bit-sliced: plane ``p`` of a position holds bit ``p`` of 64
 counters, so windows of 2n words are one ripple-carry addition of two of n, and
@@ -44,6 +46,32 @@ def size_class(n: int) -> int:
     return p + p // 2 if p > 1 and p + p // 2 <= n else p
 
 
+#: Sizes of tiles; one of the last, at every word, is a single shingle.
+TILES = (12, 8, 6, SHINGLE)
+
+
+def tiles(weights: np.ndarray, n: int, threshold: float) -> tuple[int, int]:
+    """(words, step) of the tiles of an item of ``n`` words with these weights of its shingles in order; (0, 1) if it needs none.
+
+    A break between two words spoils the shingles that span it and, unless an
+    end is left off, leads to as many that are not the item's.
+    """
+    if n < 2 * SHINGLE:
+        return 0, 1
+    sums = np.concatenate([[0.0], np.cumsum(weights)])
+    gap = np.arange(n - 1)
+    spoilt = sums[np.minimum(gap + 1, len(weights))] - sums[np.maximum(gap - SHINGLE + 2, 0)]
+    budget = (1 - threshold) * sums[-1] + 1e-9
+    inner = spoilt[SHINGLE - 2 : n - SHINGLE + 1]
+    if inner.min() + threshold * (SHINGLE - 1) * weights.min() > budget:
+        return 0, 1
+    for size in TILES[:-1]:
+        each = [spoilt[o : o + size - 1].min() for o in range(0, n - size + 1, size)]
+        if max(sum(each[::2]), sum(each[1::2])) > budget:
+            return size, size
+    return SHINGLE, 1
+
+
 def _add(a: list[np.ndarray], b: list[np.ndarray]) -> list[np.ndarray]:
     """Sum of two bit-sliced numbers of equally many planes."""
     carry, out = None, []
@@ -140,7 +168,7 @@ class SizeIndex:
 class BenchmarkIndex:
     """All that a task needs to search one block of benchmark items."""
 
-    def __init__(self, item_ids: list[int], texts: list[str], radius: int = 3):
+    def __init__(self, item_ids: list[int], texts: list[str], radius: int = 3, threshold: float = 0.8):
         raw, bounds = column_bytes(pa.array(texts, pa.string()))
         words, cuts = word_hashes(raw, bounds, NON_ALNUM)
         self.radius, self.item_ids = radius, np.array(item_ids, np.int64)
@@ -157,12 +185,19 @@ class BenchmarkIndex:
             if n:
                 for size in {size_class(n), size_class(max(1, size_class(n) // 2))}:
                     windows.setdefault(size, set()).update((i, o) for o in (0, (n - size) // 2, n - size))
+                size, step = tiles(self.weights[np.searchsorted(known, shingles[of[i] : of[i + 1]])], n, threshold)
+                if size:
+                    windows.setdefault(size, set()).update((i, o) for o in range(0, n - size + 1, step))
         self.sizes = sorted(windows)
         self.by_size: dict[int, SizeIndex] = {}
         for size in self.sizes:
-            owners = sorted(windows[size])
-            prints = [next(p for s, p in fingerprints(words[cuts[i] + o : cuts[i] + o + size], [size]))[0] for i, o in owners]
-            self.by_size[size] = SizeIndex(np.array(prints, np.uint64), np.array([i for i, _ in owners]), np.array([o for _, o in owners]), blocks)
+            of_item, offset = np.array(sorted(windows[size])).T
+            prints, begins = np.zeros(len(of_item), np.uint64), cuts[of_item] + offset
+            for low in range(0, len(words), _CHUNK):
+                a, b = np.searchsorted(begins, [low, low + _CHUNK])
+                if a < b:
+                    prints[a:b] = next(p for _, p in fingerprints(words[low : low + _CHUNK + size - 1], [size]))[begins[a:b] - low]
+            self.by_size[size] = SizeIndex(prints, of_item, offset, blocks)
 
     def _weight(self, item: int, shingles: np.ndarray) -> np.ndarray:
         """Rarity of each shingle among the items; one that no item has weighs as the item's own do on average."""
@@ -183,16 +218,19 @@ class BenchmarkIndex:
     def best(self, item: int, doc: np.ndarray, start: int) -> tuple[float, int, int]:
         """(similarity, first word, words) of the best passage near an alignment."""
         n = int(self.lengths[item])
-        slack = max(2, n // 8)
-        low, high = max(0, start - slack), min(len(doc), start + n + slack)
+        slack, wide = max(2, n // 8), max(2, n // 4)
+        low, high = max(0, start - wide), min(len(doc), start + n + wide)
         region = doc[low:high]
         tries = {(max(0, start), min(len(doc), start + n))}
         if len(region) >= SHINGLE and n >= SHINGLE:
             rolled, _ = shingle_hashes(region, np.array([0, len(region)]), SHINGLE)
-            hits = np.flatnonzero(np.isin(rolled, self.shingles[item][0]))
+            hits = low + np.flatnonzero(np.isin(rolled, self.shingles[item][0]))
             if not len(hits):
                 return 0.0, low, 0
-            tries.add((low + int(hits[0]), low + int(hits[-1]) + SHINGLE))
+            for room in (slack, wide):
+                near = hits[(hits >= start - room) & (hits + SHINGLE <= start + n + room)]
+                if len(near):
+                    tries.add((int(near[0]), int(near[-1]) + SHINGLE))
         return max((self.similarity(item, doc[a:b]), a, b - a) for a, b in tries if b > a)
 
     def search(self, words: np.ndarray, cuts: np.ndarray, threshold: float) -> Iterator[tuple[int, int, float, int, int, int]]:
@@ -231,20 +269,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     out = None
-    for index in _indexes(benchmark, item_col, item_text_col, radius, block_bytes):
+    for index in _indexes(benchmark, item_col, item_text_col, radius, block_bytes, threshold):
         found = rows.mapInArrow(_searcher(index, threshold), FOUND)
         out = found if out is None else out.union(found)
     return out
 
 
-def _indexes(benchmark: DataFrame, item_col: str, item_text_col: str, radius: int, block_bytes: int) -> Iterator:
+def _indexes(benchmark: DataFrame, item_col: str, item_text_col: str, radius: int, block_bytes: int, threshold: float) -> Iterator:
     """Broadcast indexes of the blocks of a benchmark; an empty benchmark has one empty block."""
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).filter("item_id is not null and length(text) > 0")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, -(-total // block_bytes))
     for k in range(n):
         own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).orderBy("item_id").collect()
-        yield benchmark.sparkSession.sparkContext.broadcast(BenchmarkIndex([r.item_id for r in own], [r.text for r in own], radius))
+        yield benchmark.sparkSession.sparkContext.broadcast(BenchmarkIndex([r.item_id for r in own], [r.text for r in own], radius, threshold))
 
 
 def _searcher(index, threshold: float):
@@ -264,7 +302,7 @@ def _searcher(index, threshold: float):
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = 0.8, radius: int = 3, block_bytes: int = 16 << 20) -> DataFrame:
     """``docs``, all columns, without the rows whose text holds a benchmark passage."""
-    for index in _indexes(benchmark, item_col, item_text_col, radius, block_bytes):
+    for index in _indexes(benchmark, item_col, item_text_col, radius, block_bytes, threshold):
         docs = docs.filter(~_holds(index, threshold)(F.col(text_col)))
     return docs
 

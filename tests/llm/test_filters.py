@@ -6,6 +6,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ import corpus_pipeline
 from braidql.llm import decontaminate, mixing, quality
 from braidql.llm.queries import ORACLE, QUERIES
 from braidql.llm.storage import materialize
-from braidql.llm.textops import mix64
+from braidql.llm.textops import NON_ALNUM, column_bytes, mix64, word_hashes
 
 from .conftest import prose
 from .test_neardup import brute as near_copies
@@ -82,6 +83,22 @@ def test_edited_passages_are_found(spark):
     assert [r.doc_id for r in sorted(kept)] == [5, 6]
 
 
+def test_long_items_with_a_replaced_middle_are_found():
+    rng = np.random.default_rng(5)
+    for n in (60, 100, 200, 400, 800):
+        most = (n - 4) // 9 - 4  # words replaced in one run at Jaccard 0.8
+        for trial in range(12):
+            item = [f"w{k}" for k in rng.integers(0, 10**9, n)]
+            r = max(1, most - trial % 3)
+            at = int(rng.integers(n // 3, n // 2))
+            doc = [f"d{k}" for k in range(90)] + item[:at] + [f"x{k}" for k in range(r)] + item[at + r :] + [f"e{k}" for k in range(90)]
+            rows, items = [(0, " ".join(doc))], [(7, " ".join(item))]
+            index = decontaminate.BenchmarkIndex([7], [items[0][1]])
+            hashes, cuts = word_hashes(*column_bytes(pa.array([rows[0][1]])), NON_ALNUM)
+            found = {(t, 7) for t, *_ in index.search(hashes, cuts, 0.8)}
+            assert found == set(contaminated(rows, items)), (n, r)
+
+
 def test_decontaminate_edges(spark, docs, none):
     items = spark.createDataFrame([(5, prose(1, 80)), (6, "two words"), (None, "x")], "item_id long, text string")
     want = set(contaminated([(r.doc_id, r.text) for r in docs.collect()], [(5, prose(1, 80)), (6, "two words")]))
