@@ -19,7 +19,8 @@ weighted Jaccard similarity of five-word shingles (weights: rarity among the
 items) of the item and of the passage of the document it is aligned with.
 
 Defined results: null or empty texts and items match nothing; an item of fewer
-than five words is one shingle; items that repeat a text are found each;
+than five words is one shingle; items that repeat a text are found each; an item
+of null id is found with a null id;
 repeated documents are found each; empty tables give an empty result.
 """
 
@@ -168,10 +169,10 @@ class SizeIndex:
 class BenchmarkIndex:
     """All that a task needs to search one block of benchmark items."""
 
-    def __init__(self, item_ids: list[int], texts: list[str], radius: int = 3, threshold: float = 0.8):
+    def __init__(self, item_ids: list[int | None], texts: list[str], radius: int = 3, threshold: float = 0.8):
         raw, bounds = column_bytes(pa.array(texts, pa.string()))
         words, cuts = word_hashes(raw, bounds, NON_ALNUM)
-        self.radius, self.item_ids = radius, np.array(item_ids, np.int64)
+        self.radius, self.item_ids = radius, pa.array(item_ids, pa.int64())
         self.lengths = np.diff(cuts)
         shingles, of = shingle_hashes(words, cuts, SHINGLE)
         self.shingles = [np.unique(shingles[a:b], return_counts=True) for a, b in zip(of, of[1:], strict=False)]
@@ -277,7 +278,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def _indexes(benchmark: DataFrame, item_col: str, item_text_col: str, radius: int, block_bytes: int, threshold: float) -> Iterator:
     """Broadcast indexes of the blocks of a benchmark; an empty benchmark has one empty block."""
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).filter("item_id is not null and length(text) > 0")
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).filter("length(text) > 0")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, -(-total // block_bytes))
     for k in range(n):
@@ -293,7 +294,7 @@ def _searcher(index, threshold: float):
             if found:
                 text, item, sim, far, start, n = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(pa.array(text)), pa.array(index.value.item_ids[list(item)]), pa.array(sim), pa.array(far, pa.int32()), pa.array(start, pa.int32()), pa.array(n, pa.int32())],
+                    [batch.column("doc_id").take(pa.array(text)), index.value.item_ids.take(pa.array(item)), pa.array(sim), pa.array(far, pa.int32()), pa.array(start, pa.int32()), pa.array(n, pa.int32())],
                     ["doc_id", "item_id", "similarity", "hamming", "word_start", "n_words"],
                 )
 

@@ -110,6 +110,14 @@ def test_decontaminate_edges(spark, docs, none):
     assert kept.columns == docs.columns and kept.count() == docs.count() - len({d for d, _ in want})
 
 
+def test_items_of_null_id_are_found(spark, docs):
+    items = spark.createDataFrame([(None, prose(1, 80)), (6, "two words")], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, items).collect()}
+    want = set(contaminated([(r.doc_id, r.text) for r in docs.collect()], [(None, prose(1, 80)), (6, "two words")]))
+    assert {(0, None), (1, None), (2, None), (6, 6)} <= want and found == want
+    assert not {0, 1, 2, 6} & {r.doc_id for r in decontaminate.drop_contaminated(docs, items).collect()}
+
+
 # ---- mixing
 
 
