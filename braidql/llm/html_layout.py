@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW_TEXT = frozenset("script style xmp iframe noembed noframes textarea title plaintext".split())
-NEVER_SHOWN = frozenset("head script style template noscript noframes noembed iframe title meta link base datalist object audio video canvas svg math param source track area map rp".split())
+NEVER_SHOWN = frozenset("head script style template noscript noframes noembed iframe title meta link base datalist audio video canvas param source track area rp".split())
+#: Parts of a drawing that are not drawn where they stand.
+NOT_DRAWN = frozenset("defs symbol clippath mask marker pattern desc metadata".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li listing main menu nav ol optgroup option p plaintext pre search section summary table tbody td tfoot th thead tr ul xmp caption".split())
 SPACED = frozenset("p ul ol dl blockquote pre h1 h2 h3 h4 h5 h6 table figure fieldset listing xmp plaintext menu dir hr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -36,7 +38,10 @@ SCOPE_ENDS = frozenset("html table td th caption template button body".split())
 
 _TAG = re.compile(r"<(?:!--(?P<comment>.*?)(?:-->|--!>|\Z)|(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[!?/][^>]*(?:>|\Z))", re.S)
 _ATTR = re.compile(r"([^\s=/>\"'][^\s=/>]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_CSS = re.compile(r"[{};]|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'", re.S)
+_FEATURE = re.compile(r"\(\s*(min-|max-)?(width|height)\s*:\s*([\d.]+)(px|em|rem)?\s*\)|\(\s*(orientation|hover|pointer|any-hover|any-pointer)\s*:\s*(\w+)\s*\)|\(\s*(color|hover)\s*\)")
+#: The screen that conditional rules are read for.
+SCREEN = {"width": 1280, "height": 720, "orientation": "landscape", "hover": "hover", "any-hover": "hover", "pointer": "fine", "any-pointer": "fine"}
 _SIMPLE = re.compile(r"^([a-z][a-z0-9]*|\*)?((?:[.#][\w-]+)*)$", re.I)
 _BLANKS = re.compile(r"[ \t\n\r\f]+")
 
@@ -129,6 +134,12 @@ class TreeBuilder:
                 return False
         return False
 
+    def _in_drawing(self) -> bool:
+        """Whether the innermost element is one of SVG or MathML, where a tag may close itself."""
+        if not (self.open.get("svg") or self.open.get("math")):
+            return False
+        return next((n.tag != "foreignobject" for n in reversed(self.stack) if n.tag in ("svg", "math", "foreignobject")), False)
+
     def start(self, tag: str, attrs: dict[str, str]) -> None:
         if tag == "html":
             self.root.attrs = attrs | self.root.attrs
@@ -196,12 +207,16 @@ class TreeBuilder:
                 continue
             attrs = _attributes(found["attrs"]) if found["attrs"] else {}
             self.start(name, attrs)
+            if found["attrs"].endswith("/") and name not in VOID and self.stack[-1].tag == name and self._in_drawing() and not re.search(r"=\s*[^\s\"']+$", found["attrs"]):
+                self._pop()
+                continue
             if name in RAW_TEXT:
                 stop = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(page, at) if name != "plaintext" else None
                 data = page[at : stop.start() if stop else n]
                 at = stop.end() if stop else n
                 if name == "style":
-                    self.styles.append(data)
+                    if on_screen(attrs.get("media", "")):
+                        self.styles.append(data)
                 elif data:
                     self.stack[-1].children.append(_html.unescape(data) if name in ("textarea", "title") else data)
                 if self.stack[-1].tag == name:
@@ -217,17 +232,68 @@ def _declarations(text: str) -> dict[str, str]:
     return out
 
 
+def _feature(text: str) -> bool | None:
+    """Whether one media feature holds for the screen; None if it is not known."""
+    found = _FEATURE.fullmatch(text.strip())
+    if not found:
+        return None
+    bound, side, number, unit, name, value, plain = found.groups()
+    if side:
+        try:
+            size = float(number) * (16 if unit in ("em", "rem") else 1)
+        except ValueError:
+            return None
+        return SCREEN[side] >= size if bound == "min-" else SCREEN[side] <= size if bound == "max-" else SCREEN[side] == size
+    return bool(plain) or SCREEN[name] == value
+
+
+def on_screen(media: str) -> bool:
+    """Whether a list of media queries surely holds for the screen."""
+    media = media.strip().lower()
+    for query in media.split(",") if media else ["all"]:
+        query = query.strip()
+        negated = query.startswith("not ")
+        parts = re.split(r"\s+and\s+", re.sub(r"^(?:not|only)\s+", "", query))
+        held = [part in ("all", "screen") if re.fullmatch(r"[\w-]+", part) else _feature(part) for part in parts]
+        if negated and False in held or not negated and all(held):
+            return True
+    return False
+
+
+def _applies(prelude: str) -> bool:
+    """Whether the rules in an @-block apply; those in doubt do not, so that no text is lost."""
+    name, _, condition = prelude.lower().partition(" ") if "(" not in prelude.split(" ")[0] else (*prelude.lower().partition("(")[:1], "", prelude[prelude.index("(") :])
+    if name == "@media":
+        return on_screen(condition)
+    return name == "@layer" or name == "@supports" and re.match(r"\s*\(\s*(?:display|visibility)\s*:[^()]*\)\s*$", condition) is not None
+
+
 def hiding_rules(styles: list[str]) -> list[tuple[str | None, frozenset[str], dict[str, str]]]:
-    """(tag, classes and ids, declarations) of simple selectors that touch visibility."""
+    """(tag, classes and ids, declarations) of simple selectors that touch visibility, as they hold for a screen."""
     out = []
     for sheet in styles:
-        for selectors, body in _RULE.findall(re.sub(r"/\*.*?\*/", "", sheet, flags=re.S)):
-            if "display" not in body and "visibility" not in body and "white-space" not in body:
+        sheet = re.sub(r"/\*.*?(?:\*/|\Z)", " ", sheet, flags=re.S)
+        frames: list[tuple[str, bool]] = [("", True)]  # (selectors of the rule, whether it applies)
+        begin = 0
+        for token in [*_CSS.finditer(sheet), None]:
+            mark, at, end = (token[0], token.start(), token.end()) if token else ("}", len(sheet), len(sheet))
+            if mark not in ("{", "}", ";"):
+                continue
+            text, begin = sheet[begin:at].strip(), end
+            selectors, live = frames[-1]
+            if mark == "{":
+                if text.startswith("@"):
+                    frames.append((selectors, live and _applies(" ".join(text.split()))))
+                else:  # what is nested in a rule is no simple selector
+                    frames.append((text, live and not selectors))
                 continue
-            for selector in selectors.split(","):
-                if found := _SIMPLE.match(selector.strip()):
-                    tag = found[1].lower() if found[1] and found[1] != "*" else None
-                    out.append((tag, frozenset(re.findall(r"[.#][\w-]+", found[2])), _declarations(body)))
+            if mark == "}" and len(frames) > 1:
+                frames.pop()
+            if live and selectors and any(k in text.lower() for k in ("display", "visibility", "white-space")):
+                for selector in selectors.split(","):
+                    if found := _SIMPLE.match(selector.strip()):
+                        tag = found[1].lower() if found[1] and found[1] != "*" else None
+                        out.append((tag, frozenset(re.findall(r"[.#][\w-]+", found[2])), _declarations(text)))
     return out
 
 
@@ -350,10 +416,14 @@ class Renderer:
                 node()
                 continue
             if isinstance(node, str):
-                if shown:
+                if shown and what != "draw":
                     out.text(node)
                 continue
             style = self.style(node)
+            if what in ("draw", "label"):
+                style = {k: node.attrs[k].lower() for k in ("display", "visibility") if k in node.attrs} | style
+                if node.tag in NOT_DRAWN:
+                    continue
             if node is not root and self.hidden(node, style):
                 continue
             seen = style.get("visibility", "visible" if shown else "hidden") == "visible"
@@ -373,6 +443,16 @@ class Renderer:
                 continue
             after: list = []
             children = node.children
+            if tag == "svg":
+                what = "draw"
+            elif what == "draw" and tag in ("text", "foreignobject"):  # each has a place of its own
+                what = "label" if tag == "text" else "open"
+                out.block(1)
+                after.append(lambda: out.block(1))
+            elif tag == "semantics":  # what follows its first element annotates it
+                children = [c for c in children if isinstance(c, Node)][:1]
+            elif tag == "mphantom":
+                continue
             display = style.get("display", "")
             if tag in BLOCKS and display not in ("inline", "inline-block") or display in ("block", "flex", "grid", "list-item"):
                 gap = 2 if tag in SPACED and not (tag in ("ul", "ol") and counters) else 1
@@ -411,7 +491,7 @@ class Renderer:
                 children = [c for c in children if isinstance(c, Node) and c.tag == "summary"][:1]
             for act in after:  # blocks end last: they were added first
                 todo.append(("call", act, True))
-            todo.extend(("open", c, seen) for c in reversed(children))
+            todo.extend((what, c, seen) for c in reversed(children))
         return out.finish()
 
     def table(self, table: Node, shown: bool, depth: int) -> list[str]:

@@ -48,6 +48,26 @@ def test_layout(page, want):
     assert render_html(page) == want
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("a <math><mi>x</mi><mo>=</mo><mn>2</mn></math> b", "a x=2 b"),
+        ("<math><semantics><mi>y</mi><annotation>tex</annotation></semantics></math>", "y"),
+        ("<map name=m><p>in map<area></p></map>", "in map"),
+        ("<object data=x><param name=a>fallback</object>", "fallback"),
+        ("<svg><title>t</title><defs><text>d</text></defs><g>loose<path d='M0'/><text>A</text><text>B<tspan>C</tspan></text></g></svg>z", "A\nBC\nz"),
+        ("<style>@media print{.nav{display:none}}</style><p class=nav>n", "n"),
+        ("<style>@media (max-width:600px){.x{display:none}}</style><p class=x>n", "n"),
+        ("<style>@media screen and (min-width:600px){@media all{.x{display:none}}}</style><p class=x>n<p>y", "y"),
+        ("<style>@media print{.a{color:red}.x{display:none}} .y{display:none}</style><p class=x>n<p class=y>y", "n"),
+        ("<style media=print>.x{display:none}</style><p class=x>n", "n"),
+        ("<style>@import 'a.css'; .x{color:red;display:none}</style><p class=x>n<p>y", "y"),
+    ],
+)
+def test_drawings_and_conditional_rules(page, want):
+    assert render_html(page) == want
+
+
 def test_deep_and_broken_pages():
     assert render_html("<div>" * 30_000 + "x") == "x"
     assert "x" in render_html("<table><tr><td>" * 200 + "x")
