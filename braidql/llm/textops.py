@@ -1,9 +1,9 @@
 """Vectorised work on the UTF-8 bytes of a column of texts.
 
 A text is cut into words (runs of bytes other than separators) and every word
-becomes a 64-bit hash without any Python object of its own: prefix sums of a
-polynomial modulo 2^64 give each word's value in a few numpy operations.
-Blocks of about a megabyte keep the working set small however long a text is.
+becomes a 64-bit hash without any Python object of its own: its bytes are read
+eight at a time and mixed in a few numpy operations for all words at once.
+Blocks of about a megabyte keep the working set small however long a word is.
 """
 
 from __future__ import annotations
@@ -23,18 +23,10 @@ LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 IDENTITY = np.arange(256, dtype=np.uint8)
 
 _BLOCK = 1 << 20
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-_POW = _powers(_BASE, _BLOCK + 1)
-_INV = _powers(_INVERSE, _BLOCK + 1)
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+_FIRST = np.uint64(0xD6E8FEB86659FD93)
+#: Masks that keep the first 0 to 8 bytes.
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -96,36 +88,51 @@ def word_spans(raw: np.ndarray, bounds: np.ndarray, separators: np.ndarray = SPA
     return starts, np.flatnonzero(ends_at) + 1
 
 
+def _loads(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of ``raw`` on as one little-endian integer; zeros follow its end."""
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    return np.ndarray((len(raw) + 1,), "<u8", padded, 0, (1,))
+
+
+def _later_lanes(widths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(span, lane) of all lanes of eight bytes but the first of each span, in blocks."""
+    long = np.flatnonzero(widths > 8)
+    more = (widths[long] - 1) // 8
+    upto = np.cumsum(more)
+    total = int(upto[-1]) if len(long) else 0
+    for start in range(0, total, _BLOCK >> 2):
+        place = np.arange(start, min(total, start + (_BLOCK >> 2)))
+        at = np.searchsorted(upto, place, "right")
+        yield long[at], place - (upto[at] - more[at]) + 1
+
+
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray = LOWER) -> np.ndarray:
-    """A 64-bit hash of each span (in order, not overlapping), its bytes mapped by ``fold``."""
-    out = np.empty(len(starts), np.uint64)
-    at = 0
-    while at < len(starts):
-        first = starts[at]
-        upto = max(at + 1, int(np.searchsorted(ends, first + _BLOCK, "right")))
-        if ends[upto - 1] - first > _BLOCK:  # one span longer than a block
-            out[at] = _long_hash(fold[raw[first : ends[at]]])
-            at += 1
-            continue
-        part = fold[raw[first : ends[upto - 1]]].astype(np.uint64)
-        part += np.uint64(1)
-        part *= _POW[: len(part)]
-        total = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(part, out=total[1:])
-        s = starts[at:upto] - first
-        out[at:upto] = (total[ends[at:upto] - first] - total[s]) * _INV[s]
-        at = upto
-    return mix64(out + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-
-
-def _long_hash(part: np.ndarray) -> np.uint64:
-    value, scale = 0, 1
-    step = pow(_BASE, _BLOCK, 1 << 64)
-    for i in range(0, len(part), _BLOCK):
-        piece = part[i : i + _BLOCK].astype(np.uint64) + np.uint64(1)
-        value = (value + scale * int((piece * _POW[: len(piece)]).sum(dtype=np.uint64))) % (1 << 64)
-        scale = scale * step % (1 << 64)
-    return np.uint64(value)
+    """A 64-bit hash of each span, its bytes mapped by ``fold``.
+
+    Every eight bytes are mixed with their place in the span by a bijection
+    without linear structure, and the results are summed.  Spans of equal
+    length of eight bytes or fewer have equal hashes only if they are equal.
+    """
+    loads = _loads(raw if fold is IDENTITY else fold[raw])
+    widths = ends - starts
+    out = mix64((loads[starts] & _KEEP[np.minimum(widths, 8)]) ^ _FIRST)
+    for owner, lane in _later_lanes(widths):
+        part = loads[starts[owner] + 8 * lane] & _KEEP[np.minimum(widths[owner] - 8 * lane, 8)]
+        part = mix64(part ^ mix64(lane.astype(np.uint64) * _GOLDEN))
+        first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+        out[owner[first]] += np.add.reduceat(part, first)
+    out += widths.astype(np.uint64) * _GOLDEN
+    return mix64(out)
+
+
+def equal_spans(raw: np.ndarray, starts: np.ndarray, other: np.ndarray, places: np.ndarray, widths: np.ndarray) -> np.ndarray:
+    """Whether ``widths`` bytes at ``starts`` of ``raw`` are those at ``places`` of ``other``."""
+    a, b = _loads(raw), _loads(other)
+    out = ((a[starts] ^ b[places]) & _KEEP[np.minimum(widths, 8)]) == 0
+    for owner, lane in _later_lanes(widths):
+        unlike = ((a[starts[owner] + 8 * lane] ^ b[places[owner] + 8 * lane]) & _KEEP[np.minimum(widths[owner] - 8 * lane, 8)]) != 0
+        out[owner[unlike]] = False
+    return out
 
 
 def word_hashes(raw: np.ndarray, bounds: np.ndarray, separators: np.ndarray = SPACES, fold: np.ndarray = LOWER) -> tuple[np.ndarray, np.ndarray]:

@@ -15,7 +15,7 @@ from itertools import chain
 
 import numpy as np
 
-from .textops import IDENTITY, span_hashes
+from .textops import IDENTITY, equal_spans, span_hashes
 
 _KIND = np.zeros(256, np.uint8)  # 1 letter or digit, 2 punctuation that may be cut at, 3 white space, 0 anything else
 for _b in range(128):
@@ -60,10 +60,28 @@ def piece_starts(raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
+class _Grown:
+    """An array that is appended to, with room to spare."""
+
+    def __init__(self, kind) -> None:
+        self.all, self.n = np.zeros(1 << 12, kind), 0
+
+    def add(self, values: np.ndarray) -> None:
+        need = self.n + len(values)
+        if need > len(self.all):
+            self.all = np.concatenate([self.all[: self.n], np.zeros(max(need, 2 * self.n) - self.n, self.all.dtype)])
+        self.all[self.n : need] = values
+        self.n = need
+
+
 class PieceEncoder:
-    """Ids of whole texts by way of a bounded cache of pieces."""
+    """Ids of whole texts by way of a bounded cache of pieces.
+
+    Pieces are looked up by a hash, and every hit is compared byte by byte: a
+    piece that only shares its hash with another is encoded by itself.
+    """
 
-    def __init__(self, path: str, cache: int = 2_000_000):
+    def __init__(self, path: str, cache: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -72,43 +90,55 @@ class PieceEncoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.known = np.zeros(0, np.uint64)
-        self.at = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int64)
-        self.width = np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
-
-    def _learn(self, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, data: bytes) -> None:
-        if len(self.known) + len(hashes) > self.cache:
-            self._reset()
-        found = []
-        for i in range(0, len(hashes), 20_000):
-            part = [data[s:e].decode("utf-8", "replace") for s, e in zip(starts[i : i + 20_000].tolist(), ends[i : i + 20_000].tolist(), strict=True)]
-            found += [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))
-        at = len(self.ids) + np.cumsum(size) - size
-        self.ids = np.concatenate([self.ids, flat])
+        self.known = np.zeros(0, np.uint64)  # ascending hashes
+        self.entry = np.zeros(0, np.int64)  # which entry each has
+        self.at, self.size, self.width, self.place = (_Grown(np.int64) for _ in range(4))
+        self.ids, self.text = _Grown(np.uint32), _Grown(np.uint8)
+
+    def _encode(self, starts: np.ndarray, ends: np.ndarray, data: memoryview) -> tuple[np.ndarray, np.ndarray]:
+        """(place in ids, number of ids) of pieces that the library encodes now."""
+        sizes = []
+        begin = self.ids.n
+        for i in range(0, len(starts), 20_000):
+            part = [str(data[s:e], "utf-8", "replace") for s, e in zip(starts[i : i + 20_000].tolist(), ends[i : i + 20_000].tolist(), strict=True)]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            size = np.fromiter(map(len, found), np.int64, len(found))
+            self.ids.add(np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum())))
+            sizes.append(size)
+        size = np.concatenate(sizes)
+        return begin + np.cumsum(size) - size, size
+
+    def _learn(self, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, raw: np.ndarray) -> None:
+        at, size = self._encode(starts, ends, memoryview(raw))
+        width = ends - starts
+        entry = self.at.n + np.arange(len(at))
+        place = self.text.n + np.cumsum(width) - width
+        self.text.add(raw[np.repeat(starts - (np.cumsum(width) - width), width) + np.arange(int(width.sum()))])
+        for column, values in ((self.at, at), (self.size, size), (self.width, width), (self.place, place)):
+            column.add(values)
         where = np.searchsorted(self.known, hashes)
         self.known = np.insert(self.known, where, hashes)
-        self.at = np.insert(self.at, where, at)
-        self.size = np.insert(self.size, where, size)
-        self.width = np.insert(self.width, where, ends - starts)
+        self.entry = np.insert(self.entry, where, entry)
 
     def _pieces(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Slot of every piece: (place in ids, number of ids)."""
+        """(place in ids, number of ids) of every piece."""
         hashes = span_hashes(raw, starts, ends, IDENTITY)
         distinct, first, back = np.unique(hashes, return_index=True, return_inverse=True)
         if len(distinct) + len(self.known) > self.cache:
             self._reset()
-        width = (ends - starts)[first]
         slot = np.minimum(np.searchsorted(self.known, distinct), max(len(self.known) - 1, 0))
-        fresh = np.ones(len(distinct), bool) if not len(self.known) else (self.known[slot] != distinct) | (self.width[slot] != width)
+        fresh = np.ones(len(distinct), bool) if not len(self.known) else self.known[slot] != distinct
         if fresh.any():
-            self._learn(distinct[fresh], starts[first[fresh]], ends[first[fresh]], raw.tobytes())
+            self._learn(distinct[fresh], starts[first[fresh]], ends[first[fresh]], raw)
             slot = np.searchsorted(self.known, distinct)
-        slot = slot[back]
-        return self.at[slot], self.size[slot]
+        entry = self.entry[slot][back]
+        at, size, width = self.at.all[entry], self.size.all[entry], ends - starts
+        same = self.width.all[entry] == width
+        same[same] = equal_spans(raw, starts[same], self.text.all[: self.text.n], self.place.all[entry[same]], width[same])
+        if not same.all():
+            stray = np.flatnonzero(~same)
+            at[stray], size[stray] = self._encode(starts[stray], ends[stray], memoryview(raw))
+        return at, size
 
     def count_few(self, pieces: list[bytes]) -> list[int]:
         """Ids in each of a handful of pieces, remembered one by one."""
@@ -137,7 +167,7 @@ class PieceEncoder:
         at, size = self._pieces(raw, starts, np.append(starts[1:], len(raw)))
         total = np.concatenate([[0], np.cumsum(size)])
         index = np.repeat(at - total[:-1], size) + np.arange(total[-1])
-        return self.ids[index], total[np.searchsorted(starts, bounds)]
+        return self.ids.all[index], total[np.searchsorted(starts, bounds)]
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}

@@ -157,3 +157,26 @@ def test_word_and_shingle_hashes():
     assert np.diff(of).tolist() == [1, 0, 0, 1, 2, 0, 1]
     alone, _ = shingle_hashes(*word_hashes(*column_bytes(pa.array(["two three four five six"])), SPACES), 5)
     assert alone[0] == shingles[of[4] + 1]
+
+
+def test_equal_hashes_are_told_apart(enc, monkeypatch):
+    """Pieces whose hashes collide keep their own ids, and the word hash has no linear structure."""
+    from braidql.llm import textops, tokens
+
+    thue = "a"
+    while len(thue) < 2048:
+        thue += thue.translate(str.maketrans("ab", "ba"))
+    pairs = [(thue[:n], thue[:n].translate(str.maketrans("ab", "ba"))) for n in (8, 64, 1024, 2048)]
+    for a, b in pairs:
+        raw, bounds = column_bytes(pa.array([a, b]))
+        hashes, _ = word_hashes(raw, bounds, SPACES)
+        assert hashes[0] != hashes[1]
+    texts = [t for pair in pairs for t in pair] + ["some words that have equal lengths", "word corn bird cord worm ward", "x" * 700 + "y", "x" * 699 + "yx"]
+    weak = lambda raw, starts, ends, fold: (ends - starts).astype(np.uint64)
+    monkeypatch.setattr(tokens, "span_hashes", weak)
+    own = tokens.PieceEncoder(default_tokenizer(), 50)
+    for _ in range(2):
+        ids, bounds = own.encode(*column_bytes(pa.array(texts)))
+        for i, t in enumerate(texts):
+            assert ids[bounds[i] : bounds[i + 1]].tolist() == whole(enc, t)
+    assert textops.equal_spans(np.frombuffer(b"abcdefghijklm", np.uint8), np.array([0, 1]), np.frombuffer(b"xabcdefghijkX", np.uint8), np.array([1, 1]), np.array([11, 11])).tolist() == [True, False]
