@@ -30,6 +30,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 
 from . import recurrent
 from .storage import materialize
-from .textops import LOWER, SPACES, column_bytes, mix64, slices, span_hashes, word_spans
+from .textops import LOWER, SPACES, HashTable, column_bytes, mix64, slices, span_hashes, word_spans
 
 END = int(mix64(np.array([0xE0D], np.uint64)).view(np.int64)[0])
 REST_CLASSES = 28
@@ -51,23 +52,27 @@ def fold(id_: Column, of: int) -> Column:
 
 
 def tokenize(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of each token, its class if it is not frequent, bounds of texts); each text ends with END."""
+    """(hash of each token, its first three bytes, bounds of texts); each text ends with END, of no bytes."""
     raw, bounds = column_bytes(texts)
     starts, ends = word_spans(raw, bounds, SPACES)
     words = span_hashes(raw, starts, ends, LOWER).view(np.int64)
     padded = np.append(raw, np.zeros(2, np.uint8))
-    lead = LOWER[padded[starts]].astype(np.uint64) << np.uint64(16)
-    lead |= np.where(ends - starts > 1, LOWER[padded[starts + 1]], 0).astype(np.uint64) << np.uint64(8)
-    lead |= np.where(ends - starts > 2, LOWER[padded[starts + 2]], 0).astype(np.uint64)
-    rest = (mix64(lead) % np.uint64(REST_CLASSES)).astype(np.int16)
+    wide = ends - starts
+    lead = LOWER[padded[starts]].astype(np.int32) << 16
+    lead |= np.where(wide > 1, LOWER[padded[starts + 1]], 0).astype(np.int32) << 8
+    lead |= np.where(wide > 2, LOWER[padded[starts + 2]], 0)
     cuts = np.searchsorted(starts, bounds)
     n = len(bounds) - 1
-    out_bounds = cuts + np.arange(n + 1)
     hashes = np.full(len(words) + n, END, np.int64)
-    classes = np.zeros(len(words) + n, np.int16)
+    leads = np.zeros(len(words) + n, np.int32)
     place = np.arange(len(words)) + np.repeat(np.arange(n), np.diff(cuts))
-    hashes[place], classes[place] = words, rest
-    return hashes, classes, out_bounds
+    hashes[place], leads[place] = words, lead
+    return hashes, leads, cuts + np.arange(n + 1)
+
+
+def rest_class(leads: np.ndarray) -> np.ndarray:
+    """Class of each word that is not frequent, by its first bytes."""
+    return (mix64(leads) % np.uint64(REST_CLASSES)).astype(np.int32)
 
 
 COUNTS = "word long, rest int, c long"
@@ -80,12 +85,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(words), pa.array(rest.astype(np.int32)), pa.array(times)], ["word", "rest", "c"])
 
     for part in slices(batches, "text"):
-        found, classes, _ = tokenize(part.column("text"))
+        found, leads, _ = tokenize(part.column("text"))
         distinct, first, counts = np.unique(found, return_index=True, return_counts=True)
         merged, back = np.unique(np.concatenate([words, distinct]), return_inverse=True)
         total = np.bincount(back, np.concatenate([times, counts]), len(merged)).astype(np.int64)
         kinds = np.zeros(len(merged), np.int16)
-        kinds[back] = np.concatenate([rest, classes[first]])
+        kinds[back] = np.concatenate([rest, rest_class(leads[first])])
         words, rest, times = merged, kinds, total
         if len(words) > FLUSH:
             yield batch()
@@ -98,9 +103,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Vocabulary:
     """Broadcast part of the counts, and how words map to classes."""
 
-    words: np.ndarray  # ascending hashes of the table's words
+    words: np.ndarray  # hashes of the table's words
     counts: np.ndarray
-    slot: np.ndarray  # place of each among the frequent words, or -1
+    slot: np.ndarray  # (int32) place of each among the frequent words, or -1
     width: int
     groups: int
     total: int
@@ -108,15 +113,23 @@ class Vocabulary:
     texts: int
     rest_log: np.ndarray  # log10 of the smoothed mass of each class of other words
 
-    def look_up(self, hashes: np.ndarray, rest: np.ndarray):
+    def look_up(self, hashes: np.ndarray, leads: np.ndarray):
         """(count or -1 if not in the table, input symbol, class, word in class)."""
-        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        known = self.words[at] == hashes
-        count = np.where(known, self.counts[at], -1)
-        slot = np.where(known, self.slot[at], -1)
-        frequent = slot >= 0
-        symbol = np.where(frequent, slot, self.groups * self.width + rest)
-        return count, symbol, np.where(frequent, slot // self.width, self.groups + rest), np.where(frequent, slot % self.width, 0)
+        at = self._table.find(hashes)
+        count = np.where(at >= 0, self.counts[at], -1)
+        slot = np.where(at >= 0, self.slot[at], -1)
+        elsewhere = np.flatnonzero(slot < 0)
+        rest = rest_class(leads[elsewhere])
+        symbol, classes, word = slot, slot // self.width, slot % self.width
+        symbol[elsewhere], classes[elsewhere], word[elsewhere] = self.groups * self.width + rest, self.groups + rest, 0
+        return count, symbol, classes, word
+
+    @cached_property
+    def _table(self) -> HashTable:
+        return HashTable(self.words)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_table"}
 
     @property
     def start_symbol(self) -> int:
@@ -152,7 +165,7 @@ def build_vocabulary(counts: DataFrame, frequent: int, width: int, table: int) -
             words, c, rest = np.append(words, END), np.append(c, found or 0), np.append(rest, 0)
             end = np.array([len(words) - 1])
         chosen = np.append(chosen[: groups * width - 1], end)
-    slot = np.full(len(words), -1)
+    slot = np.full(len(words), -1, np.int32)
     slot[chosen] = np.arange(len(chosen))
     mass, kinds = np.full(REST_CLASSES, 0.1), np.zeros(REST_CLASSES)
     for r in totals:
@@ -163,9 +176,8 @@ def build_vocabulary(counts: DataFrame, frequent: int, width: int, table: int) -
     own[: len(chosen)] = c[chosen] + 0.1
     own = own.reshape(groups, width)
     shares = np.concatenate([own.sum(1), mass])
-    sort = np.argsort(words)
     texts = int(c[words == END][0])
-    vocabulary = Vocabulary(words[sort], c[sort], slot[sort], width, groups, total, distinct, texts, np.log10(mass))
+    vocabulary = Vocabulary(words, c, slot, width, groups, total, distinct, texts, np.log10(mass))
     return vocabulary, shares / shares.sum(), own / own.sum(1, keepdims=True)
 
 
@@ -177,8 +189,8 @@ def _trainer(net, vocabulary, epochs: int, options: dict):
         own, learned = net.value.load(net.value.flat()), 0
         parts = slices(batches, "text", 4 << 20)
         for part in list(parts) * epochs if epochs > 1 else parts:
-            hashes, rest, bounds = tokenize(part.column("text"))
-            _, symbol, classes, words = vocabulary.value.look_up(hashes, rest)
+            hashes, leads, bounds = tokenize(part.column("text"))
+            _, symbol, classes, words = vocabulary.value.look_up(hashes, leads)
             learned += recurrent.train(own, symbol, classes, words, bounds, vocabulary.value.start_symbol, **options)
         if learned:
             yield pa.RecordBatch.from_pydict({"tokens": [float(learned)], "weights": [own.flat().tobytes()]})
@@ -242,13 +254,13 @@ def _scorer(net, vocabulary):
         v = vocabulary.value
         norm = np.log10(v.total + 0.1 * (v.distinct + 1))
         for part in slices(batches, "text", 6 << 20):
-            hashes, rest, bounds = tokenize(part.column("text"))
-            count, symbol, classes, words = v.look_up(hashes, rest)
+            hashes, leads, bounds = tokenize(part.column("text"))
+            count, symbol, classes, words = v.look_up(hashes, leads)
             found = recurrent.score(net.value, symbol, classes, words, bounds, v.start_symbol) / np.log(10)
             inside = count >= 0
             seen = np.where(inside, np.log10(np.maximum(count, 0) + 0.1), 0.0)
             elsewhere = classes >= v.groups
-            share = np.where(elsewhere, seen - v.rest_log[np.minimum(rest, REST_CLASSES - 1)], 0.0)
+            share = np.where(elsewhere, seen - v.rest_log[np.maximum(classes - v.groups, 0)], 0.0)
             sums = lambda x: np.add.reduceat(x, bounds[:-1])  # noqa: E731  a text has one token at least
             n = np.diff(bounds)
             out = np.concatenate([[0], np.cumsum(~inside)])[bounds]

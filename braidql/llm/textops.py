@@ -76,7 +76,7 @@ def word_spans(raw: np.ndarray, bounds: np.ndarray, separators: np.ndarray = SPA
     """(starts, ends) of all words; a text's border ends a word."""
     if not len(raw):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    inside = ~separators[raw]
+    inside = ~(((raw == 0x20) | ((raw - np.uint8(9)) < 5)) if separators is SPACES else separators[raw])
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     cuts = bounds[(bounds > 0) & (bounds < len(raw))]
@@ -88,6 +88,13 @@ def word_spans(raw: np.ndarray, bounds: np.ndarray, separators: np.ndarray = SPA
     return starts, np.flatnonzero(ends_at) + 1
 
 
+def folded(raw: np.ndarray, fold: np.ndarray) -> np.ndarray:
+    """Bytes mapped by ``fold``."""
+    if fold is IDENTITY:
+        return raw
+    return raw + ((raw - np.uint8(65)) < 26) * np.uint8(32) if fold is LOWER else fold[raw]
+
+
 def _loads(raw: np.ndarray) -> np.ndarray:
     """The eight bytes from each place of ``raw`` on as one little-endian integer; zeros follow its end."""
     padded = np.concatenate([raw, np.zeros(8, np.uint8)])
@@ -113,7 +120,7 @@ def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.
     without linear structure, and the results are summed.  Spans of equal
     length of eight bytes or fewer have equal hashes only if they are equal.
     """
-    loads = _loads(raw if fold is IDENTITY else fold[raw])
+    loads = _loads(folded(raw, fold))
     widths = ends - starts
     out = mix64((loads[starts] & _KEEP[np.minimum(widths, 8)]) ^ _FIRST)
     for owner, lane in _later_lanes(widths):
@@ -170,3 +177,46 @@ def shingle_hashes(words: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.nd
         with np.errstate(over="ignore"):
             out[out_bounds[i]] = sum((w * s for w, s in zip(own, salts, strict=False)), np.uint64(len(own)))
     return mix64(out), out_bounds
+
+
+class HashTable:
+    """Places of 64-bit hashes among distinct ones, without sorting what is looked up.
+
+    A level holds one key in each slot; keys that found theirs taken stand in
+    the next level, under other bits.
+    """
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.levels = keys, []
+        left = np.arange(len(keys))
+        while len(left):
+            bits, shift = max(4, int(4 * len(left)).bit_length()), 7 * len(self.levels) % 32
+            table = np.full(1 << bits, -1, np.int32)
+            slots = self._slots(keys[left], bits, shift)
+            table[slots] = left
+            left = left[table[slots] != left]
+            self.levels.append((bits, shift, table))
+
+    @staticmethod
+    def _slots(hashes: np.ndarray, bits: int, shift: int) -> np.ndarray:
+        return (hashes >> shift) & ((1 << bits) - 1)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Place of each hash among the keys, or -1."""
+        if not len(self.keys):
+            return np.full(len(hashes), -1, np.int32)
+        out = pending = None
+        for bits, shift, table in self.levels:
+            own = hashes if pending is None else hashes[pending]
+            found = table[self._slots(own, bits, shift)]
+            right = self.keys[found] == own  # -1 reads the last key: its slot is not empty
+            right &= found >= 0
+            if pending is None:
+                out = np.where(right, found, -1)
+                pending = np.flatnonzero(~right & (found >= 0))
+            else:
+                out[pending[right]] = found[right]
+                pending = pending[~right & (found >= 0)]
+            if not len(pending):
+                break
+        return out

@@ -9,6 +9,8 @@ import pytest
 from braidql.llm import lmscore, recurrent
 from braidql.llm.queries import QUERIES
 
+from .conftest import EDGE
+
 
 def net(hidden=5, symbols=9, rng=None):
     rng = rng or np.random.default_rng(0)
@@ -157,3 +159,55 @@ def test_training_carries_state_into_inner_stretches(monkeypatch):
     key = lambda x: (int(x[0]), x[1].tolist())
     for (a, s), (b, t) in zip(sorted(zip(given[0], state, strict=True), key=key), sorted(want, key=key), strict=True):
         assert a == b and s == pytest.approx(t, abs=1e-5)
+
+
+def plain_score(model, v, text):
+    """Token by token, one matrix product at a time."""
+    h = model.hidden
+    lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    tokens = [w.encode() for w in re.findall(r"[^\x20\x09-\x0D]+", lowered)] + [None]
+    state, symbol, total = np.zeros(h), v.start_symbol, 0.0
+    places = {int(w): i for i, w in enumerate(v.words)}
+    w64 = {f: getattr(model, f).astype(np.float64) for f in recurrent.FIELDS}
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    log_softmax = lambda x: x - x.max() - np.log(np.exp(x - x.max()).sum())
+    for token in tokens:
+        given, pull = w64["inputs"][symbol] + w64["gate_bias"], state @ w64["recurrent"]
+        z, r = sig(given[:h] + pull[:h]), sig(given[h : 2 * h] + pull[h : 2 * h])
+        new = np.tanh(given[2 * h :] + r * pull[2 * h :])
+        state = (1 - z) * new + z * state
+        if token is None:
+            key, rest = lmscore.END, 0
+        else:
+            raw = np.frombuffer(token, np.uint8)
+            key = int(lmscore.span_hashes(raw, np.array([0]), np.array([len(raw)])).view(np.int64)[0])
+            rest = int(lmscore.rest_class(np.array([int.from_bytes(token[:3].ljust(3, b"\0"), "big")]))[0])
+        at = places.get(key)
+        slot = -1 if at is None else int(v.slot[at])
+        by_class = log_softmax(state @ w64["class_out"] + w64["class_bias"])
+        if slot >= 0:
+            c, w = divmod(slot, v.width)
+            total += by_class[c] + log_softmax(state @ w64["word_out"][c] + w64["word_bias"][c])[w]
+            symbol = slot
+        else:
+            count = 0 if at is None else int(v.counts[at])
+            total += by_class[v.groups + rest] + math.log(count + 0.1) - v.rest_log[rest] * math.log(10)
+            symbol = v.groups * v.width + rest
+    return total / math.log(10)
+
+
+def test_scores_equal_a_plain_loop(spark, docs, monkeypatch):
+    """The query's score of each text, by weights that were learned, and by a loop over its tokens."""
+    kept = {}
+    build, learn = lmscore.build_vocabulary, lmscore.train
+    monkeypatch.setattr(lmscore, "build_vocabulary", lambda *a: kept.setdefault("v", build(*a)))
+    monkeypatch.setattr(lmscore, "train", lambda *a, **k: kept.setdefault("net", learn(*a, **k)))
+    out = lmscore.score_documents(docs, frequent=8, width=4, table=1 << 17).collect()
+    texts = collections.defaultdict(list)
+    for d, t, *_ in EDGE:
+        texts[d].append(t)
+    vocabulary = kept["v"][0]
+    for r in out:
+        if len(texts[r.doc_id]) == 1 and r.doc_id != 7:
+            assert r.score == pytest.approx(plain_score(kept["net"], vocabulary, texts[r.doc_id][0]), rel=1e-4)
+    assert {r.doc_id for r in out} == set(texts)
