@@ -222,16 +222,140 @@ def _gzip(b: bytes, at: int) -> int | None:
     return min(pos, len(b)) - len(unpack.unused_data) - at if unpack.eof else None
 
 
+# Fixed values of FLAC: sizes of blocks and samples by their codes.
+FLAC_BLOCKS = {1: 192, **{i: 576 << (i - 2) for i in range(2, 6)}, **{i: 256 << (i - 8) for i in range(8, 16)}}
+FLAC_DEPTHS = {1: 8, 2: 12, 4: 16, 5: 20, 6: 24, 7: 32}
+
+
+def _crc_table(polynomial: int, bits: int) -> list[int]:
+    top, out = 1 << (bits - 1), []
+    for i in range(256):
+        r = i << (bits - 8)
+        for _ in range(8):
+            r = (r << 1 ^ polynomial if r & top else r << 1) & (1 << bits) - 1
+        out.append(r)
+    return out
+
+
+_CRC8, _CRC16 = _crc_table(0x07, 8), _crc_table(0x8005, 16)
+
+
+def _flac_header(b: bytes, at: int, depth: int) -> tuple[int, int, int, int, int] | None:
+    """(end of the header, number, block size, channel code, sample size) of a frame, its checksum confirmed."""
+    if at + 6 > len(b) or b[at] != 0xFF or b[at + 1] & 0xFE != 0xF8:
+        return None
+    block, rate, channels, code = b[at + 2] >> 4, b[at + 2] & 15, b[at + 3] >> 4, b[at + 3] >> 1 & 7
+    if not block or rate == 15 or channels > 10 or code == 3 or b[at + 3] & 1:
+        return None
+    lead = b[at + 4]
+    more = 0 if lead < 0x80 else 8 - (lead ^ 0xFF).bit_length() - 1
+    if lead >= 0x80 and not 1 <= more <= 6:
+        return None
+    number = lead if not more else lead & (0x3F >> more)
+    for c in b[at + 5 : at + 5 + more]:
+        number = number << 6 | c & 0x3F
+    pos = at + 5 + more
+    size = FLAC_BLOCKS.get(block) or int.from_bytes(b[pos : pos + block - 5], "big") + 1
+    pos += (block - 5 if block in (6, 7) else 0) + {12: 1, 13: 2, 14: 2}.get(rate, 0)
+    crc = 0
+    for c in b[at:pos]:
+        crc = _CRC8[crc ^ c]
+    return (pos + 1, number, size, channels, FLAC_DEPTHS.get(code, depth)) if pos < len(b) and crc == b[pos] else None
+
+
+class _Bits:
+    """Bits of a value from byte ``at`` on; reading past the end is an IndexError."""
+
+    def __init__(self, b: bytes, at: int):
+        self.b, self.pos = b, 8 * at
+
+    def take(self, n: int) -> int:
+        first, last = self.pos >> 3, (self.pos + n + 7) >> 3
+        if last > len(self.b):
+            raise IndexError("past the end")
+        value = int.from_bytes(self.b[first:last], "big") >> (8 * last - self.pos - n) & (1 << n) - 1
+        self.pos += n
+        return value
+
+    def unary(self) -> int:
+        n = 0
+        while not self.take(1):
+            n += 1
+        return n
+
+
+def _flac_frame(b: bytes, at: int, header: tuple[int, int, int, int, int]) -> int | None:
+    """End of a frame, by reading through its subframes; its checksum confirmed."""
+    pos, _, size, channels, depth = header
+    bits = _Bits(b, pos)
+    for channel in range(channels + 1 if channels < 8 else 2):
+        width = depth + (channel == {8: 1, 9: 0, 10: 1}.get(channels, -1))
+        if bits.take(1):
+            return None
+        kind = bits.take(6)
+        if bits.take(1):
+            width -= bits.unary() + 1
+        if kind == 0:
+            bits.pos += width
+        elif kind == 1:
+            bits.pos += width * size
+        elif 8 <= kind <= 12 or kind >= 32:
+            order = kind - 8 if kind < 32 else kind - 31
+            bits.pos += width * order
+            if kind >= 32:
+                precision = bits.take(4) + 1
+                bits.pos += 5 + precision * order
+            method = bits.take(2)
+            if method > 1:
+                return None
+            parts = 1 << bits.take(4)
+            for part in range(parts):
+                rice, escape = bits.take(4 + method), (15, 31)[method]
+                n = size // parts - (order if part == 0 else 0)
+                if rice == escape:
+                    bits.pos += bits.take(5) * n
+                else:
+                    for _ in range(n):
+                        bits.unary()
+                        bits.pos += rice
+        else:
+            return None
+    end = (bits.pos + 7) // 8 + 2
+    crc = 0
+    for c in b[at:end]:
+        crc = (crc << 8 & 0xFFFF) ^ _CRC16[crc >> 8 ^ c]
+    return end if end <= len(b) and not crc else None
+
+
 def _flac(b: bytes, at: int) -> int | None:
-    pos, first, last = at + 4, True, False
+    """Metadata blocks, then frames: each ends where the next of the sequence begins, the last where its subframes do."""
+    pos, first, last, samples, depth = at + 4, True, False, 0, 16
     while not last:
         if pos + 4 > len(b):
             return None
         last, kind, n = bool(b[pos] & 0x80), b[pos] & 0x7F, int.from_bytes(b[pos + 1 : pos + 4], "big")
         if first and (kind or n != 34) or pos + 4 + n > len(b):
             return None
+        if first:
+            packed = int.from_bytes(b[pos + 14 : pos + 22], "big")
+            samples, depth = packed & (1 << 36) - 1, (packed >> 36 & 31) + 1
         pos, first = pos + 4 + n, False
-    return len(b) - at if b[pos : pos + 1] in (b"\xff", b"") else None  # frames carry no length of their own
+    done, header = 0, _flac_header(b, pos, depth)
+    while header:
+        done += header[2]
+        step = header[2] if b[pos + 1] & 1 else 1  # frames count samples, or frames
+        follows, found = pos + 1, None
+        while not (samples and done >= samples) and found is None:
+            follows = b.find(b[pos : pos + 2], follows + 1)
+            if follows < 0:
+                break
+            found = _flac_header(b, follows, depth)
+            found = found if found and found[1] == header[1] + step else None
+        if found is None:
+            end = _flac_frame(b, pos, header)
+            return end - at if end and done >= samples else None
+        pos, header = follows, found
+    return pos - at if not samples else None
 
 
 def _ogg(b: bytes, at: int) -> int | None:
@@ -245,12 +369,43 @@ def _ogg(b: bytes, at: int) -> int | None:
     return pos - at if done else None
 
 
+# Fixed values of MPEG audio: kilobits a second by version and layer, samples a second by version.
+MPEG_BITS = {
+    (1, 1): (32, 64, 96, 128, 160, 192, 224, 256, 288, 320, 352, 384, 416, 448),
+    (1, 2): (32, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320, 384),
+    (1, 3): (32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320),
+    (2, 1): (32, 48, 56, 64, 80, 96, 112, 128, 144, 160, 176, 192, 224, 256),
+    (2, 2): (8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
+}
+MPEG_RATES = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8000)}
+
+
+def _mpeg_frame(b: bytes, at: int) -> int | None:
+    """Bytes of the frame whose header stands at ``at``."""
+    if at + 4 > len(b) or b[at] != 0xFF or b[at + 1] & 0xE0 != 0xE0:
+        return None
+    version, layer, bits, rate = b[at + 1] >> 3 & 3, 4 - (b[at + 1] >> 1 & 3), b[at + 2] >> 4, b[at + 2] >> 2 & 3
+    if version == 1 or layer == 4 or not 0 < bits < 15 or rate == 3:
+        return None
+    first = 1 if version == 3 else 2
+    speed = MPEG_BITS[first, layer if first == 1 else min(layer, 2)][bits - 1] * 1000
+    samples, padding = MPEG_RATES[version][rate], b[at + 2] >> 1 & 1
+    if layer == 1:
+        return (12 * speed // samples + padding) * 4
+    return (144 if layer == 2 or first == 1 else 72) * speed // samples + padding
+
+
 def _mpeg(b: bytes, at: int) -> int | None:
+    """A tag, then frames; a last frame that the value cuts off reaches to its end."""
     if at + 10 > len(b) or b[at + 3] not in (2, 3, 4) or any(c & 0x80 for c in b[at + 6 : at + 10]):
         return None
     n = b[at + 6] << 21 | b[at + 7] << 14 | b[at + 8] << 7 | b[at + 9]
-    pos = at + 10 + n
-    return len(b) - at if pos + 2 <= len(b) and b[pos] == 0xFF and b[pos + 1] & 0xE0 == 0xE0 else None
+    begin = pos = at + 10 + n
+    while (size := _mpeg_frame(b, pos)) is not None and pos < len(b):
+        pos = min(pos + size, len(b))
+    if pos == begin:
+        return None
+    return pos + 128 * (b[pos : pos + 3] == b"TAG" and pos + 128 <= len(b)) - at
 
 
 def _mp4(b: bytes, at: int) -> int | None:

@@ -99,3 +99,43 @@ def test_query(spark, sf):
         r = rows[d.doc_id]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(own), hashlib.sha256(own).hexdigest(), zlib.crc32(own[-64:]))
         assert (r.media_bytes, r.media_sha256) == (len(wav(own)), hashlib.sha256(wav(own)).hexdigest()) and r.feature.startswith("type=audio/wav;")
+
+
+def flac_stream(blocks):
+    """A stream of constant, verbatim and fixed subframes with Rice-coded residuals."""
+
+    def frame(number, size, kind):
+        head = bytes([0xFF, 0xF8, 0x70, 0x08, number]) + struct.pack(">H", size - 1)
+        crc = 0
+        for c in head:
+            crc = media._CRC8[crc ^ c]
+        bits = "0" + format(kind, "06b") + "0"
+        if kind == 0:
+            bits += format(7, "016b")
+        elif kind == 1:
+            bits += "".join(format(i * 37 % 65536, "016b") for i in range(size))
+        else:  # first order, one part, Rice parameter 2
+            bits += format(100, "016b") + "00" + "0000" + "0010" + "".join("0" * (i % 5) + "1" + "01" for i in range(size - 1))
+        body = head + bytes([crc]) + int(bits + "0" * (-len(bits) % 8), 2).to_bytes((len(bits) + 7) // 8, "big")
+        crc = 0
+        for c in body:
+            crc = (crc << 8 & 0xFFFF) ^ media._CRC16[crc >> 8 ^ c]
+        return body + struct.pack(">H", crc)
+
+    total = sum(n for n, _ in blocks)
+    info = struct.pack(">HH", 16, 4096) + bytes(6) + (44100 << 44 | 15 << 36 | total).to_bytes(8, "big") + bytes(16)
+    return b"fLaC\x80" + (34).to_bytes(3, "big") + info + b"".join(frame(i, n, kind) for i, (n, kind) in enumerate(blocks))
+
+
+def test_flac_and_mpeg_end_where_their_frames_do():
+    sound = flac_stream([(300, 0), (300, 1), (300, 9), (120, 9)])
+    frame = b"\xff\xfb\x90\x00" + b"a" * 413
+    song = b"ID3\x04\0\0\0\0\0\x02xx" + frame * 3
+    for stream, kind in ((sound, "audio/flac"), (song, "audio/mpeg"), (song + b"TAG" + b"n" * 125, "audio/mpeg")):
+        seen = media.sniff_bytes(b"ab" + stream + b"cd" + PNG + GIF, "text/plain")
+        assert [(e["offset"], e["type"], e["length"]) for e in seen["embedded"]] == [(2, kind, len(stream)), (4 + len(stream), "image/png", len(PNG)), (4 + len(stream) + len(PNG), "image/gif", len(GIF))]
+    for cut in (len(sound) - 1, len(sound) - 40):
+        assert not media.sniff_bytes(sound[:cut], None)["confirmed"]
+    broken = bytearray(sound)
+    broken[-10] ^= 4
+    assert not media.sniff_bytes(bytes(broken), None)["confirmed"]
