@@ -15,8 +15,10 @@ the majority is one comparison of planes with a constant.
 Fingerprints of 64 bits are cut into ``radius + 1`` blocks.  Two that differ in
 at most ``radius`` bits agree in one block at least, so looking up each block
 finds every pair within the radius.  Candidates are then verified exactly: the
-weighted Jaccard similarity of five-word shingles (weights: rarity among the
-items) of the item and of the passage of the document it is aligned with.
+weighted Jaccard similarity of five-word shingles of the item and of the passage
+of the document it is aligned with.  An item's shingle weighs by its rarity
+among all items of the benchmark, however they are dealt into blocks; a shingle
+that the item has not weighs as its own do on average.
 
 Defined results: null or empty texts and items match nothing; an item of fewer
 than five words is one shingle; items that repeat a text are found each; an item
@@ -34,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import materialize
 from .textops import NON_ALNUM, column_bytes, mix64, shingle_hashes, slices, word_hashes
 
 SHINGLE = 5
@@ -169,16 +172,23 @@ class SizeIndex:
 class BenchmarkIndex:
     """All that a task needs to search one block of benchmark items."""
 
-    def __init__(self, item_ids: list[int | None], texts: list[str], radius: int = 3, threshold: float = 0.8):
+    def __init__(self, item_ids: list[int | None], texts: list[str], radius: int = 3, threshold: float = 0.8, total: int | None = None, often: tuple[np.ndarray, np.ndarray] | None = None):
+        """``total``: items of the whole benchmark; ``often``: shingles that several of them have, ascending, and in how many each is.  Both are those of ``texts`` unless given."""
         raw, bounds = column_bytes(pa.array(texts, pa.string()))
         words, cuts = word_hashes(raw, bounds, NON_ALNUM)
         self.radius, self.item_ids = radius, pa.array(item_ids, pa.int64())
         self.lengths = np.diff(cuts)
         shingles, of = shingle_hashes(words, cuts, SHINGLE)
         self.shingles = [np.unique(shingles[a:b], return_counts=True) for a, b in zip(of, of[1:], strict=False)]
-        known, df = np.unique(np.concatenate([s for s, _ in self.shingles]) if self.shingles else np.zeros(0, np.uint64), return_counts=True)
-        self.known = known
-        self.weights = 1 + np.log(len(texts) / np.maximum(df, 1))
+        known, df = often or np.unique(np.concatenate([s for s, _ in self.shingles]) if self.shingles else np.zeros(0, np.uint64), return_counts=True)
+        rarity = 1 + np.log((total or max(len(texts), 1)) / np.maximum(df, 1))
+        alone = 1 + np.log(total or max(len(texts), 1))
+
+        def weigh(own: np.ndarray) -> np.ndarray:
+            at = np.minimum(np.searchsorted(known, own), max(len(known) - 1, 0))
+            return np.where(known[at] == own, rarity[at], alone) if len(known) else np.full(len(own), alone)
+
+        self.weights = [weigh(own) for own, _ in self.shingles]
         width = 64 // (radius + 1)
         blocks = [(b * width, width if b < radius else 64 - b * width) for b in range(radius + 1)]
         windows: dict[int, set[tuple[int, int]]] = {}
@@ -186,7 +196,7 @@ class BenchmarkIndex:
             if n:
                 for size in {size_class(n), size_class(max(1, size_class(n) // 2))}:
                     windows.setdefault(size, set()).update((i, o) for o in (0, (n - size) // 2, n - size))
-                size, step = tiles(self.weights[np.searchsorted(known, shingles[of[i] : of[i + 1]])], n, threshold)
+                size, step = tiles(weigh(shingles[of[i] : of[i + 1]]), n, threshold)
                 if size:
                     windows.setdefault(size, set()).update((i, o) for o in range(0, n - size + 1, step))
         self.sizes = sorted(windows)
@@ -201,9 +211,10 @@ class BenchmarkIndex:
             self.by_size[size] = SizeIndex(prints, of_item, offset, blocks)
 
     def _weight(self, item: int, shingles: np.ndarray) -> np.ndarray:
-        """Rarity of each shingle among the items; one that no item has weighs as the item's own do on average."""
-        at = np.minimum(np.searchsorted(self.known, shingles), len(self.known) - 1)
-        return np.where(self.known[at] == shingles, self.weights[at], self.weights[np.searchsorted(self.known, self.shingles[item][0])].mean())
+        """Weight of each shingle as the item sees it."""
+        own, weights = self.shingles[item][0], self.weights[item]
+        at = np.minimum(np.searchsorted(own, shingles), len(own) - 1)
+        return np.where(own[at] == shingles, weights[at], weights.mean())
 
     def similarity(self, item: int, words: np.ndarray) -> float:
         """Weighted Jaccard similarity of an item and a passage."""
@@ -279,11 +290,31 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def _indexes(benchmark: DataFrame, item_col: str, item_text_col: str, radius: int, block_bytes: int, threshold: float) -> Iterator:
     """Broadcast indexes of the blocks of a benchmark; an empty benchmark has one empty block."""
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).filter("length(text) > 0")
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n = max(1, -(-total // block_bytes))
+    size, total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1))).first()
+    n = max(1, -(-size // block_bytes))
+    often = None
+    if n > 1:
+        shingles = items.select(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)).alias("block"), "text").mapInArrow(_item_shingles, "block long, shingle long")
+        often = materialize(shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("items"), F.collect_set("block").alias("blocks")).filter("items > 1"), "benchmark-shingles")
     for k in range(n):
         own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).orderBy("item_id").collect()
-        yield benchmark.sparkSession.sparkContext.broadcast(BenchmarkIndex([r.item_id for r in own], [r.text for r in own], radius, threshold))
+        counts = None
+        if often is not None:
+            table = often.filter(F.array_contains("blocks", F.lit(k).cast("long"))).select("shingle", "items").toArrow()
+            known = table.column("shingle").to_numpy().view(np.uint64)
+            order = np.argsort(known)
+            counts = known[order], table.column("items").to_numpy()[order]
+        yield benchmark.sparkSession.sparkContext.broadcast(BenchmarkIndex([r.item_id for r in own], [r.text for r in own], radius, threshold, total, counts))
+
+
+def _item_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, shingle) for each different shingle of each item."""
+    for batch in slices(batches, "text"):
+        words, cuts = word_hashes(*column_bytes(batch.column("text")), NON_ALNUM)
+        shingles, of = shingle_hashes(words, cuts, SHINGLE)
+        own = [np.unique(shingles[a:b]) for a, b in zip(of, of[1:], strict=False)]
+        block = np.repeat(batch.column("block").to_numpy(), [len(x) for x in own])
+        yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(np.concatenate(own).view(np.int64))], ["block", "shingle"])
 
 
 def _searcher(index, threshold: float):
