@@ -7,7 +7,8 @@ inputs interact through low-rank factors; the sum-of-squares identity
 scores a text in time linear in its inputs.
 
 Training reads a bounded sample of labelled rows: the ``sample`` rows of
-smallest hash.  That bound is a parameter; scoring reads every whole text.
+smallest hash, and no more of them than have ``feature_bytes`` of features.
+Both bounds are parameters; scoring reads every whole text.
 
 Defined results: a null text is an empty one and gets a score too; null
 metadata counts as 0; rows without a label, or with labels other than 0 and 1,
@@ -25,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import materialize
 from .textops import SPACES, column_bytes, mix64, slices, span_hashes, word_hashes, word_spans
 
 LINE_END = np.zeros(256, bool)
@@ -108,8 +110,17 @@ def features(raw: np.ndarray, bounds: np.ndarray, meta: list[np.ndarray], bits:
 
 
 def _row_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    total = np.concatenate([np.zeros((1, values.shape[1])), np.cumsum(values, 0, dtype=np.float64)])
-    return total[bounds[1:]] - total[bounds[:-1]]
+    """Sum of each text's rows; what stands before a text does not touch its rounding."""
+    out = np.zeros((len(bounds) - 1, values.shape[1]))
+    some = np.flatnonzero(np.diff(bounds))
+    if len(some):
+        out[some] = np.add.reduceat(values.astype(np.float64), bounds[some], axis=0)
+    return out
+
+
+def _row_dots(rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """``rows @ weights``, each row's rounding its own however many there are."""
+    return (rows.reshape(*rows.shape, *[1] * (weights.ndim - 1)) * weights).sum(1)
 
 
 @dataclass
@@ -130,8 +141,8 @@ class FactorMachine:
         v = self.factors[index] * value[:, None]
         one = _row_sums(np.column_stack([self.linear[index] * value, (v * v).sum(1), v]), bounds)
         own = self.factors[words:]
-        linear = one[:, 0] + dense @ self.linear[words:]
-        return dense, linear, one[:, 2:] + dense @ own, one[:, 1] + (dense**2) @ (own**2).sum(1)
+        linear = one[:, 0] + _row_dots(dense, self.linear[words:])
+        return dense, linear, one[:, 2:] + _row_dots(dense, own), one[:, 1] + _row_dots(dense**2, (own**2).sum(1))
 
     def logits(self, bounds, index, value, stats) -> np.ndarray:
         _, linear, sums, squares = self.parts(bounds, index, value, stats)
@@ -187,8 +198,11 @@ def _meta(batch: pa.RecordBatch, names: list[str]) -> list[np.ndarray]:
     return [batch.column(c).cast(pa.float64()).fill_null(0.0).to_numpy(zero_copy_only=False) for c in names]
 
 
-def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label", order_col: str = "order", meta_cols: tuple[str, ...] = (), bits: int = 16, sample: int = 8000, **options) -> FactorMachine | None:
-    """Train on the ``sample`` rows of smallest ``order_col``; texts stay on the executors, their features come to the driver."""
+def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label", order_col: str = "order", meta_cols: tuple[str, ...] = (), bits: int = 16, sample: int = 8000, feature_bytes: int = 128 << 20, **options) -> FactorMachine | None:
+    """Train on the ``sample`` rows of smallest ``order_col``, or as many as have ``feature_bytes`` of features.
+
+    Texts stay on the executors; their features come to the driver.
+    """
     names = [f"m{i}" for i in range(len(meta_cols))]
     rows = (
         labelled.filter(F.col(label_col).isin(0, 1))
@@ -203,7 +217,12 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label", o
             blobs = [(index[a:b].tobytes(), value[a:b].tobytes()) for a, b in zip(bounds, bounds[1:], strict=False)]
             yield pa.RecordBatch.from_pydict({"o": batch.column("o"), "label": batch.column("label"), "i": pa.array([x for x, _ in blobs], pa.binary()), "v": pa.array([x for _, x in blobs], pa.binary()), "s": pa.array([r.tobytes() for r in stats], pa.binary())})
 
-    found = rows.mapInArrow(extract, "o long, label int, i binary, v binary, s binary").collect()
+    extracted = materialize(rows.mapInArrow(extract, "o long, label int, i binary, v binary, s binary"), "quality-features")
+    sizes = sorted(extracted.select("o", F.octet_length("i") + F.octet_length("v") + F.octet_length("s")).collect())
+    room = np.cumsum([n for _, n in sizes]) <= feature_bytes
+    if sizes and not room.all():
+        extracted = extracted.filter(F.col("o") < sizes[int(np.argmin(room))][0])
+    found = extracted.collect()
     found.sort(key=lambda r: (r.o, r.label, bytes(r.s), bytes(r.i)))
     if not found:
         return None

@@ -118,6 +118,36 @@ def test_items_of_null_id_are_found(spark, docs):
     assert not {0, 1, 2, 6} & {r.doc_id for r in decontaminate.drop_contaminated(docs, items).collect()}
 
 
+def test_similarity_does_not_depend_on_blocks(spark):
+    """Weights are those of the whole benchmark, however its items are dealt into blocks."""
+    common = prose(60, 14).split()
+    items = spark.createDataFrame([(i, " ".join([*common, *prose(200 + i, 40).split()])) for i in range(12)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, prose(300 + i, 30) + " " + " ".join([*common, *prose(200 + i, 40).split()][k:])) for i in range(12) for k in (0, 2, 4)], "doc_id long, text string")
+    whole = sorted((r.doc_id, r.item_id, round(r.similarity, 12)) for r in decontaminate.contaminated(docs, items).collect())
+    assert len({d for d, *_ in whole}) == 12 and len({s for *_, s in whole}) > 2
+    for size in (400, 1500):
+        assert sorted((r.doc_id, r.item_id, round(r.similarity, 12)) for r in decontaminate.contaminated(docs, items, block_bytes=size).collect()) == whole
+
+
+def test_recall_on_edited_items():
+    """Items of 20 to 400 words with random edits that leave them similar: as many are found as by comparing all passages."""
+    rng = np.random.default_rng(9)
+    found = wanted = 0
+    for n in (20, 40, 80, 130, 200, 300, 400):
+        for _ in range(12):
+            item = [f"w{k}" for k in rng.integers(0, 10**9, n)]
+            own = list(item)
+            for _ in range(int(rng.integers(1, max(2, n // 45 + 1)))):
+                own[int(rng.integers(0, len(own)))] = f"x{rng.integers(0, 10**9)}"
+            rows = [(0, " ".join([f"d{k}" for k in range(60)] + own + [f"e{k}" for k in range(60)]))]
+            index = decontaminate.BenchmarkIndex([7], [" ".join(item)])
+            hashes, cuts = word_hashes(*column_bytes(pa.array([rows[0][1]])), NON_ALNUM)
+            want = set(contaminated(rows, [(7, " ".join(item))]))
+            wanted += len(want)
+            found += len(want & {(t, 7) for t, *_ in index.search(hashes, cuts, 0.8)})
+    assert wanted > 50 and found == wanted
+
+
 # ---- mixing
 
 
@@ -230,3 +260,21 @@ def test_pipeline_stages_against_brute_force(spark, sf):
     assert mixed.columns == columns and collections.Counter(r.doc_id for r in mixed.collect()) == collections.Counter({d: n for d, n in copies.items() if n})
     last = stages["token_frames"](spark, mixed, sf).orderBy("start").collect()
     assert len(last) == mixed.count() and [r.doc_id for r in last] == sorted(r.doc_id for r in mixed.collect())
+
+
+def test_equal_texts_score_equally_and_the_sample_is_bounded(spark):
+    """A text's score has nothing of its neighbours in the batch; features beyond the bound are not learned from."""
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 500, rng.integers(0, 90))) for _ in range(120)]
+    rows = [(t, i % 2, i) for i, t in enumerate(texts)]
+    labelled = spark.createDataFrame(rows, "text string, label int, order long")
+    model = quality.fit(labelled)
+
+    def scores(some):
+        return model.scores(*quality.features(*column_bytes(pa.array(some)), [], model.bits))
+
+    alone = [float(scores([t])[0]) for t in texts]
+    assert alone == scores(texts).tolist() and alone[::-1] == scores(texts[::-1]).tolist()
+    bounded = quality.fit(labelled, feature_bytes=5000)
+    own = quality.fit(labelled.filter("order < 6"), feature_bytes=1 << 30)
+    assert bounded.mean.tolist() != model.mean.tolist() and len(bounded.mean) == len(own.mean)
