@@ -48,6 +48,23 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     return spark.read.schema(spark.read.parquet(path).schema).parquet(path)
 
 
+def discard(spark: SparkSession, *frames: DataFrame) -> None:
+    """Delete the folders of materialized frames that nothing reads any more."""
+    hadoop, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm
+    for frame in frames:
+        for name in {f.rsplit("/", 1)[0] for f in frame.inputFiles()}:
+            if name.startswith(shared_root(spark)) or name.removeprefix("file://").startswith(shared_root(spark).removeprefix("file://")):
+                path = jvm.org.apache.hadoop.fs.Path(name)
+                path.getFileSystem(hadoop).delete(path, True)
+
+
+def partitions_for(df: DataFrame, each: int = 256 << 20) -> int:
+    """How many partitions to deal ``df`` into: as configured, or more where the planner expects over ``each`` bytes in one."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    expected = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(least, -(-expected // each)) if expected < 1 << 54 else least  # more: the planner does not know
+
+
 def open_fs(uri: str):
     """(filesystem, path) of pyarrow for a URI that executors can write to."""
     from pyarrow import fs

@@ -2,8 +2,8 @@
 
 ``write_tokens`` deals documents by range of id, so that file after file holds
 ascending ids, sorts inside each partition (Spark spills if it must), and
-streams one partition into one file.  A file's name depends on its partition
-alone and appears by a rename: a task that runs again after a lost executor
+streams each partition into files of bounded size.  A file's name depends on
+its partition and number alone and appears by a rename: a task that runs again after a lost executor
 replaces it with equal content.  One manifest row a file goes through Spark;
 ids never pass through the driver.
 
@@ -24,49 +24,54 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .framefile import FrameReader, FrameWriter
-from .storage import open_fs, scratch
+from .storage import open_fs, partitions_for, scratch
 from .textops import column_bytes, slices
 
-MANIFEST = "part int, path string, docs long, tokens long, bytes long"
-DIGEST = "doc_id long, start long, n_tokens long, ids_crc32 long, part int, ordinal long"
-FULL = "doc_id long, start long, n_tokens long, ids array<int>, part int, ordinal long"
+MANIFEST = "part long, path string, docs long, tokens long, bytes long"
+DIGEST = "doc_id long, start long, n_tokens long, ids_crc32 long, part long, ordinal long"
+FULL = "doc_id long, start long, n_tokens long, ids array<int>, part long, ordinal long"
+
+
+#: A file is closed when it has this many ids.
+FILE_IDS = 1 << 27
 
 
 def _writer(path: str, tokenizer: str, end_id: int | None, width: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from .storage import write_atomically
         from .tokens import encoder
 
-        part = TaskContext.get().partitionId()
-        enc, out, totals = encoder(tokenizer), FrameWriter(width), [0, 0]
+        part, number = TaskContext.get().partitionId(), 0
+        enc = encoder(tokenizer)
 
-        def stream(first: pa.RecordBatch) -> Iterator[bytes]:
-            for batch in slices(_chain(first, batches), "text"):
+        def documents() -> Iterator[tuple[int | None, np.ndarray]]:
+            for batch in slices(batches, "text"):
                 ids, bounds = enc.encode(*column_bytes(batch.column("text")))
                 for i, doc_id in enumerate(batch.column("doc_id").to_pylist()):
                     own = ids[bounds[i] : bounds[i + 1]]
-                    if end_id is not None:
-                        own = np.append(own, np.uint32(end_id))
-                    totals[0] += 1
-                    totals[1] += len(own)
-                    yield from out.add(doc_id, own)
+                    yield doc_id, own if end_id is None else np.append(own, np.uint32(end_id))
+
+        rows = documents()
+        row, docs, tokens = next(rows, None), 0, 0
+
+        def stream() -> Iterator[bytes]:
+            nonlocal row, docs, tokens
+            out = FrameWriter(width)
+            while row is not None and tokens < FILE_IDS:
+                yield from out.add(*row)
+                docs, tokens = docs + 1, tokens + len(row[1])
+                row = next(rows, None)
             yield from out.finish()
 
-        for batch in batches:
-            if batch.num_rows:
-                from .storage import write_atomically
-
-                name = f"{path}/part-{part:06d}.tokens"
-                size = write_atomically(name, stream(batch))
-                yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [name], "docs": [totals[0]], "tokens": [totals[1]], "bytes": [size]})
+        while row is not None:
+            name, docs, tokens = f"{path}/part-{part:06d}-{number:04d}.tokens", 0, 0
+            size = write_atomically(name, stream())
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part << 16 | number], pa.int64()), "path": [name], "docs": [docs], "tokens": [tokens], "bytes": [size]})
+            number += 1
 
     return write
 
 
-def _chain(first: pa.RecordBatch, rest: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    yield first
-    yield from rest
-
-
 def write_tokens(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int | None = 2, width: int = 2, partitions: int | None = None) -> DataFrame:
     """Write ``df`` as token files below ``path``; the manifest, a row for each file.
 
@@ -76,7 +81,7 @@ def write_tokens(df: DataFrame, path: str | None = None, id_col: str = "doc_id",
 
     spark = df.sparkSession
     path = path or scratch(spark, "tokens")
-    partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = partitions or partitions_for(df)
     rows = (
         df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
         .withColumns({"tie": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
@@ -114,7 +119,7 @@ def _read(batches: Iterator[pa.RecordBatch], full: bool) -> Iterator[pa.RecordBa
                         rows["part"].append(row["part"])
                         rows["ordinal"].append(at)
                         start, at, held = start + n, at + 1, held + n * full
-                    types = {"doc_id": pa.int64(), "start": pa.int64(), "n_tokens": pa.int64(), "ids": pa.list_(pa.int32()), "ids_crc32": pa.int64(), "part": pa.int32(), "ordinal": pa.int64()}
+                    types = {"doc_id": pa.int64(), "start": pa.int64(), "n_tokens": pa.int64(), "ids": pa.list_(pa.int32()), "ids_crc32": pa.int64(), "part": pa.int64(), "ordinal": pa.int64()}
                     yield pa.RecordBatch.from_arrays([pa.array(v, types[k]) for k, v in rows.items()], list(rows))
 
 
