@@ -66,7 +66,7 @@ def op3_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = "array<struct<start:bigint,delete:bigint,insert:string>>"
     edits = [(n / 4, 10, ""), (n / 2, 0, " one more thing"), (n - 5, 5, ". The end.")]
     todo = F.array(*[F.struct(F.floor(at).cast("long").alias("start"), F.lit(cut).cast("long").alias("delete"), F.lit(new).alias("insert")) for at, cut, new in edits])
-    trees = tokencount.build_trees(docs.withColumn("edits", todo.cast(kind)), keep={"edits": kind})
+    trees = materialize(tokencount.build_trees(docs.withColumn("edits", todo.cast(kind)), keep={"edits": kind}), "token-trees")
     return tokencount.edit_trees(trees, full=False).select("doc_id", "n_before", "n_tokens", "n_edits", "text_bytes", "encoded_bytes")
 
 
@@ -85,7 +85,7 @@ def op6_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return captures.select(
         "page_id",
         "payload_bytes",
-        F.regexp_replace("payload_digest", "^sha256:", "").alias("payload_digest"),
+        F.col("payload_sha256").alias("payload_digest"),
         "record_type",
         F.col("original.page_id").alias("refers_to"),
     )

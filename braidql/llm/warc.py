@@ -2,7 +2,7 @@
 
 A capture is one response (or revisit) record with its request and metadata
 records, tied together by ``WARC-Concurrent-To``.  ``write_captures`` writes
-them, each record a gzip member of its own, one file a partition;
+them, each record a gzip member of its own, in files of bounded size;
 ``read_records`` streams files back into one row a record; ``assemble`` joins
 the records of a transaction through their concurrent-to identifiers and gives
 one nested row for each capture.
@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .storage import materialize, open_fs, scratch, write_atomically
@@ -85,24 +85,32 @@ def capture_records(page_id: int | None, url: str | None, payload: bytes, digest
     yield _record("metadata", _urn("metadata", page_id, digest), [*target, ("WARC-Concurrent-To", f"<{request_id}>"), ("Content-Type", "application/warc-fields")], meta)
 
 
+#: A file is closed when it has this many bytes.
+FILE_BYTES = 512 << 20
+
+
 def _writer(path: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, count = TaskContext.get().partitionId(), [0]
-
-        def stream(batch: pa.RecordBatch | None) -> Iterator[bytes]:
-            yield _record("warcinfo", _urn("info", part), [("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n")
-            while batch is not None:
-                for row in zip(*(batch.column(c) for c in ("page_id", "url", "payload", "digest", "refers_to")), strict=True):
-                    page_id, url, payload, digest, refers_to = (v.as_py() for v in row)
-                    yield from capture_records(page_id, url, payload, digest, refers_to)
-                    count[0] += 1
-                batch = next(batches, None)
-
-        for first in batches:
-            if first.num_rows:
-                name = f"{path}/part-{part:06d}.warc.gz"
-                size = write_atomically(name, stream(first))
-                yield pa.RecordBatch.from_pydict({"path": [name], "captures": [count[0]], "bytes": [size]})
+        part, number = TaskContext.get().partitionId(), 0
+        columns = ("page_id", "url", "payload", "digest", "refers_to")
+        rows = (tuple(v.as_py() for v in row) for batch in batches for row in zip(*(batch.column(c) for c in columns), strict=True))
+        row, count = next(rows, None), 0
+
+        def stream() -> Iterator[bytes]:
+            nonlocal row, count
+            yield _record("warcinfo", _urn("info", part, number), [("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n")
+            written = 0
+            while row is not None and written < FILE_BYTES:
+                for record in capture_records(*row):
+                    written += len(record)
+                    yield record
+                row, count = next(rows, None), count + 1
+
+        while row is not None:
+            name, count = f"{path}/part-{part:06d}-{number:04d}.warc.gz", 0
+            size = write_atomically(name, stream())
+            yield pa.RecordBatch.from_pydict({"path": [name], "captures": [count], "bytes": [size]})
+            number += 1
 
     return write
 
@@ -177,6 +185,9 @@ def record_row(headers: dict[str, list[str]], block: bytes, keep_block: bool, fi
         _, found, body = block.partition(b"\r\n\r\n")
         payload = body if found else b""
     page = one("x-page-id")
+    digest, stated = hashlib.sha256(payload).hexdigest() if kind in ("response", "resource") else None, one("warc-payload-digest") or ""
+    if digest and stated.lower().startswith("sha256:") and stated[7:].lower() != digest:
+        raise ValueError(f"{file}: the record at {offset} holds another payload than its digest says")
     return {
         "record_id": _bare(one("warc-record-id")),
         "record_type": kind,
@@ -189,7 +200,7 @@ def record_row(headers: dict[str, list[str]], block: bytes, keep_block: bool, fi
         "block_bytes": len(block),
         "payload_bytes": None if kind == "revisit" else len(payload),
         "page_id": int(page) if page else None,
-        "payload_sha256": hashlib.sha256(payload).hexdigest() if kind in ("response", "resource") else None,
+        "payload_sha256": digest,
         "block": block if keep_block else None,
         "file": file,
         "offset": offset,
@@ -246,8 +257,18 @@ def _links(records: DataFrame) -> DataFrame:
         found = materialize(found.union(newest), "warc-links")
 
 
+def _agrees(digest: str) -> Column:
+    """Whether a record's stated SHA-256, if it states one, is ``digest``, where there is one."""
+    stated = F.lower("payload_digest")
+    return F.coalesce(~stated.startswith("sha256:") | (F.substring(stated, 8, 64) == F.col(digest)), F.lit(True))
+
+
 def assemble(records: DataFrame) -> DataFrame:
-    """One row for each capture: its record, arrays of requests and metadata, and for a revisit the response it refers to."""
+    """One row for each capture: its record, arrays of requests and metadata, and for a revisit the response it refers to.
+
+    ``payload_sha256`` is computed from the payload that was read, a revisit's
+    from that of its response; a record that states another one is an error.
+    """
     records = materialize(records, "warc-records")
     links = _links(records)
     inner = F.struct("record_id", "record_type", "target_uri", "date", "content_type", "block_bytes", "block")
@@ -261,13 +282,14 @@ def assemble(records: DataFrame) -> DataFrame:
     originals = (
         main.join(named, main["record_id"] == named["id"], "left_semi")
         .groupBy(F.col("record_id").alias("original_id"))
-        .agg(F.min(F.struct("page_id", "record_id", "payload_bytes", "file", "offset")).alias("original"))
+        .agg(F.min(F.struct("page_id", "record_id", "payload_bytes", "payload_sha256", "file", "offset")).alias("original"))
     )
     return (
         main.join(gathered, main["record_id"] == gathered["of"], "left")
         .join(originals, main["refers_to"] == originals["original_id"], "left")
         .drop("of", "concurrent_to", "original_id")
         .withColumn("payload_bytes", F.coalesce("payload_bytes", "original.payload_bytes"))
+        .withColumn("payload_sha256", F.when(~_agrees("original.payload_sha256"), F.raise_error(F.lit("a revisit's digest is not that of the response it refers to"))).otherwise(F.coalesce("payload_sha256", "original.payload_sha256")))
     )
 
 

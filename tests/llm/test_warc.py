@@ -79,3 +79,32 @@ def test_query(spark, sf):
 def test_empty_table(pages):
     files = warc.write_captures(pages.limit(0))
     assert files.count() == 0 and warc.assemble(warc.read_records(files)).count() == 0
+
+
+def test_payloads_that_are_not_their_digests_are_refused(spark):
+    headers = {"warc-type": ["response"], "content-type": ["application/http;msgtype=response"], "warc-payload-digest": ["sha256:" + hashlib.sha256(b"body").hexdigest()]}
+    assert warc.record_row(headers, b"HTTP/1.1 200 OK\r\n\r\nbody", False, "f", 0)["payload_sha256"] == hashlib.sha256(b"body").hexdigest()
+    with pytest.raises(ValueError, match="another payload"):
+        warc.record_row(headers, b"HTTP/1.1 200 OK\r\n\r\nbodx", False, "f", 0)
+    row = dict.fromkeys([f.split()[0] for f in warc.RECORD.split(", ")])
+    rows = [row | {"record_id": "c", "record_type": "response", "payload_sha256": "aa", "concurrent_to": []}, row | {"record_id": "r", "record_type": "revisit", "refers_to": "c", "payload_digest": "sha256:bb", "concurrent_to": []}]
+    with pytest.raises(Exception, match="digest is not that"):
+        warc.assemble(spark.createDataFrame([tuple(r.values()) for r in rows], warc.RECORD)).collect()
+    rows[1]["payload_digest"] = "sha256:aa"
+    assert {r.payload_sha256 for r in warc.assemble(spark.createDataFrame([tuple(r.values()) for r in rows], warc.RECORD)).collect()} == {"aa"}
+
+
+def test_files_of_a_partition_are_bounded(tmp_path, monkeypatch):
+    import pyarrow as pa
+
+    class Context:
+        get = staticmethod(lambda: type("C", (), {"partitionId": lambda self: 3})())
+
+    monkeypatch.setattr(warc, "TaskContext", Context)
+    monkeypatch.setattr(warc, "FILE_BYTES", 1000)
+    batch = pa.RecordBatch.from_pydict({"page_id": list(range(9)), "url": ["http://a/"] * 9, "payload": [b"x%d" % i for i in range(9)], "digest": ["0"] * 9, "refers_to": pa.array([None] * 9, pa.int64())})
+    made = [r for out in warc._writer(str(tmp_path))(iter([batch.slice(0, 5), batch.slice(5)])) for r in out.to_pylist()]
+    assert len(made) > 2 and sum(r["captures"] for r in made) == 9
+    for r in made:
+        data = list(warc._Members(open(r["path"], "rb")))
+        assert len(data) == 1 + 3 * r["captures"]
