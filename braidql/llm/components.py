@@ -5,31 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from .storage import discard, materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of ``edges`` (columns ``a``, ``b``): root is the least node it is connected with.
 
-    Alternates the large-star and small-star steps until nothing changes; each
+    Alternates the large-star and small-star steps until only stars are left; each
     keeps the number of edges and halves depth, so rounds grow with the
     logarithm of the longest path.  What meets at a hub is a minimum, combined
     before it is shuffled, and a join of written tables, which adaptive execution can split.
     """
+    spark = edges.sparkSession
     edges = materialize(edges.filter("a is not null and b is not null and a != b").select("a", "b").distinct(), "cc-edges")
-    mark = _mark(edges)
-    while True:
+    while not _settled(edges):
+        before = edges
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         edges = materialize(_star(both).filter("a > u").select(F.col("a"), F.col("m").alias("b")).filter("a != b").distinct(), "cc-edges")
+        larger = edges
         down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         joined = _star(down)
         small = joined.select("a", F.col("m").alias("b")).union(joined.select(F.col("u").alias("a"), F.col("m").alias("b")))
         edges = materialize(small.filter("a != b").distinct(), "cc-edges")
-        new = _mark(edges)
-        if new == mark:
-            break
-        mark = new
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
+        discard(spark, before, larger)
+    down = edges.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root"))
+    return down.union(down.select("root", "root").distinct())
 
 
 def _star(edges: DataFrame) -> DataFrame:
@@ -39,6 +39,8 @@ def _star(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("of"), F.col("b").alias("a")).join(least, F.col("of") == F.col("u")).select("u", "a", "m")
 
 
-def _mark(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    return row[0], row[1]
+def _settled(edges: DataFrame) -> bool:
+    """Whether every edge leads from a node that has no other to one that leads nowhere."""
+    ends = edges.select(F.greatest("a", "b").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(edges.select(F.least("a", "b"), F.lit(0), F.lit(1)))
+    sums = ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+    return sums.filter((F.col("out") > 1) | (F.col("out") > 0) & (F.col("into") > 0)).isEmpty()

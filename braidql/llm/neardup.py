@@ -2,20 +2,25 @@
 
 Words are runs of non-space characters, A-Z in lower case; a text's set holds
 the 64-bit hashes of its runs of five words.  Each of ``trees`` prefix tries
-sorts texts by a label of ``depth`` MinHash values (ten bits each, most
+holds texts by a label of ``depth`` MinHash values (eight bits each, most
 significant first), so that texts below one trie node share a prefix of the
-label.  Matching starts at full depth; the recall of what was found is
-estimated from the similarities of the verified links (each link of similarity
-``s`` is seen with probability ``1 - (1 - s^k)^trees``), and matched prefixes
-are shortened level by level until the estimate reaches ``recall``.  At full
-depth a link at the threshold itself is already seen with probability 0.9993.
+label.  Matching starts at full depth, and matched prefixes are shortened level
+by level until the recall is met.  The recall is estimated from the verified
+links: how many of them only one trie has seen, and how many only two, tells how
+many none has (the capture-recapture estimate of Chao); each text counts once
+however many links it has.  A level also needs enough links for that, or it must
+by itself see a link at the threshold with probability ``recall`` (six values do
+so with 24 tries).  A shorter level verifies only groups that have grown.
 
 Texts that are equal are one node throughout.  Nodes below a trie node are tied
 to its least one only, connected components of those ties are cut into blocks
 of bounded size, and a task verifies the pairs of one or two blocks exactly, by
 counting shared shingles; it emits counts and a spanning tree, never pairs.  A
-component of very many blocks (one that chance ties hold together) is verified
-trie node by trie node instead, each pair in the first tree that has it.
+component of very many blocks may be one that chance ties hold together: its
+trie nodes are verified first, each pair in the first trie that has it, and then
+all pairs of each class of texts that the links found there connect.  So at
+every size of a group, all pairs that share a trie node and all pairs of a class
+are compared.
 
 Defined results: a null text is an empty one; texts without words equal only
 each other; one to four words are one shingle; rows that repeat an id or a text
@@ -25,6 +30,8 @@ are rows of their own; null ids are kept; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +39,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .storage import materialize
+from .storage import discard, materialize, partitions_for
 from .textops import column_bytes, mix64, shingle_hashes, slices, word_hashes
 
 SHINGLE = 5
-BITS = 10
+BITS = 8
 BLOCK_TEXTS = 256
 BLOCK_SHINGLES = 1 << 20
 MANY_BLOCKS = 64
@@ -62,7 +69,7 @@ def _labeller(trees: int, depth: int):
             part *= scale
             np.minimum(least, part.min(0), out=least)
         digits = (mix64(least) & np.uint64((1 << BITS) - 1)) << shifts
-        return digits.reshape(trees, depth).sum(1, dtype=np.uint64).astype(np.int64)
+        return digits.reshape(trees, depth).sum(1, dtype=np.uint64).view(np.int64)
 
     return label
 
@@ -88,10 +95,10 @@ def _shingle_column():
     return shingles
 
 
-def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
-    """Matrix of the numbers of shingles that two sets share."""
+def shared_counts(sets: list[np.ndarray], left: int | None = None) -> np.ndarray:
+    """Matrix of the numbers of shingles that two sets share; of the first ``left`` sets with the others if given."""
     n = len(sets)
-    out = np.zeros((n, n))
+    out = np.zeros((n, n) if left is None else (left, n - left))
     owner = np.repeat(np.arange(n), [len(s) for s in sets])
     _, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     column = np.cumsum(times > 1) - 1
@@ -105,61 +112,70 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
         a, b = np.searchsorted(place, [start, start + width])
         part = np.zeros((n, min(width, total - start)), np.float32)
         part[owner[a:b], place[a:b] - start] = 1
-        out += part @ part.T
+        out += part @ part.T if left is None else part[:left] @ part[left:].T
     return out
 
 
-UNIT = "tid string, links long, root string, expected double, pairs long"
+UNIT = "tid string, links long, root string, once long, twice long, unseen long"
 
 
-def _verify_unit(rows: list[dict], threshold: float, trees: int, depth: int, full: int) -> Iterator[tuple[str, int, str, float, int]]:
-    """Links of one unit: all pairs of one block, or the pairs across two."""
+def _verify_unit(rows: list[dict], threshold: float, depth: int, full: int) -> Iterator[tuple[str, int, str, int, int, int]]:
+    """Links of one unit: all pairs of one block, or the pairs across two.
+
+    ``once``, ``twice``, ``unseen``: links that one trie, two tries and no trie has at this depth.
+    """
     sets = [np.frombuffer(r["shingles"], np.uint64) for r in rows]
     size = np.array([len(s) for s in sets], float)
-    both = shared_counts(sets)
-    union = size[:, None] + size[None, :] - both
-    similar = both / np.maximum(union, 1)
-    linked = (similar >= threshold - 1e-12) & (union > 0)
-    np.fill_diagonal(linked, False)
-    side = np.array([r["side"] for r in rows])
-    if side.any():
-        linked &= side[:, None] != side[None, :]
+    left = sum(r["side"] < 2 for r in rows) if rows[0]["side"] or rows[-1]["side"] else None
+    if left in (0, len(rows)):  # one block of two has no texts
+        return
+    both = shared_counts(sets, left)
+    a, b = (size, size) if left is None else (size[:left], size[left:])
+    union = a[:, None] + b[None, :] - both
+    linked = (both >= (threshold - 1e-12) * union) & (union > 0)
+    i, j = np.nonzero(np.triu(linked, 1) if left is None else linked)
+    j = j + (left or 0)
+    labels = np.array([r["labels"] for r in rows], np.int64).view(np.uint64) >> np.uint64(BITS * (full - depth))
+    seen = np.zeros(len(i), np.int64)
     tree = rows[0]["tree"]
-    if tree is not None:  # a trie node's pairs: those that no earlier tree has
-        labels = np.array([r["labels"] for r in rows], np.int64) >> (BITS * (full - depth))
-        for t in range(tree):
-            linked &= labels[:, t][:, None] != labels[:, t][None, :]
+    early = np.zeros(len(i), bool)
+    for t in range(labels.shape[1]):
+        same = labels[i, t] == labels[j, t]
+        seen += same
+        if tree is not None and t < tree:
+            early |= same
+    i, j, seen = i[~early], j[~early], seen[~early]  # a trie node's pairs: those that no earlier trie has
     parent = list(range(len(rows)))
 
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
+    def find(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
 
-    for i, j in zip(*np.nonzero(np.triu(linked)), strict=True):
-        a, b = find(int(i)), find(int(j))
-        parent[max(a, b)] = min(a, b)
-    degree = linked.sum(1)
-    seen = 1 - (1 - np.minimum(similar, 1.0) ** depth) ** trees
-    weight = np.where(linked, 1 / np.maximum(seen, 1e-9), 0).sum(1) / 2
-    for i in np.flatnonzero(degree):
-        yield rows[i]["tid"], int(degree[i]), rows[find(int(i))]["tid"], float(weight[i]), int(degree[i])
+    for x, y in zip(i.tolist(), j.tolist(), strict=True):
+        x, y = find(x), find(y)
+        parent[max(x, y)] = min(x, y)
+    count = lambda which: np.bincount(i[which], minlength=len(rows)) + np.bincount(j[which], minlength=len(rows))
+    degree, *kinds = count(seen >= 0), count(seen == 1), count(seen == 2), count(seen == 0)
+    for k in np.flatnonzero(degree).tolist():
+        yield rows[k]["tid"], int(degree[k]), rows[find(k)]["tid"], *(int(x[k]) for x in kinds)
 
 
-def _verifier(threshold: float, trees: int, depth: int, full: int):
+def _verifier(threshold: float, depth: int, full: int):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
         out: list[tuple] = []
 
         def flush() -> None:
             if len(held) > 1:
-                out.extend(_verify_unit(sorted(held, key=lambda r: r["tid"]), threshold, trees, depth, full))
+                out.extend(_verify_unit(sorted(held, key=lambda r: (r["side"], r["tid"])), threshold, depth, full))
             held.clear()
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            kinds = [pa.string(), pa.int64(), pa.string(), pa.float64(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["tid", "links", "root", "expected", "pairs"])
+            kinds = {"string": pa.string(), "long": pa.int64()}
+            fields = [f.split() for f in UNIT.split(", ")]
+            return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)], [n for n, _ in fields])
 
         for batch in batches:
             for row in batch.to_pylist():
@@ -177,63 +193,110 @@ def _verifier(threshold: float, trees: int, depth: int, full: int):
 
 
 def _nodes_of(texts: DataFrame, depth: int, full: int) -> DataFrame:
-    """(node, tree, tid) of the trie nodes at ``depth`` that hold two texts or more."""
+    """(node, tree, tid, least) of the trie nodes at ``depth`` that hold two texts or more."""
     prefixes = texts.filter("labels is not null").select("tid", F.posexplode("labels").alias("tree", "label"))
-    rows = prefixes.select("tid", "tree", F.xxhash64("tree", F.shiftright("label", BITS * (full - depth))).alias("node"))
+    rows = prefixes.select("tid", "tree", F.xxhash64("tree", F.shiftrightunsigned("label", BITS * (full - depth))).alias("node"))
     shared = rows.groupBy(F.col("node").alias("shared")).agg(F.count(F.lit(1)).alias("members"), F.min("tid").alias("least")).filter("members > 1")
     return rows.join(shared, F.col("node") == F.col("shared")).drop("shared")
 
 
-def _dealt(rows: DataFrame, key: str, texts: str, shingles: str) -> DataFrame:
-    """Units of ``rows``: each text once for every other block of its group."""
-    blocks = F.greatest(F.ceil(F.col(texts) / BLOCK_TEXTS), F.ceil(F.col(shingles) / BLOCK_SHINGLES)).cast("int")
+def _dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Units of ``rows`` (tid, tree, texts, shingles, key): each text once for every other block of its group.
+
+    ``place`` numbers the units of a group one after another, so that they are dealt evenly.
+    """
+    blocks = F.greatest(F.ceil(F.col("texts") / BLOCK_TEXTS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     own = F.pmod(F.xxhash64("tid"), F.col("blocks")).cast("int")
     spread = rows.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    low, high = F.least("own", "other"), F.greatest("own", "other")
-    return spread.select(F.xxhash64(key, low, high, "blocks").alias("unit"), "tid", "tree", (F.col("own") > F.col("other")).alias("greater"), (F.col("own") == F.col("other")).alias("same"))
+    low, high = F.least("own", "other").cast("long"), F.greatest("own", "other").cast("long")
+    number = low * F.col("blocks") - F.floor(low * (low - 1) / 2) + high - low
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") > F.col("other"), 2).otherwise(1)
+    return spread.select(F.xxhash64(key, low, high, "blocks").alias("unit"), (F.pmod(F.xxhash64(key), F.lit(1 << 30)) + number).alias("place"), "tid", "tree", side.alias("side"))
 
 
-def _units(texts: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """(unit, tid, side, tree): what a task compares."""
-    sizes = texts.select(F.col("tid").alias("node"), "n")
-    sized = roots.join(sizes, "node")
-    groups = materialize(sized.groupBy("root").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("shingles")), "lsh-sizes")
-    grouped = materialize(sized.join(groups, "root").select(F.col("node").alias("tid"), "root", "texts", "shingles", "n"), "lsh-groups")
-    small = (F.col("texts") <= MANY_BLOCKS * BLOCK_TEXTS) & (F.col("shingles") <= MANY_BLOCKS * BLOCK_SHINGLES)
-    units = _dealt(grouped.filter(small).withColumn("tree", F.lit(None).cast("int")), "root", "texts", "shingles")
-    large = grouped.filter(~small).select("tid", "n")
-    if not large.isEmpty():
-        members = nodes.join(large, "tid").select("node", "tree", "tid", "n")
-        totals = members.groupBy("node").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("shingles"))
-        units = units.union(_dealt(members.join(totals, "node"), "node", "texts", "shingles"))
-    return units
+def _sized(members: DataFrame, key: str) -> DataFrame:
+    """``members`` (tid, n, key, ...) with texts and shingles of their group."""
+    groups = materialize(members.groupBy(F.col(key).alias("of")).agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("shingles")), "lsh-sizes")
+    return members.join(groups, F.col(key) == F.col("of")).drop("of")
 
 
-def find_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, trees: int = 24, depth: int = 6, recall: float = 0.999) -> tuple[DataFrame, DataFrame]:
+@dataclass
+class _Level:
+    """What one length of the prefixes has: groups, and the links of all texts."""
+
+    groups: DataFrame
+    found: DataFrame
+
+    def recall(self) -> tuple[float, float]:
+        """(estimate, cautious estimate) of the share of links that were found; texts weigh alike."""
+        own = self.found.groupBy("tid").agg(*[F.sum(c).alias(c) for c in ("links", "once", "twice", "unseen")])
+        share = lambda c: F.coalesce(F.sum(F.col(c) / F.col("links")) / 2, F.lit(0.0))
+        n, once, twice, unseen = own.agg(F.count(F.lit(1)) / 2, share("once"), share("twice"), share("unseen")).first()
+        missed = lambda slack: max(0.0, (once + slack) ** 2 / (2 * (twice + 1)) - unseen)
+        return (n / (n + missed(0)), n / (n + missed(3))) if n else (1.0, 0.0)
+
+
+def find_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, trees: int = 24, depth: int = 8, recall: float = 0.999) -> tuple[DataFrame, DataFrame]:
     """(rows, linked) of a corpus.
 
     ``rows``: doc_id, tid of each row (tid: MD5 of its text).  ``linked``:
     tid, root, links of every text that is similar to a different one.  Rows
     are told apart by id and text alone, never by their place in a scan.
     """
+    spark = df.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = materialize(df.select(F.col(id_col).alias("doc_id"), _tid(text).alias("tid"), _signatures(trees, depth)(text).alias("sig")).select("doc_id", "tid", "sig.n", "sig.labels"), "lsh-rows")
     texts = materialize(rows.groupBy("tid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("labels").alias("labels")), "lsh-texts")
     once = not _repeats(rows)
+    level = None
     for at in range(depth, 0, -1):
-        nodes = materialize(_nodes_of(texts, at, depth), "lsh-nodes")
-        roots = components(nodes.select(F.col("least").alias("a"), F.col("tid").alias("b")))
-        units = _units(texts, nodes, roots)
-        wanted = materialize(roots.join(texts, F.col("node") == F.col("tid")).select("tid", "doc_id", "labels"), "lsh-wanted")
-        sets = _sets_of(df, id_col, text_col, wanted, once)
-        found = _verify(sets, units, threshold, trees, at, depth)
-        total = found.agg(F.sum("pairs") / 2, F.sum("expected")).first()
-        if not total[1] or total[0] / total[1] >= recall:
+        new = _match(lambda wanted: _sets_of(df, id_col, text_col, wanted, once), texts, at, depth, threshold, level)
+        if level:
+            discard(spark, level.groups, *([] if new.found is level.found else [level.found]))
+        level = new
+        estimate, cautious = level.recall()
+        if estimate >= recall and max(cautious, 1 - (1 - threshold**at) ** trees) >= recall:
             break
+    found = level.found
     tied = components(found.select(F.col("tid").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("tid").agg(F.sum("links").cast("long").alias("links"))
-    linked = links.join(tied, F.col("tid") == F.col("node")).select("tid", "root", "links")
-    return rows.select("doc_id", "tid"), materialize(linked, "lsh-linked")
+    linked = materialize(links.join(tied, F.col("tid") == F.col("node")).select("tid", "root", "links"), "lsh-linked")
+    discard(spark, texts, level.groups, found)
+    return rows.select("doc_id", "tid"), linked
+
+
+def _match(sets_of, texts: DataFrame, at: int, depth: int, threshold: float, before: _Level | None) -> _Level:
+    """Links of the groups at prefixes of ``at`` values; those of groups that have not grown since ``before`` are kept."""
+    spark = texts.sparkSession
+    nodes = materialize(_nodes_of(texts, at, depth), "lsh-nodes")
+    roots = components(nodes.select(F.col("least").alias("a"), F.col("tid").alias("b")))
+    sized = materialize(roots.join(texts.select(F.col("tid").alias("node"), "n"), "node").select(F.col("node").alias("tid"), "root", "n"), "lsh-roots")
+    groups = materialize(sized.groupBy("root").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("shingles")), "lsh-groups")
+    # A group only ever grows, and its root is its least text: of equal root and number, it is the same.
+    grown = groups.join(before.groups.select("root", "texts"), ["root", "texts"], "left_anti") if before else groups
+    members = materialize(sized.join(grown, "root").withColumn("tree", F.lit(None).cast("int")), "lsh-members")
+    if before and members.isEmpty():
+        discard(spark, nodes, sized, members)
+        return _Level(groups, before.found)
+    sets = sets_of(members.select("tid").join(texts, "tid").select("tid", "doc_id", "labels"))
+    small = (F.col("texts") <= MANY_BLOCKS * BLOCK_TEXTS) & (F.col("shingles") <= MANY_BLOCKS * BLOCK_SHINGLES)
+    found = _verify(sets, _dealt(members.filter(small), "root"), threshold, at, depth)
+    parts = [found]
+    large = members.filter(~small).select("tid", "n")
+    chained = not large.isEmpty()
+    if chained:
+        inside = _sized(nodes.join(large, "tid").select("node", "tree", "tid", "n"), "node")
+        first = _verify(sets, _dealt(inside, "node"), threshold, at, depth)
+        classes = components(first.select(F.col("tid").alias("a"), F.col("root").alias("b")))
+        whole = classes.join(large, F.col("node") == F.col("tid")).select("tid", "root", "n", F.lit(None).cast("int").alias("tree"))
+        parts.append(_verify(sets, _dealt(_sized(whole, "root"), "root"), threshold, at, depth))
+    if before:
+        parts.append(before.found.join(members.select("tid"), "tid", "left_anti"))
+        found = materialize(reduce(DataFrame.union, parts), "lsh-found")
+    elif len(parts) > 1:
+        found = materialize(parts[0].union(parts[1]), "lsh-found")
+    discard(spark, nodes, sized, members, sets, *(p for p in parts[: 1 + chained] if p is not found))
+    return _Level(groups, found)
 
 
 def _tid(text: Column) -> Column:
@@ -253,14 +316,12 @@ def _sets_of(df: DataFrame, id_col: str, text_col: str, wanted: DataFrame, once:
     return materialize(rows.withColumn("shingles", _shingle_column()(F.col("text"))).drop("text"), "lsh-sets")
 
 
-def _verify(sets: DataFrame, units: DataFrame, threshold: float, trees: int, at: int, depth: int) -> DataFrame:
+def _verify(sets: DataFrame, units: DataFrame, threshold: float, at: int, depth: int) -> DataFrame:
     """Rows of ``UNIT``: exact links of the texts in ``sets``, unit by unit."""
-    n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    side = F.when(F.col("same"), 0).when(F.col("greater"), 2).otherwise(1)
-    dealt = units.withColumn("side", side).drop("same", "greater").join(sets, "tid")
-    labels = F.when(F.col("tree").isNotNull(), F.col("labels"))
-    dealt = dealt.select("unit", "tid", "side", "tree", labels.alias("labels"), "shingles").repartition(n, "unit").sortWithinPartitions("unit")
-    return materialize(dealt.mapInArrow(_verifier(threshold, trees, at, depth), UNIT), "lsh-found")
+    n = partitions_for(sets)
+    dealt = units.join(sets, "tid").select("unit", "tid", "side", "tree", "labels", "shingles", F.pmod("place", F.lit(n)).cast("int").alias("place"))
+    dealt = dealt.repartitionById(n, F.col("place")).drop("place").sortWithinPartitions("unit")
+    return materialize(dealt.mapInArrow(_verifier(threshold, at, depth), UNIT), "lsh-found")
 
 
 def near_duplicates(df: DataFrame, **options) -> DataFrame:

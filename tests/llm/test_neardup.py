@@ -134,3 +134,38 @@ def test_components(spark):
             x, y = sorted((find(a), find(b)))
             parent[y] = x
     assert found == {n: find(n) for n in parent}
+
+
+def borderline(seed, n, words=104):
+    """Pairs whose similarity is just over 0.8: edits of a text that spoil 10 to 11 of its 100 shingles."""
+    r = random.Random(seed)
+    out = []
+    for i in range(n):
+        base = [f"w{seed}x{i}x{k}" for k in range(words)]
+        other = list(base)
+        for at in (r.randrange(5, 40), r.randrange(50, 95)):
+            other[at] = "edited"
+        out += [" ".join(base), " ".join(other)]
+    return out
+
+
+def test_default_options_shorten_prefixes_and_find_borderline_links(spark, tmp_path, monkeypatch):
+    """Similarities of 0.80 to 0.85: full depth misses links, shorter prefixes find them all."""
+    rows = list(enumerate(borderline(3, 400)))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/d")
+    df = spark.read.parquet(f"{tmp_path}/d")
+    depths, match = [], neardup._match
+
+    def spy(sets_of, texts, at, *rest):
+        level = match(sets_of, texts, at, *rest)
+        depths.append((at, level.found.select("tid").distinct().count() / 2))
+        return level
+
+    monkeypatch.setattr(neardup, "_match", spy)
+    got = neardup.near_duplicates(df).collect()
+    sets = [set(zip(*[t.split()[k:] for k in range(5)], strict=False)) for _, t in rows]
+    near = [len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) for i in range(0, len(sets), 2)]
+    assert all(0.8 <= s <= 0.85 for s in near)
+    assert len(depths) > 1 and [a for a, _ in depths] == list(range(8, 8 - len(depths), -1))
+    assert depths[0][1] < 400 and depths[-1][1] >= 0.995 * 400
+    assert sum(r.links for r in got) == 2 * depths[-1][1]
