@@ -16,7 +16,9 @@ from __future__ import annotations
 
 import html as _html
 import re
+import sys
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -36,21 +38,25 @@ CLOSES_P = BLOCKS - frozenset("body html td th tr tbody thead tfoot caption optg
 FORMATTING = frozenset("a b big code em font i nobr s small span strike strong tt u abbr cite q sub sup kbd label mark".split())
 SCOPE_ENDS = frozenset("html table td th caption template button body".split())
 
-_TAG = re.compile(r"<(?:!--(?P<comment>.*?)(?:-->|--!>|\Z)|(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[!?/][^>]*(?:>|\Z))", re.S)
+_TAG = re.compile(r"<(?:!--(?P<comment>.*?)(?:-->|--!>|\Z)|(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|[!?/][^>]*(?:>|\Z))", re.S)
+_MARKS = re.compile(r"[>\"']")
 _ATTR = re.compile(r"([^\s=/>\"'][^\s=/>]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _CSS = re.compile(r"[{};]|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'", re.S)
 _FEATURE = re.compile(r"\(\s*(min-|max-)?(width|height)\s*:\s*([\d.]+)(px|em|rem)?\s*\)|\(\s*(orientation|hover|pointer|any-hover|any-pointer)\s*:\s*(\w+)\s*\)|\(\s*(color|hover)\s*\)")
 #: The screen that conditional rules are read for.
 SCREEN = {"width": 1280, "height": 720, "orientation": "landscape", "hover": "hover", "any-hover": "hover", "pointer": "fine", "any-pointer": "fine"}
-_SIMPLE = re.compile(r"^([a-z][a-z0-9]*|\*)?((?:[.#][\w-]+)*)$", re.I)
+_COMPOUND = re.compile(r"(?P<tag>[a-zA-Z][\w-]*|\*)?(?P<names>(?:[.#][\w-]+|\[\s*[\w-]+\s*(?:=\s*(?:\"[^\"]*\"|'[^']*'|[\w-]+)\s*)?\])*)")
+_NAMES = re.compile(r"([.#])([\w-]+)|\[\s*([\w-]+)\s*(?:(=)\s*(?:\"([^\"]*)\"|'([^']*)'|([\w-]+))\s*)?\]")
 _BLANKS = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("attrs", "children", "tag")
+    __slots__ = ("attrs", "children", "parent", "style", "tag", "within")
 
-    def __init__(self, tag: str, attrs: dict[str, str] | None = None):
-        self.tag, self.attrs, self.children = tag, attrs or {}, []
+    def __init__(self, tag: str, attrs: dict[str, str] | None = None, parent: Node | None = None):
+        self.tag, self.attrs, self.children, self.parent = tag, attrs or {}, [], parent
+        self.style: dict[str, str] | None = None  # once it is known
+        self.within: tuple[frozenset, frozenset] | None = None  # parts of selectors that it, and that it or an element around it, matches
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -61,6 +67,23 @@ def _attributes(text: str) -> dict[str, str]:
     return out
 
 
+class _Closes:
+    """Which places of a page a tag can be closed from, found in one pass from its end."""
+
+    def __init__(self, page: str):
+        marks = [(m.start(), m[0]) for m in _MARKS.finditer(page)]
+        self.places = [at for at, _ in marks]
+        self.closed = [False] * (len(marks) + 1)
+        latest: dict[str, int] = {}
+        for i in range(len(marks) - 1, -1, -1):
+            mark = marks[i][1]
+            self.closed[i] = mark == ">" or mark in latest and self.closed[latest[mark] + 1]
+            latest[mark] = i
+
+    def after(self, at: int) -> bool:
+        return self.closed[bisect_left(self.places, at)]
+
+
 class TreeBuilder:
     """Builds the tree of a page from its mark-up."""
 
@@ -69,12 +92,15 @@ class TreeBuilder:
         self.stack = [self.root]
         self.open = {"html": 1}
         self.styles: list[str] = []
+        self.tables = 0  # how deep tables are nested
 
     def _push(self, tag: str, attrs: dict[str, str] | None = None) -> Node:
-        node = Node(tag, attrs)
+        node = Node(tag, attrs, self.stack[-1])
         self.stack[-1].children.append(node)
         self.stack.append(node)
         self.open[tag] = self.open.get(tag, 0) + 1
+        if tag == "table":
+            self.tables = max(self.tables, self.open[tag])
         return node
 
     def _pop(self) -> None:
@@ -150,15 +176,15 @@ class TreeBuilder:
             self._up_to({"head"}, frozenset())
         self._implied_before(tag)
         if tag in VOID:
-            self.stack[-1].children.append(Node(tag, attrs))
+            self.stack[-1].children.append(Node(tag, attrs, self.stack[-1]))
         else:
             self._push(tag, attrs)
 
     def end(self, tag: str) -> None:
         if tag == "br":
-            self.stack[-1].children.append(Node("br"))
+            self.stack[-1].children.append(Node("br", None, self.stack[-1]))
         elif tag == "p" and not self.open.get("p"):
-            self.stack[-1].children.append(Node("p"))
+            self.stack[-1].children.append(Node("p", None, self.stack[-1]))
         elif not self.open.get(tag) or tag in ("html", "body"):
             return
         elif tag in FORMATTING:
@@ -189,8 +215,18 @@ class TreeBuilder:
 
     def feed(self, page: str) -> Node:
         at, n = 0, len(page)
+        closes: _Closes | None = None  # made when a tag turns out to have no end
         while at < n:
-            found = _TAG.search(page, at)
+            begin, found = at, None
+            while found is None:
+                begin = page.find("<", begin)
+                if begin < 0:
+                    break
+                if closes is None or not page[begin + 1 : begin + 2].isalpha() or closes.after(begin):
+                    found = _TAG.match(page, begin)
+                    if found is None and closes is None:
+                        closes = _Closes(page)
+                begin += found is None
             if not found:
                 self.text(_html.unescape(page[at:]))
                 break
@@ -224,12 +260,17 @@ class TreeBuilder:
         return self.root
 
 
-def _declarations(text: str) -> dict[str, str]:
-    out = {}
+def _declarations(text: str) -> tuple[dict[str, str], dict[str, str]]:
+    """(declarations, those marked as important)."""
+    plain, important = {}, {}
     for part in text.split(";"):
         name, _, value = part.partition(":")
-        out[name.strip().lower()] = value.replace("!important", "").strip().lower()
-    return out
+        value = value.strip().lower()
+        if value.endswith("important") and "!" in value:
+            important[name.strip().lower()] = value[: value.rindex("!")].strip()
+        elif value:
+            plain[name.strip().lower()] = value
+    return plain, important
 
 
 def _feature(text: str) -> bool | None:
@@ -268,9 +309,110 @@ def _applies(prelude: str) -> bool:
     return name == "@layer" or name == "@supports" and re.match(r"\s*\(\s*(?:display|visibility)\s*:[^()]*\)\s*$", condition) is not None
 
 
-def hiding_rules(styles: list[str]) -> list[tuple[str | None, frozenset[str], dict[str, str]]]:
-    """(tag, classes and ids, declarations) of simple selectors that touch visibility, as they hold for a screen."""
-    out = []
+class Part:
+    """One compound of a selector and how it stands to the one before."""
+
+    __slots__ = ("classes", "child", "id", "number", "others", "tag")
+
+    def __init__(self, tag: str | None, id_: str | None, classes: frozenset[str], others: tuple, child: bool, number: int):
+        self.tag, self.id, self.classes, self.others, self.child, self.number = tag, id_, classes, others, child, number
+
+    def fits(self, node: Node, classes: frozenset[str]) -> bool:
+        return (
+            (self.tag is None or self.tag == node.tag)
+            and (self.id is None or self.id == node.attrs.get("id"))
+            and self.classes <= classes
+            and all(name in node.attrs and (value is None or node.attrs[name] == value) for name, value in self.others)
+        )
+
+
+class Rules:
+    """Rules of style sheets that touch visibility, as they hold for a screen.
+
+    Selectors are chains of compounds (tag, classes, ids, attributes) joined by
+    descendant and child combinators; rules with any other selector are in doubt
+    and do not apply, so that no text is lost.  More specific rules win, then
+    later ones; important declarations win over all others.
+    """
+
+    def __init__(self, styles: list[str]):
+        self.starts: dict[str, list[tuple[Part, Part | None, int]]] = {}  # by what a node must have: (part, the one before, rule or -1)
+        self.rules: list[tuple[tuple[int, int, int, int], dict[str, str], dict[str, str]]] = []
+        self.parts = 0
+        for selectors, text in _blocks(styles):
+            plain, important = _declarations(text)
+            for selector in selectors.split(","):
+                self._add(selector.strip(), plain, important)
+
+    def _add(self, selector: str, plain: dict[str, str], important: dict[str, str]) -> None:
+        chain: list[tuple[Part, Part | None, str]] = []
+        ids = classes = tags = 0
+        child = False
+        for token in re.findall(r"(?:\[[^\]]*\]|[^\s>])+|>", selector):
+            if token == ">":
+                if child or not chain:
+                    return
+                child = True
+                continue
+            found = _COMPOUND.fullmatch(token)
+            if not found or not token:
+                return
+            tag = found["tag"].lower() if found["tag"] and found["tag"] != "*" else None
+            id_, names, others = None, [], []
+            for mark, name, attr, equal, a, b, c in _NAMES.findall(found["names"]):
+                if mark == "#":
+                    if id_ not in (None, name):
+                        return
+                    id_ = name
+                elif mark:
+                    names.append(name)
+                else:
+                    others.append((attr.lower(), a or b or c if equal else None))
+            ids, classes, tags = ids + (id_ is not None), classes + len(names) + len(others), tags + (tag is not None)
+            part = Part(tag, id_, frozenset(names), tuple(others), child, self.parts)
+            self.parts += 1
+            chain.append((part, chain[-1][0] if chain else None, f"#{id_}" if id_ else f".{names[0]}" if names else tag or "*"))
+            child = False
+        if not chain or child:
+            return
+        for i, (part, before, key) in enumerate(chain):
+            self.starts.setdefault(key, []).append((part, before, len(self.rules) if i == len(chain) - 1 else -1))
+        self.rules.append(((ids, classes, tags, len(self.rules)), plain, important))
+
+    def style(self, node: Node) -> dict[str, str]:
+        """Declarations that hold for an element; those of the elements around it are found first."""
+        if node.style is None:
+            chain = [node]
+            while chain[-1].parent is not None and chain[-1].parent.style is None:
+                chain.append(chain[-1].parent)
+            for each in reversed(chain):
+                self._find(each)
+        return node.style
+
+    def _find(self, node: Node) -> None:
+        parent, around = node.parent.within if node.parent is not None else (frozenset(), frozenset())
+        own, hit = set(), []
+        if self.starts:
+            classes = frozenset(node.attrs["class"].split()) if "class" in node.attrs else frozenset()
+            keys = [node.tag, "*", *(f".{c}" for c in classes), *([f"#{node.attrs['id']}"] if "id" in node.attrs else [])]
+            for key in keys:
+                for part, before, rule in self.starts.get(key, ()):
+                    if (before is None or before.number in (parent if part.child else around)) and part.fits(node, classes):
+                        if rule < 0:
+                            own.add(part.number)
+                        else:
+                            hit.append(self.rules[rule])
+        hit.sort(key=lambda r: r[0])
+        inline, urgent = _declarations(node.attrs["style"]) if "style" in node.attrs else ({}, {})
+        out: dict[str, str] = {}
+        for found in (*(r[1] for r in hit), inline, *(r[2] for r in hit), urgent):
+            out |= found
+        mine = frozenset(own)
+        node.style, node.within = out, (mine, around | mine if mine - around else around)
+
+
+def _blocks(styles: list[str]) -> Iterator[tuple[str, str]]:
+    """(selectors, declarations) of the rules that hold for a screen and touch visibility."""
     for sheet in styles:
         sheet = re.sub(r"/\*.*?(?:\*/|\Z)", " ", sheet, flags=re.S)
         frames: list[tuple[str, bool]] = [("", True)]  # (selectors of the rule, whether it applies)
@@ -284,17 +426,13 @@ def hiding_rules(styles: list[str]) -> list[tuple[str | None, frozenset[str], di
             if mark == "{":
                 if text.startswith("@"):
                     frames.append((selectors, live and _applies(" ".join(text.split()))))
-                else:  # what is nested in a rule is no simple selector
+                else:  # what is nested in a rule is in doubt
                     frames.append((text, live and not selectors))
                 continue
             if mark == "}" and len(frames) > 1:
                 frames.pop()
             if live and selectors and any(k in text.lower() for k in ("display", "visibility", "white-space")):
-                for selector in selectors.split(","):
-                    if found := _SIMPLE.match(selector.strip()):
-                        tag = found[1].lower() if found[1] and found[1] != "*" else None
-                        out.append((tag, frozenset(re.findall(r"[.#][\w-]+", found[2])), _declarations(text)))
-    return out
+                yield selectors, text
 
 
 def width(text: str) -> int:
@@ -379,24 +517,28 @@ class Layout:
         return self.lines
 
 
-#: Cells in wider columns are not padded, so that a page's text grows by a bounded factor.
-PAD = 60
+#: Padding of a table grows its text by this factor at most, and by ``ROOM`` columns; beyond that its widest columns are not filled.
+GROWTH, ROOM = 8, 1 << 16
+
+
+def column_limit(wide: dict[int, int], lines: int, content: int) -> int:
+    """The largest width that columns may be filled to."""
+    most = GROWTH * content + ROOM
+    low, high = 0, max(wide.values(), default=0)
+    if lines * sum(wide.values()) <= most:
+        return high
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if lines * sum(min(w, middle) for w in wide.values()) <= most else (low, middle - 1)
+    return low
 
 
 class Renderer:
-    def __init__(self, rules: list[tuple[str | None, frozenset[str], dict[str, str]]]):
+    def __init__(self, rules: Rules):
         self.rules = rules
 
     def style(self, node: Node) -> dict[str, str]:
-        out: dict[str, str] = {}
-        if self.rules:
-            own = {f".{c}" for c in node.attrs.get("class", "").split()} | ({f"#{node.attrs['id']}"} if "id" in node.attrs else set())
-            for tag, names, found in self.rules:
-                if (tag is None or tag == node.tag) and names <= own and (tag or names):
-                    out |= found
-        if "style" in node.attrs:
-            out |= _declarations(node.attrs["style"])
-        return out
+        return self.rules.style(node)
 
     def hidden(self, node: Node, style: dict[str, str]) -> bool:
         if node.tag in NEVER_SHOWN or style.get("display") == "none":
@@ -405,11 +547,11 @@ class Renderer:
             return True
         return node.tag == "dialog" and "open" not in node.attrs or node.tag == "input" and node.attrs.get("type", "").lower() == "hidden"
 
-    def render(self, root: Node, depth: int = 0) -> list[str]:
-        """Lines of a subtree.  Walks with a stack of its own, so depth is no limit."""
+    def render(self, root: Node, visible: bool = True) -> list[str]:
+        """Lines of a subtree.  Walks with a stack of its own; only tables in tables call it again."""
         out = Layout()
         counters: list[list[int]] = []
-        todo: list[tuple] = [("open", root, True)]
+        todo: list[tuple] = [("open", root, visible)]
         while todo:
             what, node, shown = todo.pop()
             if what == "call":
@@ -436,9 +578,9 @@ class Renderer:
                 if seen and value and node.attrs.get("type", "text").lower() in ("text", "search", "email", "url", "tel", "number", "submit", "button", "reset"):
                     out.text(value)
                 continue
-            if tag == "table" and depth < 12:
+            if tag == "table":
                 out.block(2)
-                out.verbatim(self.table(node, seen, depth))
+                out.verbatim(self.table(node, seen))
                 out.block(2)
                 continue
             after: list = []
@@ -494,7 +636,7 @@ class Renderer:
             todo.extend((what, c, seen) for c in reversed(children))
         return out.finish()
 
-    def table(self, table: Node, shown: bool, depth: int) -> list[str]:
+    def table(self, table: Node, shown: bool) -> list[str]:
         rows: list[tuple[Node, bool]] = []
         title: list[str] = []
         head, foot = [], []
@@ -511,16 +653,16 @@ class Renderer:
                 rows.append((part, seen))
             elif part.tag in ("thead", "tbody", "tfoot"):
                 into = {"thead": head, "tfoot": foot}.get(part.tag, rows)
-                loose = Node("tr")
+                loose = Node("tr", None, part)
                 for c in part.children:
                     if isinstance(c, Node) and c.tag == "tr":
                         into.append((c, seen))
                     elif isinstance(c, Node) or c.strip():
                         loose.children.append(c)
                 if loose.children:
-                    title += self._lines(loose, seen, depth)
+                    title += self.render(loose, seen)
             elif part.tag not in ("colgroup", "col"):
-                title += self._lines(part, seen, depth)
+                title += self.render(part, seen)
         grid: list[dict[int, tuple[list[str], int, str]]] = []
         taken: dict[int, int] = {}  # column -> rows it is still covered for
         for row, seen in [*head, *rows, *foot]:
@@ -541,7 +683,7 @@ class Renderer:
                 span = max(1, min(1000, _number(cell.attrs.get("colspan"), 1)))
                 deep = max(1, min(65534, _number(cell.attrs.get("rowspan"), 1)))
                 align = cell.attrs.get("align", self.style(cell).get("text-align", "")).lower()
-                cells[column] = (self._lines(cell, seen, depth), span, align)
+                cells[column] = (self.render(cell, seen), span, align)
                 if deep > 1:
                     fresh |= dict.fromkeys(range(column, column + span), deep - 1)
                 column += span
@@ -551,7 +693,10 @@ class Renderer:
         for cells in grid:
             for column, (lines, span, _) in cells.items():
                 if span == 1:
-                    wide[column] = min(PAD, max([wide.get(column, 0), *map(width, lines)]))
+                    wide[column] = max([wide.get(column, 0), *map(width, lines)])
+        heights = [max((len(lines) for lines, _, _ in cells.values()), default=0) for cells in grid]
+        limit = column_limit(wide, sum(heights), sum(width(x) for cells in grid for lines, _, _ in cells.values() for x in lines))
+        wide = {c: min(w, limit) for c, w in wide.items()}
         out = title
         for cells in grid:
             if not any(lines for lines, _, _ in cells.values()):
@@ -564,17 +709,12 @@ class Renderer:
                     lines, span, align = cells[at]
                     own = lines[i] if i < len(lines) else ""
                     room = sum(wide.get(c, 0) for c in range(at, at + min(span, len(wide) + 1))) + 3 * (min(span, len(wide) or 1) - 1)
-                    space = max(0, min(room, 4 * PAD) - width(own))
+                    space = max(0, room - width(own))
                     line.append(" " * space + own if align == "right" else " " * (space // 2) + own + " " * (space - space // 2) if align == "center" else own + " " * space)
                     column = at + span
                 out.append(" | ".join(line).rstrip())
         return out
 
-    def _lines(self, cell: Node, shown: bool, depth: int) -> list[str]:
-        if not shown:
-            cell = Node(cell.tag, cell.attrs | {"style": f"visibility:hidden;{cell.attrs.get('style', '')}"})
-        return self.render(cell, depth + 1)
-
 
 def _number(text: str | None, default: int) -> int:
     found = re.match(r"\s*[+-]?\d{1,9}", text or "")
@@ -587,7 +727,12 @@ def render_html(page: str | None) -> str:
         return ""
     builder = TreeBuilder()
     root = builder.feed(page)
-    return "\n".join(Renderer(hiding_rules(builder.styles)).render(root))
+    before = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(before, 1000 + 8 * builder.tables))
+    try:
+        return "\n".join(Renderer(Rules(builder.styles)).render(root))
+    finally:
+        sys.setrecursionlimit(before)
 
 
 def render(page: Column) -> Column:

@@ -1,4 +1,6 @@
+import random
 import re
+import time
 from html import unescape
 from html.parser import HTMLParser
 
@@ -109,3 +111,89 @@ def test_query_keeps_all_visible_words(spark, sf):
         walk.feed(pages[r.page_id])
         assert letters(r.text) == letters(unescape("".join(walk.out)))
         assert r.n_lines == (len(r.text.split("\n")) if r.text else 0)
+
+
+def test_rules_of_style_sheets():
+    """Conditions of @-blocks, specificity, important declarations, descendants and children."""
+    show = lambda css, body: render_html(f"<style>{css}</style>{body}")
+    assert show("@media print{.np{display:none}}", "<p class=np>hello</p><p>bye") == "hello\n\nbye"
+    assert show("#a{display:block}.b{display:none}", "<p id=a class=b>specific wins") == "specific wins"
+    assert show(".b{display:none}p{display:block}", "<p class=b>gone") == ""
+    assert show("p{display:none!important}#a{display:block}", "<p id=a style='display:block'>gone") == ""
+    assert show(".menu li{display:none}", "<div class=menu><ul><li>gone</ul></div><ul><li>kept</ul>") == "- kept"
+    assert show(".menu > a{display:none}", "<div class=menu><a>gone</a><b><a>kept</a></b></div>") == "kept"
+    assert show("div .x b{display:none}", "<div><p class=x><i><b>gone</b>kept</i></div><p class=x><b>too</b>") == "kept\n\ntoo"
+    assert show("[aria-hidden=true]{display:none}[data-x]{visibility:hidden}", "<p aria-hidden=true>gone<p aria-hidden=false>kept<p data-x>gone") == "kept"
+    assert show(".a:hover{display:none}.a + .b{display:none}", "<p class=a>kept<p class=b>too") == "kept\n\ntoo"
+    assert show("td{visibility:hidden}td b{visibility:visible}", "<table><tr><td>gone<b>seen</b></table>") == "seen"
+
+
+def test_tags_without_an_end_take_linear_time():
+    for page in ("<a " * 100_000, "<a '" * 50_000 + '<b "', ("<a " * 10 + "\"'") * 20_000, "<a \"" * 99_999 + "><p>x"):
+        start = time.perf_counter()
+        render_html(page)
+        assert time.perf_counter() - start < 5
+    assert render_html("a <b c") == "a <b c" and render_html("x <a '> y <b>z</b>") == "x <a '> y z"
+
+
+def test_nested_tables_and_wide_columns_are_aligned():
+    page = "<table><tr><td>a<td>b<tr><td>long<td>c</table>"
+    for _ in range(30):
+        page = f"<table><tr><td>{page}</table>"
+    assert render_html(page) == "a    | b\nlong | c"
+    wide = "w" * 200
+    assert render_html(f"<table><tr><td>{wide}<td>x<tr><td>s<td>y</table>") == f"{wide} | x\n{'s'.ljust(200)} | y"
+    assert render_html("<table>" * 3000 + "<tr><td>x") == "x"
+
+
+def invented(r):
+    """(mark-up, text) of a page made of blocks whose layout is plain."""
+    word = lambda: r.choice(["alpha", "beta", "γδ", "x", "longer-word", "1 &lt; 2"])
+    words = lambda: " ".join(word() for _ in range(r.randint(1, 5)))
+    plain = lambda s: s.replace("&lt;", "<")
+
+    def items(kind, level):
+        html, lines = "", []
+        for i in range(r.randint(1, 4)):
+            own, mark = words(), "- " if kind == "ul" else f"{i + 1}. "
+            html += f"<li>{own}"
+            lines.append(mark + plain(own))
+            if level < 2 and r.random() < 0.3:
+                inner, below = items(r.choice(["ul", "ol"]), level + 1)
+                html += inner
+                lines += [" " * len(mark) + x for x in below]
+            html += r.choice(["</li>", ""])
+        return f"<{kind}>{html}</{kind}>", lines
+
+    html, blocks = "", []
+    for _ in range(r.randint(0, 8)):
+        kind = r.choice(["p", "h2", "ul", "ol", "table", "pre", "hidden"])
+        if kind in ("p", "h2"):
+            own = words()
+            html += f"<{kind}>\n  {own.replace(' ', r.choice([' ', '  ', chr(10)]))} </{kind}>"
+            blocks.append([plain(own)])
+        elif kind in ("ul", "ol"):
+            own, lines = items(kind, 0)
+            html += own
+            blocks.append(lines)
+        elif kind == "pre":
+            own = [words() + "  " + word() for _ in range(3)]
+            html += "<pre>\n" + "\n".join(own) + "</pre>"
+            blocks.append([plain(x) for x in own])
+        elif kind == "hidden":
+            html += f"<p {r.choice(['hidden', 'style=display:none', 'class=no'])}>{words()}</p><script>{words()}</script><!-- {words()} -->"
+        else:
+            cells = [[words() for _ in range(r.choice([2, 3]))] for _ in range(r.randint(1, 4))]
+            html += "<table>" + "".join("<tr>" + "".join(f"<td>{c}" for c in row) for row in cells) + "</table>"
+            size = [max(len(plain(row[k])) for row in cells if k < len(row)) for k in range(max(map(len, cells)))]
+            blocks.append([" | ".join(plain(c).ljust(size[k]) for k, c in enumerate(row)).rstrip() for row in cells])
+    return "<style>.no{display:none}</style>" + html, "\n\n".join("\n".join(b) for b in blocks)
+
+
+def test_query_lays_pages_out(spark, tmp_path):
+    r = random.Random(12)
+    made = [invented(r) for _ in range(150)]
+    spark.createDataFrame([(i, h) for i, (h, _) in enumerate(made)], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {x.page_id: (x.text, x.n_lines) for x in QUERIES["op2_html_layout"](spark, str(tmp_path)).collect()}
+    for i, (_, text) in enumerate(made):
+        assert got[i] == (text, text.count("\n") + 1 if text else 0)
