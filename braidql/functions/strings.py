@@ -108,9 +108,9 @@ def _to_ascii(x: Typed) -> Column:
 
 # Latin spelling of each Cyrillic letter.
 CYRILLIC = {
-    "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ё": "yo", "ж": "zh", "з": "z", "и": "i", "й": "y",
+    "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ё": "e", "ж": "zh", "з": "z", "и": "i", "й": "y",
     "к": "k", "л": "l", "м": "m", "н": "n", "о": "o", "п": "p", "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f",
-    "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ъ": "", "ы": "y", "ь": "", "э": "e", "ю": "yu", "я": "ya",
+    "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ъ": "'", "ы": "y", "ь": "'", "э": "e", "ю": "yu", "я": "ya",
 }
 
 
@@ -136,6 +136,10 @@ IRREGULAR = {
 }
 
 
+#: Of these ``pluralize`` knows; any other word follows its rules.
+PLURALS = ("child", "man", "woman", "ox", "goose", "tooth", "foot")
+
+
 def _by_rules(x: Column, known: dict[str, str], rules: list[tuple[str, str, str]], otherwise: Column) -> Column:
     """The first rule whose pattern matches rewrites the word."""
     out = otherwise
@@ -148,8 +152,8 @@ def _by_rules(x: Column, known: dict[str, str], rules: list[tuple[str, str, str]
 
 @register("pluralize", each="str")
 def _pluralize(x: Typed) -> Column:
-    rules = [("(?i)(s|sh|ch|x|z)$", "$", "es"), ("(?i)[^aeiou]y$", "y$", "ies"), ("(?i)fe$", "fe$", "ves"), ("(?i)[^f]f$", "f$", "ves")]
-    return _by_rules(x.col, IRREGULAR, rules, F.concat(x.col, F.lit("s")))
+    rules = [("(?i)[aeiou]z$", "(?i)z$", "zzes"), ("(?i)(s|sh|ch|x|z)$", "$", "es"), ("(?i)[^aeiou]y$", "(?i)y$", "ies"), ("(?i)fe$", "(?i)fe$", "ves"), ("(?i)f$", "(?i)f$", "ves")]
+    return _by_rules(x.col, {k: IRREGULAR[k] for k in PLURALS}, rules, F.concat(x.col, F.lit("s")))
 
 
 @register("singular", each="str")

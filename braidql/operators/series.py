@@ -60,13 +60,12 @@ def ewma(df: DataFrame, column: str, alpha: float, order_by: Sequence[str], keys
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(order, kind="stable")
-        level, seen, out = None, 0, []
-        for v in rows[column]:
-            if pd.notna(v):
-                level = v if level is None else alpha * v + (1 - alpha) * level
-                seen += 1
-            out.append(level if seen >= min_periods else None)
-        return rows.assign(**{name: pd.Series(out, rows.index, dtype="float64")})
+        values = rows[column].astype("float64")
+        if alpha == 0:  # the first value stays
+            level = values.where(values.notna().cumsum() == 1).ffill()
+        else:  # the recursion runs over the values that are there
+            level = values.dropna().ewm(alpha=alpha, adjust=False).mean().reindex(rows.index).ffill()
+        return rows.assign(**{name: level.where(values.notna().cumsum() >= min_periods)})
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     return df.groupBy(*[_q(k) for k in keys]).applyInPandas(run, f"{schema}, `{name}` double")
