@@ -393,6 +393,73 @@ def _obv(t):
     return series.obv(_events(t), "value", "value", _ORDER, _BY)
 
 
+_BARS = "(SELECT event_id, user_id, ts, value + event_id % 3 AS high, value - event_id % 5 AS low, value AS close FROM events)"
+_CHAIN = "JOIN n ON n.user_id = e.user_id AND n.i = e.i + 1"
+
+
+def _bars(t) -> DataFrame:
+    own = F.col("value")
+    return t("events").select("event_id", "user_id", "ts", (own + F.col("event_id") % 3).alias("high"), (own - F.col("event_id") % 5).alias("low"), own.alias("close"))
+
+
+@_frame(
+    "series_rsi",
+    f"WITH RECURSIVE n AS (SELECT event_id, user_id, ts, value, coalesce(value - lag(value) OVER ({_OVER}), 0) AS s, row_number() OVER ({_OVER}) AS i, count(*) OVER (PARTITION BY user_id) AS c FROM events), e AS (SELECT n.*, 0::DOUBLE AS u, 0::DOUBLE AS d FROM n WHERE i = 1 UNION ALL SELECT n.*, 0.4 * greatest(n.s, 0) + 0.6 * e.u, 0.4 * greatest(-n.s, 0) + 0.6 * e.d FROM e {_CHAIN}) SELECT event_id, user_id, ts, value, CASE WHEN c > 4 THEN CASE WHEN u + d = 0 THEN 50 ELSE 100 * u / (u + d) END END AS value_rsi FROM e",
+)
+def _rsi(t):
+    return series.rsi(_events(t), "value", _ORDER, _BY, 4)
+
+
+@_frame(
+    "series_macd",
+    f"WITH RECURSIVE n AS (SELECT event_id, user_id, ts, value, row_number() OVER ({_OVER}) AS i FROM events), e AS (SELECT n.*, value AS f, value AS s, 0::DOUBLE AS g FROM n WHERE i = 1 UNION ALL SELECT n.*, (2 * n.value + e.f) / 3, (n.value + 2 * e.s) / 3, 0.4 * ((2 * n.value + e.f) / 3 - (n.value + 2 * e.s) / 3) + 0.6 * e.g FROM e {_CHAIN}) SELECT event_id, user_id, ts, value, f - s AS value_macd, g AS value_signal, f - s - g AS value_histogram FROM e",
+)
+def _macd(t):
+    return series.macd(_events(t), "value", _ORDER, _BY, 2, 5, 4)
+
+
+@_frame(
+    "series_atr",
+    f"WITH RECURSIVE b AS (SELECT *, lag(close) OVER ({_OVER}) AS p, row_number() OVER ({_OVER}) AS i FROM {_BARS}), n AS (SELECT *, greatest(high - low, abs(high - p), abs(low - p)) AS r FROM b), e AS (SELECT n.*, r::DOUBLE AS atr FROM n WHERE i = 1 UNION ALL SELECT n.*, 0.4 * n.r + 0.6 * e.atr FROM e {_CHAIN}) SELECT event_id, user_id, ts, high, low, close, atr FROM e",
+)
+def _atr(t):
+    return series.atr(_bars(t), "high", "low", "close", _ORDER, _BY, 4)
+
+
+@_frame(
+    "series_adx",
+    f"WITH b AS (SELECT *, high - lag(high) OVER ({_OVER}) AS u, lag(low) OVER ({_OVER}) - low AS d, lag(close) OVER ({_OVER}) AS p, row_number() OVER ({_OVER}) AS i FROM {_BARS}), s AS (SELECT *, sum(CASE WHEN u > d AND u > 0 THEN u ELSE 0 END) OVER w AS plus, sum(CASE WHEN d > u AND d > 0 THEN d ELSE 0 END) OVER w AS minus, sum(greatest(high - low, abs(high - p), abs(low - p))) OVER w AS r FROM b WINDOW w AS ({_OVER} ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)) SELECT event_id, user_id, ts, high, low, close, CASE WHEN i >= 8 AND r <> 0 THEN CASE WHEN plus + minus = 0 THEN 0 ELSE abs(plus - minus) / (plus + minus) * 100 END END AS adx FROM s",
+)
+def _adx(t):
+    return series.adx(_bars(t), "high", "low", "close", _ORDER, _BY, 4)
+
+
+@_frame(
+    "series_cci",
+    f"WITH b AS (SELECT *, (high + low + close) / 3 AS x FROM {_BARS}), s AS (SELECT *, avg(x) OVER w AS m, list(x) OVER w AS l FROM b WINDOW w AS ({_OVER} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)) SELECT event_id, user_id, ts, high, low, close, CASE WHEN len(l) = 1 THEN 0 ELSE (x - m) / (0.015 * list_avg(list_transform(l, lambda v: abs(v - m)))) END AS cci FROM s",
+)
+def _cci(t):
+    return series.cci(_bars(t), "high", "low", "close", _ORDER, _BY, 5)
+
+
+@_frame("series_sortino_ratio", "SELECT user_id, CASE WHEN count(*) FILTER (value < 50) = 0 THEN 'Infinity'::DOUBLE ELSE (avg(value) - 50) / sqrt(avg((value - 50) * (value - 50)) FILTER (value < 50)) END AS sortino_ratio FROM events GROUP BY 1")
+def _sortino(t):
+    return series.sortino_ratio(_events(t), "value", _BY, 50.0)
+
+
+@_frame(
+    "series_stoch_d",
+    f"WITH RECURSIVE n AS (SELECT event_id, user_id, ts, high, low, close, row_number() OVER ({_OVER}) AS i, CASE WHEN max(high) OVER w = min(low) OVER w THEN 50 ELSE (close - min(low) OVER w) / (max(high) OVER w - min(low) OVER w) * 100 END AS stoch_k FROM {_BARS} WINDOW w AS ({_OVER} ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)), e AS (SELECT n.*, stoch_k AS stoch_d FROM n WHERE i = 1 UNION ALL SELECT n.*, 0.5 * n.stoch_k + 0.5 * e.stoch_d FROM e {_CHAIN}) SELECT event_id, user_id, ts, high, low, close, stoch_k, stoch_d FROM e",
+)
+def _stoch_d(t):
+    return series.stoch_d(_bars(t), "high", "low", "close", _ORDER, _BY)
+
+
+@_frame("series_parabolic_sar", None)
+def _parabolic_sar(t):
+    return series.parabolic_sar(_bars(t), "high", "low", _ORDER, _BY)
+
+
 @_frame("series_stoch_k", f"SELECT event_id, user_id, ts, value, CASE WHEN max(value) OVER w = min(value) OVER w THEN 50 ELSE (value - min(value) OVER w) / (max(value) OVER w - min(value) OVER w) * 100 END AS stoch_k FROM events WINDOW w AS ({_OVER} ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)")
 def _stoch_k(t):
     return series.stoch_k(_events(t), "value", "value", "value", _ORDER, _BY)

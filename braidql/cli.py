@@ -20,7 +20,7 @@ from .lang import ParseError, parse
 from .operators import basic
 from .plans import compile_filter
 
-COMMANDS = ("convert", "inspect", "validate", "merge", "repl")
+COMMANDS = ("convert", "inspect", "validate", "merge", "repl", "completions")
 
 
 def _session(settings: config.Config) -> SparkSession:
@@ -92,6 +92,7 @@ def build_parser() -> tuple[argparse.ArgumentParser, argparse.ArgumentParser]:
     merge.add_argument("--on", type=lambda s: s.split(","), default=[])
     merge.add_argument("--how", default="inner")
     commands.add_parser("repl")
+    commands.add_parser("completions").add_argument("shell", choices=("bash", "zsh", "fish"))
     return run, other
 
 
@@ -149,7 +150,34 @@ def _stdin() -> str:
     return f.name
 
 
+def completions(shell: str) -> str:
+    """What a shell sources to complete commands and options, as the parsers have them."""
+    run, other = build_parser()
+    flags = lambda p: sorted(o for a in p._actions for o in a.option_strings if o.startswith("--"))
+    commands = next(a for a in other._actions if isinstance(a, argparse._SubParsersAction)).choices
+    if shell == "fish":
+        lines = ["complete -c braidql -n __fish_use_subcommand -a '" + " ".join(commands) + "'"]
+        lines += [f"complete -c braidql -n __fish_use_subcommand -l {f[2:]}" for f in flags(run)]
+        lines += [f"complete -c braidql -n '__fish_seen_subcommand_from {name}' -l {f[2:]}" for name, p in commands.items() for f in flags(p)]
+        return "\n".join(lines) + "\n"
+    cases = "\n".join(f'    {name}) words="{" ".join(flags(p))}" ;;' for name, p in commands.items())
+    body = f"""_braidql() {{
+  local words
+  case "${{COMP_WORDS[1]}}" in
+{cases}
+    *) words="{" ".join([*commands, *flags(run)])}" ;;
+  esac
+  COMPREPLY=($(compgen -W "$words" -- "${{COMP_WORDS[COMP_CWORD]}}"))
+}}
+complete -o default -F _braidql braidql
+"""
+    return body if shell == "bash" else "autoload -U +X bashcompinit && bashcompinit\n" + body
+
+
 def run_command(args: argparse.Namespace, out) -> int:
+    if args.command == "completions":
+        out.write(completions(args.shell))
+        return 0
     spark = _session(config.load())
     if args.command == "convert":
         sources.convert(spark, args.source, args.target, _read_options(args), {"format": args.output_format, "mode": "overwrite", "single": True})

@@ -6,12 +6,14 @@ is one window partition, so keys are what spreads the work.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.finance import parabolic_sar as _stops
+
 WINDOW_FUNCTIONS = {"sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max, "count": F.count, "std": F.stddev_samp, "var": F.var_samp}
 
 
@@ -107,6 +109,111 @@ def stoch_k(df: DataFrame, high: str, low: str, close: str, order_by: Sequence[s
     return df.withColumn("stoch_k", F.when(top == bottom, F.lit(50.0)).otherwise(F.try_divide(_q(close) - bottom, top - bottom) * 100))
 
 
+def cci(df: DataFrame, high: str, low: str, close: str, order_by: Sequence[str], keys: Sequence[str] = (), period: int = 20) -> DataFrame:
+    """Adds ``cci``: the typical price against its mean, by the mean deviation of the last ``period`` rows; 0 without deviation."""
+    w = _series(order_by, keys).rowsBetween(-(period - 1), 0)
+    typical = (_q(high) + _q(low) + _q(close)) / 3
+    own = F.collect_list(typical).over(w)
+    mean = F.avg(typical).over(w)
+    rows = df.withColumns({"__typical": typical, "__own": own, "__mean": mean})
+    away = F.aggregate("__own", F.lit(0.0), lambda a, v: a + F.abs(v - F.col("__mean"))) / F.size("__own")
+    index = F.coalesce(F.try_divide(F.col("__typical") - F.col("__mean"), 0.015 * away), F.lit(0.0))
+    return rows.withColumn("cci", F.when(F.col("__typical").isNotNull(), index)).drop("__typical", "__own", "__mean")
+
+
+def _true_range(high: Column, low: Column, before: Column) -> Column:
+    """``before``: the close of the row before, null at the first."""
+    return F.greatest(high - low, F.abs(high - before), F.abs(low - before))
+
+
+def adx(df: DataFrame, high: str, low: str, close: str, order_by: Sequence[str], keys: Sequence[str] = (), period: int = 14) -> DataFrame:
+    """Adds ``adx``: directional movement from plain sums over ``period`` rows; null before two periods.  Nulls add nothing to the sums."""
+    w = _series(order_by, keys)
+    up, down = _q(high) - F.lag(_q(high)).over(w), F.lag(_q(low)).over(w) - _q(low)
+    parts = {
+        "__plus": F.when((up > down) & (up > 0), up).otherwise(0.0),
+        "__minus": F.when((down > up) & (down > 0), down).otherwise(0.0),
+        "__range": _true_range(_q(high), _q(low), F.lag(_q(close)).over(w)),
+        "__at": F.row_number().over(w),
+    }
+    frame = w.rowsBetween(-(period - 1), 0)
+    sums = df.withColumns(parts).withColumns({c: F.sum(c).over(frame) for c in ("__plus", "__minus", "__range")})
+    apart = F.coalesce(F.try_divide(F.abs(F.col("__plus") - F.col("__minus")), F.col("__plus") + F.col("__minus")) * 100, F.lit(0.0))
+    return sums.withColumn("adx", F.when((F.col("__at") >= 2 * period) & (F.col("__range") != 0), apart)).drop(*parts)
+
+
+def sortino_ratio(df: DataFrame, column: str, keys: Sequence[str] = (), rate: float = 0.0) -> DataFrame:
+    """Mean above ``rate`` by the root mean square of what lies below it, for each key; infinite if nothing does.  Nulls are left out."""
+    fall = F.when(_q(column) < rate, _q(column) - rate)
+    ratio = F.when(F.count(fall) == 0, F.lit(float("inf"))).otherwise((F.avg(_q(column)) - rate) / F.sqrt(F.avg(fall * fall)))
+    return df.groupBy(*[_q(k) for k in keys]).agg(F.when(F.count(_q(column)) > 0, ratio).alias("sortino_ratio"))
+
+
+def _ema(values: pd.Series, period: int) -> pd.Series:
+    return values.ewm(alpha=2 / (period + 1), adjust=False).mean()
+
+
+def _recursive(df: DataFrame, inputs: Sequence[str], outputs: Sequence[str], fn: Callable[..., Sequence[pd.Series]], order_by: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """Adds what ``fn`` makes of a key's columns in their order.
+
+    A recursion, so each key's rows meet in one Arrow group.  A null in an input
+    makes the results of its key null.
+    """
+    order, kept = list(order_by), [f for f in df.schema.fields if f.name not in outputs]
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(order, kind="stable").reset_index(drop=True)
+        columns = [rows[c].astype("float64") for c in inputs]
+        blank = pd.Series(float("nan"), rows.index)
+        found = [blank] * len(outputs) if any(c.isna().any() for c in columns) else fn(*columns)
+        return rows[[f.name for f in kept]].assign(**dict(zip(outputs, found, strict=True)))
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"`{o}` double" for o in outputs)])
+    return df.groupBy(*[_q(k) for k in keys]).applyInPandas(run, schema)
+
+
+def rsi(df: DataFrame, column: str, order_by: Sequence[str], keys: Sequence[str] = (), period: int = 14) -> DataFrame:
+    """Adds ``{column}_rsi``: rises by rises and falls, both averaged exponentially; 50 without either, null in keys of up to ``period`` rows."""
+
+    def run(prices: pd.Series) -> Sequence[pd.Series]:
+        if len(prices) <= period:
+            return [pd.Series(float("nan"), prices.index)]
+        steps = prices.diff().fillna(0.0)
+        up, down = _ema(steps.clip(lower=0), period), _ema((-steps).clip(lower=0), period)
+        return [(100 * up / (up + down)).where(up + down != 0, 50.0)]
+
+    return _recursive(df, [column], [f"{column}_rsi"], run, order_by, keys)
+
+
+def macd(df: DataFrame, column: str, order_by: Sequence[str], keys: Sequence[str] = (), fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
+    """Adds ``{column}_macd``, ``_signal`` and ``_histogram``."""
+
+    def run(prices: pd.Series) -> Sequence[pd.Series]:
+        line = _ema(prices, fast) - _ema(prices, slow)
+        smooth = _ema(line, signal)
+        return [line, smooth, line - smooth]
+
+    return _recursive(df, [column], [f"{column}_macd", f"{column}_signal", f"{column}_histogram"], run, order_by, keys)
+
+
+def atr(df: DataFrame, high: str, low: str, close: str, order_by: Sequence[str], keys: Sequence[str] = (), period: int = 14) -> DataFrame:
+    """Adds ``atr``: the true range, averaged exponentially."""
+    before = F.lag(_q(close)).over(_series(order_by, keys))
+    rows = df.withColumn("__range", F.when(_q(close).isNotNull(), _true_range(_q(high), _q(low), before)))
+    return _recursive(rows, ["__range"], ["atr"], lambda r: [_ema(r, period)], order_by, keys).drop("__range")
+
+
+def stoch_d(df: DataFrame, high: str, low: str, close: str, order_by: Sequence[str], keys: Sequence[str] = (), period: int = 14, smooth: int = 3) -> DataFrame:
+    """Adds ``stoch_k`` and ``stoch_d``, its exponential average."""
+    return _recursive(stoch_k(df, high, low, close, order_by, keys, period), ["stoch_k"], ["stoch_d"], lambda k: [_ema(k, smooth)], order_by, keys)
+
+
+def parabolic_sar(df: DataFrame, high: str, low: str, order_by: Sequence[str], keys: Sequence[str] = (), step: float = 0.02, most: float = 0.2) -> DataFrame:
+    """Adds ``parabolic_sar``, the stop that speeds up and reverses; null in keys of fewer than three rows."""
+    run = lambda h, lo: [pd.Series(_stops(h.tolist(), lo.tolist(), step, most), h.index, dtype="float64")]
+    return _recursive(df, [high, low], ["parabolic_sar"], run, order_by, keys)
+
+
 def max_drawdown(df: DataFrame, column: str, order_by: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """The largest fall from a peak, for each key."""
     peak = F.max(_q(column)).over(_series(order_by, keys).rowsBetween(Window.unboundedPreceding, 0))

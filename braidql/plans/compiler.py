@@ -201,6 +201,9 @@ class Reducer:
         if isinstance(node, A.Index) and isinstance(node.index, A.Literal):
             return self._picked(node, A.Identity(), over)
         if isinstance(node, A.Pipe):
+            counted = self._distinct(node, over)
+            if counted is not None:
+                return counted
             for i in range(len(node.stages) - 1, 0, -1):
                 lead = self.values(A.Pipe(node.stages[:i]) if i > 1 else node.stages[0], over)
                 if lead is not None:
@@ -221,6 +224,17 @@ class Reducer:
             return self._composed(node, over)
         raise NotReducible(f"{type(node).__name__} does not reduce")
 
+    def _distinct(self, node: A.Pipe, over: Values) -> Typed | None:
+        """``... | unique | length`` counts without the set of values."""
+        *lead, first, second = node.stages
+        names = [n.name if isinstance(n, A.Call) and not n.args else None for n in (first, second)]
+        if names[0] != "unique" or names[1] not in ("length", "len", "count"):
+            return None
+        found = over if not lead else self.values(A.Pipe(tuple(lead)) if len(lead) > 1 else lead[0], over)
+        if found is None or found.element is None:
+            return None
+        return Typed(F.count_distinct(found.column().col), T.LongType())
+
     def _picked(self, index: A.Index, part: A.Node, over: Values) -> Typed:
         """A field of the first or last row."""
         base = self.values(index.base, over)

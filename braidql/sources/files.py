@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import io
 import json
+import re
 import tempfile
 from collections.abc import Iterator, Sequence
 from typing import Any
 from urllib.parse import urlparse
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +31,11 @@ READ_OPTIONS = {
     "infer_schema": "inferSchema", "parse_dates": "inferSchema", "trim_whitespace": "ignoreLeadingWhiteSpace",
 }
 WRITE_OPTIONS = {"separator": "sep", "has_header": "header", "quote_char": "quote", "null_value": "nullValue", "date_format": "dateFormat", "timestamp_format": "timestampFormat", "line_terminator": "lineSep", "quote_all": "quoteAll"}
+QUOTE_STYLES = ("necessary", "always", "non_numeric", "never")
+
+
+def _q(name: str) -> Column:
+    return F.col(f"`{name}`")
 
 
 def resolve(path: str) -> str:
@@ -76,7 +82,10 @@ def load(spark: SparkSession, path: str | Sequence[str], format: str | None = No
 
         path = "file://" + SparkFiles.get(path.rsplit("/", 1)[-1].split("?")[0])
     kind = formats.by_name(format) if format else sniff(spark, path)
+    shape = {k: options.pop(k) for k in ("flatten", "flatten_separator", "max_depth") if k in options}
     df = _read(spark, path, kind, schema, options)
+    if shape.pop("flatten", False):
+        df = flatten(df, shape.get("flatten_separator", "."), shape.get("max_depth"))
     if skip_rows:
         df = df.offset(skip_rows)
     if columns:
@@ -104,6 +113,31 @@ def _read(spark: SparkSession, path: str, kind: Format, schema: Any, options: di
     return (reader.schema(schema) if schema else reader).load(path)
 
 
+def flatten(df: DataFrame, separator: str = ".", max_depth: int | None = None) -> DataFrame:
+    """Fields of objects as columns of the table, named by their paths.
+
+    ``max_depth`` is how many levels are opened (None: all); lists stay.  A null
+    object gives null fields, an object without fields stays as it is.  Paths
+    that meet in one name are an error.
+    """
+
+    def fields(col: Column, name: str, kind: T.DataType, left: float) -> Iterator[Column]:
+        if isinstance(kind, T.StructType) and kind.fields and left > 0:
+            for f in kind.fields:
+                yield from fields(col.getField(f.name), f"{name}{separator}{f.name}", f.dataType, left - 1)
+        else:
+            names.append(name)
+            yield col.alias(name)
+
+    names: list[str] = []
+    levels = float("inf") if max_depth is None else max_depth
+    columns = [c for f in df.schema.fields for c in fields(_q(f.name), f.name, f.dataType, levels)]
+    twice = sorted({n for n in names if names.count(n) > 1})
+    if twice:
+        raise ValueError(f"flattened names meet: {', '.join(twice)}")
+    return df.select(columns)
+
+
 def _read_arrow(spark: SparkSession, path: str) -> DataFrame:
     """Arrow files, opened by the tasks that read them; the schema comes from the first one."""
     from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
@@ -162,6 +196,10 @@ def save(df: DataFrame, path: str, format: str | None = None, mode: str = "error
         raise ValueError(f"{kind.name} cannot be written")
     if kind.name in ("arrow", "excel"):
         return _save_local(df, path, kind)
+    if kind.name in ("csv", "tsv"):
+        df = _csv_values(df, options)
+    if kind.source == "json":
+        df = _json_values(df, options)
     df = df.coalesce(1) if single else df
     writer = df.write.format(kind.source).mode(mode)
     defaults = {k: v for k, v in kind.options.items() if k not in ("inferSchema", "multiLine")}
@@ -170,18 +208,70 @@ def save(df: DataFrame, path: str, format: str | None = None, mode: str = "error
         writer = df.write.format("csv").mode(mode)
         defaults["quote"] = "\0"
         defaults["emptyValue"] = ""
+    if options.get("escape_unicode") and not (single and kind.name != "jsonlines"):
+        writer, options, defaults = _json_rows(df, options).write.format("text").mode(mode), {}, {}
     for name, value in (defaults | options).items():
         writer = writer.option(WRITE_OPTIONS.get(name, name), value)
     if not single:
         writer.save(path)
         return None
     if kind.name in ("json", "jsoncompact"):
-        return _save_array(df, path, mode)
+        return _save_array(df, path, mode, options)
     folder = f"{path}.{tempfile.gettempprefix()}{abs(hash(path)) % 10**8}"
     writer.save(folder)
     return _keep_one_file(df.sparkSession, folder, path, mode)
 
 
+def _csv_values(df: DataFrame, options: dict[str, Any]) -> DataFrame:
+    """Takes ``quote_style`` and ``float_precision`` out of the options of a CSV writer.
+
+    ``necessary`` quotes what would be read wrongly, ``always`` everything,
+    ``never`` nothing, so that text which holds a separator is an error, not a
+    broken file.  ``non_numeric`` is refused: Spark's writer quotes by content.
+    ``float_precision`` is the number of decimals of floating columns.
+    """
+    style = options.pop("quote_style", "necessary")
+    if style not in QUOTE_STYLES or style == "non_numeric":
+        raise ValueError(f"no quote style {style!r}")
+    if style == "always":
+        options["quote_all"] = True
+    elif style == "never":
+        options["quote"] = "\0"
+        unsafe = "[" + re.escape(options.get("separator", options.get("sep", ","))) + "\r\n]"
+        for f in df.schema.fields:
+            if isinstance(f.dataType, T.StringType):
+                col = _q(f.name)
+                broken = F.raise_error(F.lit(f"column {f.name} holds a separator and is not quoted")).cast("string")
+                df = df.withColumn(f.name, F.when(col.rlike(unsafe), broken).otherwise(col))
+    digits = options.pop("float_precision", None)
+    if digits is not None:
+        for f in df.schema.fields:
+            if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+                col = _q(f.name)
+                finite = ~F.isnan(col) & (F.abs(col) != float("inf"))
+                df = df.withColumn(f.name, F.when(finite, F.format_string(f"%.{int(digits)}f", col.cast("double"))).otherwise(col.cast("string")))
+    return df
+
+
+def _json_values(df: DataFrame, options: dict[str, Any]) -> DataFrame:
+    """Takes ``flatten`` and ``include_nulls`` out of the options of a JSON writer; ``escape_unicode`` is for its rows."""
+    shape = {k: options.pop(k) for k in ("flatten", "flatten_separator", "max_depth") if k in options}
+    if "include_nulls" in options:
+        options["ignoreNullFields"] = not options.pop("include_nulls")
+    return flatten(df, shape.get("flatten_separator", "."), shape.get("max_depth")) if shape.get("flatten") else df
+
+
+def _json_rows(df: DataFrame, options: dict[str, Any]) -> DataFrame:
+    """Each row as one JSON text; with ``escape_unicode`` in ASCII, beyond it as escaped UTF-16 units."""
+    options = dict(options)
+    escape = options.pop("escape_unicode", False)
+    row = F.to_json(F.struct("*"), {k: str(v).lower() if isinstance(v, bool) else str(v) for k, v in options.items()})
+    if escape:
+        units = lambda c: F.regexp_replace(F.lower(F.hex(F.encode(c, "UTF-16BE"))), "(.{4})", r"\\u$1")
+        row = F.array_join(F.transform(F.regexp_extract_all(row, F.lit(r"[\x00-\x7f]+|."), F.lit(0)), lambda c: F.when(c.rlike(r"^[\x00-\x7f]"), c).otherwise(units(c))), "")
+    return df.select(row.alias("value"))
+
+
 def _keep_one_file(spark: SparkSession, folder: str, path: str, mode: str) -> None:
     """The only part file of a folder takes the folder's place."""
     jvm = spark._jvm
@@ -197,7 +287,7 @@ def _keep_one_file(spark: SparkSession, folder: str, path: str, mode: str) -> No
     fs.delete(at, True)
 
 
-def _save_array(df: DataFrame, path: str, mode: str) -> None:
+def _save_array(df: DataFrame, path: str, mode: str, options: dict[str, Any]) -> None:
     """One JSON array, streamed through the driver a partition at a time."""
     spark = df.sparkSession
     to = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -206,9 +296,11 @@ def _save_array(df: DataFrame, path: str, mode: str) -> None:
         raise FileExistsError(path)
     stream = fs.create(to, True)
     try:
-        for i, row in enumerate(df.toJSON().toLocalIterator()):
-            stream.write(bytearray((("[" if not i else ",") + "\n" + row).encode()))
-        stream.write(bytearray(b"\n]\n" if not df.isEmpty() else b"[]\n"))
+        first = True
+        for row in _json_rows(df, options).toLocalIterator():
+            stream.write(bytearray((("[" if first else ",") + "\n" + row.value).encode()))
+            first = False
+        stream.write(bytearray(b"[]\n" if first else b"\n]\n"))
     finally:
         stream.close()
 

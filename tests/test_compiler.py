@@ -89,6 +89,14 @@ def test_groups_become_aggregates(people):
     assert "HashAggregate" in plan and "collect_list" not in plan
 
 
+def test_distinct_counts_gather_no_set(people):
+    out = compile_filter("group_by(.team) | map({team: .[0].team, n: (map(.name) | unique | length)})", people)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "collect_set" not in plan and "collect_list" not in plan
+    want = {t: len({r.name for r in people.collect() if r.team == t and r.name is not None}) for t in {r.team for r in people.collect()}}
+    assert {r.team: r.n for r in out.collect()} == want
+
+
 def test_topk_and_pushdown(spark, sf):
     li = spark.read.parquet(f"{sf}/lineitem.parquet")
     assert "TakeOrderedAndProject" in _plan(compile_filter("sort_by(.l_tax) | reverse | .[0:3]", li))

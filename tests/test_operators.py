@@ -3,6 +3,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from braidql.functions import finance
 from braidql.operators import aggregate, basic, joins, reshape, series
 from braidql.operators.aggregate import Agg
 from braidql.operators.joins import Keys
@@ -86,6 +87,37 @@ def test_series(spark):
         series.rolling_agg(df, "v", "mode", 2, ["i"])
 
 
+def test_indicators_equal_those_of_arrays(spark):
+    """Each key's rows give what the array functions give of its values; a null blanks its key, short keys have no result."""
+    rows = [(k, i, 50.0 + (i * (7 + k)) % 13, 45.0 + (i * 5) % 7 - k) for k in (1, 2) for i in range(12)]
+    df = spark.createDataFrame([*rows, (3, 0, 1.0, 1.0), (4, 0, 2.0, None), (4, 1, 3.0, 1.0)], "k int, i int, h double, l double").withColumn("c", (F.col("h") + F.col("l")) / 2)
+    by = {k: [r for r in df.orderBy("i").collect() if r.k == k] for k in (1, 2, 3, 4)}
+
+    def got(out, name):
+        found = out.orderBy("k", "i").collect()
+        return {k: [r[name] for r in found if r.k == k] for k in by}
+
+    col = lambda k, c: [r[c] for r in by[k]]
+    bars = lambda k: (col(k, "h"), col(k, "l"), col(k, "c"))
+    want = {
+        "h_rsi": (series.rsi(df, "h", ["i"], ["k"], 4), lambda k: finance.rsi(col(k, "h"), 4)),
+        "h_signal": (series.macd(df, "h", ["i"], ["k"], 2, 5, 3), lambda k: [m["signal"] for m in finance.macd(col(k, "h"), 2, 5, 3)]),
+        "atr": (series.atr(df, "h", "l", "c", ["i"], ["k"], 4), lambda k: finance.atr(*bars(k), 4)),
+        "adx": (series.adx(df, "h", "l", "c", ["i"], ["k"], 3), lambda k: finance.directional_index(*bars(k), 3)),
+        "stoch_d": (series.stoch_d(df, "h", "l", "c", ["i"], ["k"], 5, 3), lambda k: finance.stoch_d(*bars(k), 5, 3)),
+        "parabolic_sar": (series.parabolic_sar(df, "h", "l", ["i"], ["k"]), lambda k: finance.parabolic_sar(col(k, "h"), col(k, "l"))),
+    }
+    for name, (out, plain) in want.items():
+        found = got(out, name)
+        for k in (1, 2):
+            assert found[k] == [None if v is None else pytest.approx(v) for v in plain(k)], name
+    assert got(want["h_rsi"][0], "h_rsi")[3] == [None] and got(want["parabolic_sar"][0], "parabolic_sar")[4] == [None, None]
+    assert got(series.cci(df, "h", "l", "c", ["i"], ["k"], 3), "cci")[3] == [0.0]
+    ratios = {r.k: r.sortino_ratio for r in series.sortino_ratio(df, "h", ["k"], 55.0).collect()}
+    assert ratios[3] == pytest.approx(-1.0)
+    assert series.rsi(df.limit(0), "h", ["i"], ["k"]).count() == 0
+
+
 def test_reshape(spark):
     df = spark.createDataFrame([(1, "a", 2.0), (1, "b", 3.0), (2, "a", 4.0)], "i int, c string, v double")
     wide = reshape.pivot(df, ["i"], "c", "v")

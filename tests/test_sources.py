@@ -1,7 +1,9 @@
 import io
 import json
+import subprocess
 
 import pytest
+from pyspark.sql import functions as F
 
 from braidql import cli, config, sources
 from braidql.api import Executor, Pipeline, Query, process_csv, process_json
@@ -43,6 +45,30 @@ def test_options(spark, tmp_path):
     assert sources.load(spark, [f"{tmp_path}/a.csv", f"{tmp_path}/a.csv"], separator=";").count() == 6
 
 
+def test_writer_options(spark, tmp_path):
+    df = spark.createDataFrame([(1, 'say "hi"', 2.345, ("x", ("é😀",))), (2, None, None, None)], "id int, s string, d double, o struct<a:string,b:struct<c:string>>").coalesce(1)
+    flat = sources.files.flatten(df, "_")
+    assert flat.columns == ["id", "s", "d", "o_a", "o_b_c"] and flat.collect()[1].o_a is None
+    assert sources.files.flatten(df, "_", 1).columns == ["id", "s", "d", "o_a", "o_b"]
+    with pytest.raises(ValueError):
+        sources.files.flatten(df.withColumn("o.a", F.lit(1)))
+    sources.save(df, f"{tmp_path}/a.jsonl", single=True, escape_unicode=True, include_nulls=True)
+    lines = (tmp_path / "a.jsonl").read_text().splitlines()
+    assert lines[0].isascii() and [json.loads(x) for x in lines][0]["o"] == {"a": "x", "b": {"c": "é😀"}} and json.loads(lines[1])["s"] is None
+    sources.save(df, f"{tmp_path}/b.json", single=True, escape_unicode=True, flatten=True, flatten_separator="/")
+    assert [r.get("o/b/c") for r in json.loads((tmp_path / "b.json").read_text())] == ["é😀", None]
+    assert sources.load(spark, f"{tmp_path}/a.jsonl", flatten=True).columns == ["d", "id", "o.a", "o.b.c", "s"]
+    plain = df.select("id", "s", "d")
+    sources.save(plain, f"{tmp_path}/a.csv", single=True, float_precision=1, quote_style="always")
+    assert (tmp_path / "a.csv").read_text().splitlines()[1] == '"1","say ""hi""","2.3"'
+    sources.save(plain, f"{tmp_path}/b.csv", single=True, float_precision=2, quote_style="never")
+    assert (tmp_path / "b.csv").read_text().splitlines()[1] == '1,say "hi",2.35'
+    with pytest.raises(Exception, match="not quoted"):
+        sources.save(plain.withColumn("s", F.lit("a,b")), f"{tmp_path}/c.csv", quote_style="never")
+    with pytest.raises(ValueError):
+        sources.save(plain, f"{tmp_path}/d.csv", quote_style="sometimes")
+
+
 @pytest.mark.parametrize("head, name", [(b"PAR1xx", "parquet"), (b"Obj\x01", "avro"), (b"ARROW1", "arrow"), (b"ORC", "orc"), (b'[{"a":1}]', "json"), (b'{"a":1}\n{"a":2}\n{"a"', "jsonlines"), (b"a\tb\n1\t2\n", "tsv"), (b"a,b\n1,2\n", "csv"), (b"a\x1fb\x1e1\x1f2", "adt")])
 def test_sniffing(head, name):
     assert formats.format_of_bytes(head).name == name
@@ -109,6 +135,13 @@ def test_command_line(spark, people, tmp_path, capsys):
     assert "valid" in out.getvalue() and "error" in out.getvalue()
 
 
+def test_completions():
+    bash = cli.completions("bash")
+    ask = lambda *words: subprocess.run(["bash", "-c", f'{bash}\nCOMP_WORDS=({" ".join(words)}); COMP_CWORD={len(words) - 1}; _braidql; echo "${{COMPREPLY[@]}}"'], capture_output=True, text=True, check=True).stdout.split()
+    assert ask("braidql", "con") == ["convert"] and ask("braidql", "validate", "--check") == ["--check-duplicates", "--check-nulls"]
+    assert "bashcompinit" in cli.completions("zsh") and "-l check-nulls" in cli.completions("fish")
+
+
 def test_config(tmp_path):
     (tmp_path / "c.toml").write_text('limit = 5\nmaster = "local[2]"\n')
     got = config.load(str(tmp_path / "c.toml"), {"BRAIDQL_LIMIT": "7"}, output_format="csv")
@@ -119,8 +152,6 @@ def test_config(tmp_path):
 
 
 def test_streaming(spark, people, tmp_path):
-    from pyspark.sql import functions as F
-
     from braidql import streaming
 
     people.write.parquet(f"{tmp_path}/in")
