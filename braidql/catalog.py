@@ -11,9 +11,11 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import streaming
 from .operators import aggregate, basic, joins, reshape, series
 from .operators.aggregate import Agg
 from .operators.joins import Keys
@@ -75,6 +77,12 @@ _filter("filter_rows", "lineitem", "map(select(.l_extendedprice > 50000 and .l_d
 _filter("filter_or_not", "orders", 'select(.o_orderstatus == "F" or not (.o_totalprice < 200000)) | {o_orderkey}', "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' OR NOT (o_totalprice < 200000)")
 _filter("filter_variable", "part", "map(select(.p_size <= $low)) | map(select(.p_name | contains($word))) | {p_partkey}", "SELECT p_partkey FROM part WHERE p_size <= 10 AND contains(p_name, 'ring')")
 _filter("map_expression", "lineitem", "map({k: .l_orderkey, n: .l_linenumber, net: .l_extendedprice * (1 - .l_discount) * (1 + .l_tax), half: .l_quantity / 2})", "SELECT l_orderkey AS k, l_linenumber AS n, l_extendedprice * (1 - l_discount) * (1 + l_tax) AS net, l_quantity / 2 AS half FROM lineitem")
+_filter("comma", "part", "map({k: .p_partkey, v: ((.p_size, .p_partkey, 3) | add)})", "SELECT p_partkey AS k, p_size + p_partkey + 3 AS v FROM part")
+_filter("quoted_field", "part", 'map({k: .p_partkey, "a b": .p_size}) | map({k: .k, v: .["a b"] * 2})', "SELECT p_partkey AS k, p_size * 2 AS v FROM part")
+_filter("filter_verb", "part", "filter(.p_size > 40) | {p_partkey, p_size}", "SELECT p_partkey, p_size FROM part WHERE p_size > 40")
+_filter("head_verb", "part", "sort_by(.p_partkey) | head(7) | {p_partkey, p_name}", "SELECT p_partkey, p_name FROM part ORDER BY p_partkey LIMIT 7")
+_filter("limit_verb", "orders", "sort_by(.o_totalprice, .o_orderkey) | reverse | limit(9) | {o_orderkey}", "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey DESC LIMIT 9")
+_filter("slice_to_the_end", "orders", "sort_by(.o_totalprice, .o_orderkey) | .[100:] | {o_orderkey}", "SELECT o_orderkey FROM orders ORDER BY o_totalprice, o_orderkey OFFSET 100")
 _filter("map_drops_null", "orders", 'map(if .o_orderstatus == "F" then .o_orderkey else null end)', "SELECT o_orderkey AS value FROM orders WHERE o_orderstatus = 'F'")
 _filter("if_else", "part", 'map({k: .p_partkey, size: if .p_size > 30 then "large" else if .p_size > 10 then "medium" else "small" end end})', "SELECT p_partkey AS k, CASE WHEN p_size > 30 THEN 'large' WHEN p_size > 10 THEN 'medium' ELSE 'small' END AS size FROM part")
 _filter("try_catch", "part", "map({k: .p_partkey, v: try (.p_retailprice / (.p_size - 10)) catch -1})", "SELECT p_partkey AS k, CASE WHEN p_size = 10 THEN -1 ELSE p_retailprice / (p_size - 10) END AS v FROM part")
@@ -99,7 +107,7 @@ _filter("unique_rows", "orders", "{o_orderstatus, o_orderpriority} | unique", "S
 _filter("length_of_table", "lineitem", "length", "SELECT count(*) AS value FROM lineitem")
 _filter("map_values", "region", "map_values(tostring)", "SELECT r_regionkey::VARCHAR AS r_regionkey, r_name FROM region")
 _filter("broadcast_lowercase", "region", "lowercase", "SELECT r_regionkey, lower(r_name) AS r_name FROM region")
-_filter("columns_of_table", "region", "columns | map(length)", None)
+_filter("columns_of_table", "part", 'columns | map(join(","))', "SELECT string_agg(column_name, ',') AS value FROM (DESCRIBE part)")
 _filter("shape_of_table", "nation", "shape", "SELECT [count(*), 3] AS value FROM nation")
 _filter("dtypes_of_table", "region", "dtypes", "SELECT 'int' AS r_regionkey, 'string' AS r_name")
 _filter("cut_columns", "nation", 'cut(["n_name", "nothing", "n_nationkey"])', "SELECT n_name, n_nationkey FROM nation")
@@ -139,7 +147,7 @@ _group("count_if", "map(select(.l_discount > 0.05)) | length", "count(*) FILTER
 _group("avg_if", "map(select(.l_discount > 0.05) | .l_quantity) | avg", "avg(l_quantity) FILTER (WHERE l_discount > 0.05)")
 _group("avg_ifs", "map(select(.l_discount > 0.05) | select(.l_tax < 0.03) | .l_quantity) | avg", "avg(l_quantity) FILTER (WHERE l_discount > 0.05 AND l_tax < 0.03)")
 _group("unique", "map(.l_linenumber) | unique | length", "count(DISTINCT l_linenumber)")
-_group("most_frequent", "map(.l_linenumber) | most_frequent", None)
+_group("most_frequent", "map(.l_linenumber) | most_frequent", "list_extract(map_keys(histogram(l_linenumber)), list_position(map_values(histogram(l_linenumber)), list_max(map_values(histogram(l_linenumber)))))")
 _group("sharpe_ratio", "map(.l_discount) | sharpe_ratio(.; 0.01)", "(avg(l_discount) - 0.01) / stddev_pop(l_discount)")
 _group("beta", "beta(map(.l_extendedprice); map(.l_quantity))", "covar_pop(l_extendedprice, l_quantity) / var_pop(l_quantity)")
 _group("alpha", "alpha(map(.l_extendedprice); map(.l_quantity))", "avg(l_extendedprice) - covar_pop(l_extendedprice, l_quantity) / var_pop(l_quantity) * avg(l_quantity)")
@@ -303,17 +311,65 @@ def _pivot_mean(t):
     return reshape.pivot(t("orders"), ["o_orderstatus"], "o_orderpriority", "o_totalprice", "mean", ["1-URGENT", "5-LOW"])
 
 
-@_frame("verb_transpose", None)
+@_frame("verb_transpose", "SELECT 'r_regionkey' AS key, * FROM (PIVOT (SELECT r_name, r_regionkey FROM region) ON r_name USING first(r_regionkey))")
 def _transpose(t):
     return reshape.transpose(t("region").select("r_name", "r_regionkey"))
 
 
+@_frame("verb_select_by_index", "SELECT p_name, p_partkey FROM part")
+def _select_by_index(t):
+    df = t("part")
+    return basic.select_by_index(df, [df.columns.index("p_name"), df.columns.index("p_partkey")])
+
+
+@_frame("verb_filter_values", "SELECT p_partkey, p_size FROM part WHERE p_size % 7 = 3")
+def _filter_values(t):
+    return basic.filter_values(t("part").select("p_partkey", "p_size"), lambda pdf: pdf["p_size"] % 7 == 3)
+
+
+@_frame("verb_with_column", "SELECT s_suppkey, s_acctbal, s_acctbal * 2 AS twice, 'x' AS mark FROM supplier")
+def _with_column(t):
+    return basic.with_column(basic.with_column(t("supplier").select("s_suppkey", "s_acctbal"), "twice", F.col("s_acctbal") * 2), "mark", "x")
+
+
+@_frame("verb_map_column", "SELECT p_partkey, upper(p_name) AS p_name FROM part")
+def _map_column(t):
+    return basic.map_column(t("part").select("p_partkey", "p_name"), "p_name", F.upper)
+
+
+@_frame("verb_map_rows", "SELECT p_partkey, p_size * 3 + 1 AS v FROM part")
+def _map_rows(t):
+    return basic.map_rows(t("part").select("p_partkey", "p_size"), lambda pdf: pdf.assign(v=pdf["p_size"] * 3 + 1)[["p_partkey", "v"]], "p_partkey long, v int")
+
+
+@_frame("verb_unique_values", "SELECT DISTINCT p_type FROM part")
+def _unique_values(t):
+    return basic.unique_values(t("part"), "p_type")
+
+
+@_frame("verb_skip", "SELECT o_orderkey FROM orders OFFSET 1234")
+def _skip(t):
+    return basic.skip(t("orders").select("o_orderkey"), 1234)
+
+
+@_frame("merge_join", "SELECT n_nationkey, n.n_name, m.n_name AS n_name_right_1 FROM nation n LEFT JOIN (SELECT * FROM nation WHERE n_regionkey = 1) m USING (n_nationkey)")
+def _merge_join(t):
+    some = t("nation").filter("n_regionkey = 1").select("n_nationkey", "n_name")
+    return files.merge([t("nation").select("n_nationkey", "n_name"), some], "join", ["n_nationkey"], "left")
+
+
+@_frame("validate_table", "SELECT 'column value has ' || count(*) FILTER (value IS NULL) || ' nulls' AS problem FROM (SELECT CASE WHEN event_id % 5 <> 0 THEN value END AS value FROM events)")
+def _validate(t):
+    df = t("events").select("event_id", F.expr("CASE WHEN event_id % 5 <> 0 THEN value END").alias("value"))
+    return df.sparkSession.createDataFrame([(p,) for p in files.validate(df, check_nulls=True)], "problem string")
+
+
 @_frame("verb_sample", None)
 def _sample(t):
     return reshape.sample(t("lineitem"), 0.1, 7)
 
 
-@_frame("verb_batches", None)
+@_frame("verb_batches", "SELECT o_orderkey, (row_number() OVER () - 1) // 1000 AS batch FROM orders")
 def _batches(t):
     return reshape.chunks(t("orders").select("o_orderkey"), 1000)
 
@@ -516,6 +572,57 @@ for _name in ("csv", "tsv", "adt", "jsonl", "orc", "parquet"):
 _round_trip("json", single=True)
 
 
+def _json_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested rows, written flat and in ASCII, read again."""
+    path = f"{_shared(spark)}/parts-{uuid.uuid4().hex}.jsonl"
+    nested = table(spark, sf_dir, "part").select("p_partkey", F.struct(F.col("p_size").alias("size"), F.concat(F.col("p_name"), F.lit(" ёΩ")).alias("name")).alias("of"))
+    files.save(nested, path, flatten=True, flatten_separator="_", escape_unicode=True)
+    return files.load(spark, path)
+
+
+QUERIES["source_json_options"] = _json_options
+ORACLE["source_json_options"] = "SELECT p_partkey, p_size::BIGINT AS of_size, p_name || ' ёΩ' AS of_name FROM part"
+
+
+def _converted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Parquet table converted to CSV, that to JSON lines, and those read."""
+    folder = f"{_shared(spark)}/converted-{uuid.uuid4().hex}"
+    files.convert(spark, f"{sf_dir}/supplier.parquet", f"{folder}.csv")
+    files.convert(spark, f"{folder}.csv", f"{folder}.jsonl")
+    return files.load(spark, f"{folder}.jsonl").select(F.col("s_suppkey").cast("long").alias("s_suppkey"), "s_name", F.col("s_acctbal").cast("double").alias("s_acctbal"))
+
+
+QUERIES["source_convert"] = _converted
+ORACLE["source_convert"] = "SELECT s_suppkey, s_name, s_acctbal FROM supplier"
+
+
+# ---- streams --------------------------------------------------------------
+
+
+def _streamed(spark: SparkSession, sf_dir: str, name: str, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a stream over a table's files writes until they are all read."""
+    folder = f"{_shared(spark)}/stream-{uuid.uuid4().hex}"
+    stream = streaming.read_stream(spark, f"{sf_dir}/{name}*.parquet", table(spark, sf_dir, name).schema)
+    writer = build(stream).writeStream.format("parquet").option("checkpointLocation", f"{folder}/state")
+    writer.trigger(availableNow=True).start(f"{folder}/rows").awaitTermination()
+    return spark.read.parquet(f"{folder}/rows")
+
+
+def _user_totals(key, frames, state):
+    n, total = state.get if state.exists else (0, 0)
+    for frame in frames:
+        n, total = n + len(frame), total + int(frame["event_id"].sum())
+    state.update((n, total))
+    yield pd.DataFrame({"user_id": [key[0]], "n": [n], "total": [total]})
+
+
+QUERIES["stream_filter"] = lambda spark, sf_dir: _streamed(spark, sf_dir, "orders", lambda s: streaming.apply(s, "map(select(.o_totalprice > 200000)) | map({k: .o_orderkey, half: .o_totalprice / 2})"))
+ORACLE["stream_filter"] = "SELECT o_orderkey AS k, o_totalprice / 2 AS half FROM orders WHERE o_totalprice > 200000"
+
+QUERIES["stream_stateful"] = lambda spark, sf_dir: _streamed(spark, sf_dir, "events", lambda s: streaming.stateful(s.select("user_id", "event_id"), ["user_id"], _user_totals, "user_id long, n long, total long", "n long, total long"))
+ORACLE["stream_stateful"] = "SELECT user_id, count(*) AS n, sum(event_id)::BIGINT AS total FROM events GROUP BY 1"
+
+
 # ---- functions of a row ---------------------------------------------------
 
 for _name, _table, _text, _sql in [
@@ -570,8 +677,10 @@ for _name, _table, _text, _sql in [
     ("array_contains", "part", "contains([1, 5, .p_size]; 7)", "p_size = 7"),
     ("array_count_if", "part", "count_if([1, 2, 3]; [.p_size > 10, true, .p_size > 30])", "1 + (p_size > 10)::INT + (p_size > 30)::INT"),
     ("array_avg_if", "part", "avg_if([1, 2, .p_size]; [true, false, true])", "(1 + p_size) / 2.0"),
-    ("array_histogram", "embeddings", "histogram(.embedding; 4) | .counts | add", "len(embedding)"),
-    ("array_value_counts", "part", "[1, 1, .p_size] | value_counts | length", "CASE WHEN p_size = 1 THEN 1 ELSE 2 END"),
+    ("array_histogram", "part", 'histogram([0, .p_size, 100, 25]; 4) | .counts | join(",")', "array_to_string(list_transform(range(4), lambda i: len(list_filter([0, p_size, 100, 25], lambda x: least(x // 25, 3) = i))), ',')"),
+    ("array_value_counts", "part", '[1, 1, .p_size] | value_counts | map(.value * 10 + .count) | join(",")', "CASE WHEN p_size = 1 THEN '13' ELSE '12,' || (p_size * 10 + 1) END"),
+    ("array_filter", "part", '[.p_size, 5, 30] | filter(. > 10) | join(",")', "array_to_string(list_filter([p_size, 5, 30], lambda x: x > 10), ',')"),
+    ("error", "part", 'try (if .p_size > 20 then error("large") else .p_name end) catch "caught"', "CASE WHEN p_size > 20 THEN 'caught' ELSE p_name END"),
     ("array_topk", "part", "topk([3, .p_size, .p_size, 3, .p_size]; 1) | .[0]", "p_size"),
     ("group_concat", "part", 'group_concat([.p_size, 2]; "-")', "p_size || '-2'"),
     ("zscore", "embeddings", ".embedding | zscore | .[0]", "(embedding[1]::DOUBLE - list_avg(embedding::DOUBLE[])) / list_stddev_pop(embedding::DOUBLE[])"),
@@ -607,14 +716,27 @@ for _name, _table, _text, _sql in [
     ("length", "documents", ".text | length", "length(text)"),
     ("tostring", "part", ".p_size | tostring", "p_size::VARCHAR"),
     ("tonumber", "part", ".p_size | tostring | tonumber", "p_size::DOUBLE"),
-    ("base32_encode", "part", ".p_name | base32_encode", None),
+    (
+        "base32_encode",
+        "part",
+        ".p_name | base32_encode",
+        "array_to_string(list_transform(range((8 * strlen(p_name) + 4) // 5), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + list_sum(list_transform(range(5), lambda k: CASE WHEN rpad(encode(p_name)::BIT::VARCHAR, 8 * strlen(p_name)::INT + 5, '0')[i * 5 + k + 1] = '1' THEN 1 << (4 - k)::INT ELSE 0 END))::INT]), '')",
+    ),
     ("base32_roundtrip", "part", ".p_name | base32_encode | base32_decode", "p_name"),
     ("base58_encode", "part", ".p_name | base58_encode", None),
+    (
+        "base58_encode_number",
+        "orders",
+        ".o_orderkey | tostring | base58_encode",
+        "ltrim(array_to_string(list_transform(range(15, -1, -1), lambda i: '123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz'[1 + (('0x' || hex(o_orderkey::VARCHAR))::HUGEINT // pow(58, i)::HUGEINT % 58)::INT]), ''), '1')",
+    ),
     ("base58_roundtrip", "part", ".p_name | base58_encode | base58_decode", "p_name"),
     ("base64_encode", "documents", ".text | base64_encode", "base64(encode(text))"),
     ("base64_decode", "documents", ".text | base64_encode | base64_decode", "text"),
     ("md5", "documents", ".text | md5", "md5(text)"),
     ("sha1", "documents", ".text | sha1", "sha1(text)"),
+    ("SHA1", "part", ".p_name | SHA1", "sha1(p_name)"),
+    ("SHA512", "part", ".p_name | SHA512", None),
     ("sha256", "documents", ".text | sha256", "sha256(text)"),
     ("sha512", "part", ".p_name | sha512", None),
     ("fromjson", "events", '.props | fromjson(.; "k INT") | .k', "(props->>'k')::INT"),
@@ -679,6 +801,7 @@ for _name, _table, _text, _sql in [
     ("now", "part", "now | length", "23"),
     ("today", "part", "today | length", "10"),
     ("systime", "part", "systime | type", "'integer'"),
+    ("systime_ns", "part", "systime_ns > 1700000000000000000", "true"),
     ("systime_int", "part", "systime_int > 0", "true"),
     ("log_returns", "part", "[.p_retailprice, .p_size, .p_partkey] | log_returns | .[2]", "CASE WHEN p_partkey > 0 THEN ln(p_partkey / p_size::DOUBLE) END"),
     ("roc", "part", "roc([.p_size, 5, .p_retailprice]; 2) | .[2]", "(p_retailprice / p_size - 1) * 100"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
@@ -17,6 +18,7 @@ CASTS = {
     "string": "string", "str": "string", "utf8": "string", "boolean": "boolean", "bool": "boolean", "date": "date", "datetime": "timestamp", "timestamp": "timestamp", "time": "string",
 }
 ROW = "__row"
+PLACE = "__place"
 
 
 def ddl_of(name: str) -> str:
@@ -103,8 +105,41 @@ def tail(df: DataFrame, n: int = 5) -> DataFrame:
     return numbered(df).orderBy(F.desc(ROW)).limit(n).orderBy(ROW).drop(ROW)
 
 
+def stable(df: DataFrame) -> DataFrame:
+    """A frame whose rows lie in the same partitions however often it is read.
+
+    Scans and what follows them row by row are so already; behind a shuffle the
+    rows are written to the folder that ``spark.checkpoint.dir`` names.
+    """
+    if "Exchange" not in df._jdf.queryExecution().executedPlan().toString():
+        return df
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        root = sc.getConf().get("spark.checkpoint.dir")
+        if not root and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(root or "file://" + tempfile.mkdtemp(prefix="braidql-"))
+    return df.checkpoint()
+
+
+def placed(df: DataFrame, name: str = PLACE) -> DataFrame:
+    """With the place of each row in the order of input, from 0.
+
+    Rows are counted by partition first, so no task sees them all; only those
+    counts, one for each partition, come together.
+    """
+    row = F.monotonically_increasing_id()
+    tagged = stable(df).withColumns({"__part": F.shiftright(row, 33), name: row.bitwiseAND(F.lit((1 << 33) - 1))})
+    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = tagged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = counts.select(F.col("__part").alias("__of"), F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    found = tagged.join(F.broadcast(before), F.col("__part") == F.col("__of"))
+    return found.withColumn(name, F.col("__before") + F.col(name)).drop("__part", "__of", "__before")
+
+
 def skip(df: DataFrame, n: int) -> DataFrame:
-    return df.offset(n)
+    """Rows behind the first ``n``; an offset without a limit would send all of them through one task."""
+    return placed(df).filter(F.col(PLACE) >= n).drop(PLACE) if n > 0 else df
 
 
 def slice_rows(df: DataFrame, offset: int, length: int) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .basic import PLACE, placed
+
 # Aggregates that a pivot may use.
 PIVOT_AGGREGATES = {"sum": F.sum, "mean": F.avg, "avg": F.avg, "count": F.count, "min": F.min, "max": F.max, "first": F.first, "last": F.last, "median": F.median}
 
@@ -91,15 +93,5 @@ def frequencies(df: DataFrame, column: str, kind: str, args: Sequence) -> DataFr
 
 
 def chunks(df: DataFrame, size: int) -> DataFrame:
-    """Rows with the number of their batch of ``size``, in the order of input.
-
-    Partitions are counted first, so numbering needs no single task.
-    """
-    row = F.monotonically_increasing_id()
-    part, place = F.shiftright(row, 33), row.bitwiseAND(F.lit((1 << 33) - 1))
-    tagged = df.withColumns({"__part": part, "__place": place})
-    from pyspark.sql import Window
-
-    before = tagged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(F.col("__part").alias("__of"), "__before")
-    joined = tagged.join(F.broadcast(before), F.col("__part") == F.col("__of"))
-    return joined.withColumn("batch", F.floor((F.col("__before") + F.col("__place")) / size)).drop("__part", "__place", "__of", "__before")
+    """Rows with the number of their batch of ``size``, in the order of input."""
+    return placed(df).withColumn("batch", F.floor(F.col(PLACE) / size)).drop(PLACE)

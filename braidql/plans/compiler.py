@@ -26,7 +26,7 @@ from ..functions.objects import leaves
 from ..functions.registry import REGISTRY, FilterError, Typed, fits, literal, truthy, type_of
 from ..lang import ast as A
 from ..lang import parse
-from ..operators import joins, reshape
+from ..operators import basic, joins, reshape
 from .expressions import Scope, assigned, evaluate, invoke, path_of, predicate, put_field, quoted, row_scope
 
 ROWID = "__rowid"
@@ -91,8 +91,10 @@ class Frame:
             n = self.df.count()
             start, stop = max(0, start + n) if start < 0 else start, n if stop is None else stop + n if stop < 0 else stop
         df = self.df.orderBy(*self.sorts()) if self.order else self.df
+        if stop is None:
+            return replace(self, df=basic.skip(df, start))
         df = df.offset(start) if start else df
-        return replace(self, df=df if stop is None else df.limit(max(0, stop - start)))
+        return replace(self, df=df.limit(max(0, stop - start)))
 
     def finish(self) -> DataFrame:
         df = self.df.orderBy(*self.sorts()) if self.order else self.df

@@ -87,7 +87,7 @@ def load(spark: SparkSession, path: str | Sequence[str], format: str | None = No
     if shape.pop("flatten", False):
         df = flatten(df, shape.get("flatten_separator", "."), shape.get("max_depth"))
     if skip_rows:
-        df = df.offset(skip_rows)
+        df = basic.skip(df, skip_rows) if max_rows is None else df.offset(skip_rows)
     if columns:
         df = basic.select(df, columns)
     return df.limit(max_rows) if max_rows is not None else df

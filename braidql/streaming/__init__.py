@@ -6,12 +6,13 @@ on a stream as it is; others run on each micro-batch.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState
 
 from ..plans import compile_filter
 
@@ -32,6 +33,15 @@ def for_each_batch(stream: DataFrame, text: str, sink: Callable[[DataFrame, int]
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def stateful(stream: DataFrame, keys: list[str], fn: Callable[[tuple, Iterator, GroupState], Iterator], schema: str, state: str, mode: str = "append", timeout: str = "NoTimeout") -> DataFrame:
+    """A Python function with a state of its own for each key.
+
+    ``fn`` takes the key, pandas frames of its new rows and the state, which
+    outlives batches and lost executors in the query's checkpoint.
+    """
+    return stream.groupBy(*keys).applyInPandasWithState(fn, schema, state, mode, timeout)
+
+
 def tumbling(df: DataFrame, at: str, size: str, aggs: list, keys: tuple[str, ...] = (), late: str | None = None, slide: str | None = None) -> DataFrame:
     """Aggregates over event-time windows; ``late``: how long late rows are waited for."""
     df = df.withWatermark(at, late) if late else df

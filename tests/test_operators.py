@@ -130,6 +130,15 @@ def test_reshape(spark):
     assert reshape.histogram(spark.createDataFrame([], "v double"), "v", 3).count() == 0
 
 
+def test_places_after_a_shuffle(spark):
+    """Rows are numbered once each, also where a second reading could deal them otherwise."""
+    df = spark.range(1000).repartition(7).withColumn("v", F.col("id") % 10)
+    assert sorted(r[basic.PLACE] for r in basic.placed(df).collect()) == list(range(1000))
+    assert basic.skip(df, 300).count() == 700 and basic.skip(df, 0).count() == 1000 and basic.skip(df, 2000).count() == 0
+    assert [r.id for r in basic.skip(df.orderBy("id"), 995).collect()] == [995, 996, 997, 998, 999]
+    assert basic.skip(spark.range(0), 3).columns == ["id"]
+
+
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.integers(0, 3), st.integers(-50, 50)), min_size=1, max_size=30))
 def test_group_sums_add_up(spark, pairs):

@@ -2,6 +2,7 @@ import io
 import json
 import subprocess
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -164,3 +165,14 @@ def test_streaming(spark, people, tmp_path):
     events = spark.createDataFrame([("a", "2024-01-01 00:00:10"), ("a", "2024-01-01 00:00:50"), ("a", "2024-01-01 00:09:00")], "k string, t string").withColumn("t", F.to_timestamp("t"))
     assert streaming.tumbling(events, "t", "1 minute", [F.count("*").alias("n")], ("k",)).count() == 2
     assert streaming.sessions(events, "t", "2 minutes", [F.count("*").alias("n")], ("k",)).count() == 2
+
+    def total(key, frames, state):
+        state.update(((state.get[0] if state.exists else 0) + sum(int(f["age"].sum()) for f in frames),))
+        yield pd.DataFrame({"city": [key[0]], "total": [state.get[0]]})
+
+    for _ in range(2):  # the second run takes up the state that the first has left
+        ages = streaming.stateful(streaming.read_stream(spark, f"{tmp_path}/in", people.schema), ["city"], total, "city string, total long", "total long")
+        ages.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/ages-state").trigger(availableNow=True).start(f"{tmp_path}/ages").awaitTermination()
+        people.write.mode("append").parquet(f"{tmp_path}/in")
+    once = {r.city: r.s for r in people.groupBy("city").agg(F.sum("age").alias("s")).collect()}
+    assert {r.city: r.m for r in spark.read.parquet(f"{tmp_path}/ages").groupBy("city").agg(F.max("total").alias("m")).collect()} == {k: 2 * v for k, v in once.items()}
