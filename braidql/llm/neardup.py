@@ -16,6 +16,7 @@ Texts that are equal are one node throughout.  Nodes below a trie node are tied
 to its least one only, connected components of those ties are cut into blocks
 of bounded size, and a task verifies the pairs of one or two blocks exactly, by
 counting shared shingles; it emits counts and a spanning tree, never pairs.  A
+block of several is stored once, and tasks that verify two read both.  A
 component of very many blocks may be one that chance ties hold together: its
 trie nodes are verified first, each pair in the first trie that has it, and then
 all pairs of each class of texts that the links found there connect.  So at
@@ -32,6 +33,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .storage import discard, materialize, partitions_for
+from .storage import discard, materialize, read_whole, remove, scratch, write_atomically
 from .textops import column_bytes, mix64, shingle_hashes, slices, word_hashes
 
 SHINGLE = 5
@@ -47,6 +49,7 @@ BITS = 8
 BLOCK_TEXTS = 256
 BLOCK_SHINGLES = 1 << 20
 MANY_BLOCKS = 64
+PARTITION_BYTES = 256 << 20
 
 
 def _sets(texts: pa.Array) -> Iterator[np.ndarray]:
@@ -87,14 +90,6 @@ def _signatures(trees: int, depth: int):
     return signature
 
 
-def _shingle_column():
-    @F.arrow_udf("binary")
-    def shingles(texts: pa.Array) -> pa.Array:
-        return pa.array([s.tobytes() for s in _sets(texts)], pa.binary())
-
-    return shingles
-
-
 def shared_counts(sets: list[np.ndarray], left: int | None = None) -> np.ndarray:
     """Matrix of the numbers of shingles that two sets share; of the first ``left`` sets with the others if given."""
     n = len(sets)
@@ -119,33 +114,59 @@ def shared_counts(sets: list[np.ndarray], left: int | None = None) -> np.ndarray
 UNIT = "tid string, links long, root string, once long, twice long, unseen long"
 
 
-def _verify_unit(rows: list[dict], threshold: float, depth: int, full: int) -> Iterator[tuple[str, int, str, int, int, int]]:
+@dataclass
+class _Block:
+    """Texts of one group: their ids and labels, and their shingles; ``tree`` if the group is a trie node."""
+
+    tids: list[str]
+    labels: np.ndarray
+    sets: list[np.ndarray]
+    tree: int | None
+
+    def packed(self) -> pa.Buffer:
+        columns = {"tid": pa.array(self.tids, pa.string()), "labels": pa.array(list(self.labels.view(np.int64)), pa.list_(pa.int64())), "shingles": pa.array([x.tobytes() for x in self.sets], pa.large_binary()), "tree": pa.array([self.tree] * len(self.tids), pa.int32())}
+        rows, sink = pa.RecordBatch.from_pydict(columns), pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_batch(rows)
+        return sink.getvalue()
+
+    @classmethod
+    def unpacked(cls, data: pa.Buffer) -> _Block:
+        (rows,) = pa.ipc.open_stream(data)
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) if x.as_buffer().size else np.zeros(0, np.uint64) for x in rows.column("shingles")]
+        return cls(rows.column("tid").to_pylist(), _label_rows(rows.column("labels")), sets, rows.column("tree")[0].as_py())
+
+
+def _label_rows(labels: pa.Array) -> np.ndarray:
+    return labels.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(labels), -1)
+
+
+def _links(one: _Block, other: _Block | None, threshold: float, depth: int, full: int) -> Iterator[tuple[str, int, str, int, int, int]]:
     """Links of one unit: all pairs of one block, or the pairs across two.
 
     ``once``, ``twice``, ``unseen``: links that one trie, two tries and no trie has at this depth.
     """
-    sets = [np.frombuffer(r["shingles"], np.uint64) for r in rows]
-    size = np.array([len(s) for s in sets], float)
-    left = sum(r["side"] < 2 for r in rows) if rows[0]["side"] or rows[-1]["side"] else None
-    if left in (0, len(rows)):  # one block of two has no texts
+    tids, sets = one.tids + (other.tids if other else []), one.sets + (other.sets if other else [])
+    if len(tids) < 2:
         return
+    left = len(one.tids) if other else None
+    size = np.array([len(s) for s in sets], float)
     both = shared_counts(sets, left)
     a, b = (size, size) if left is None else (size[:left], size[left:])
     union = a[:, None] + b[None, :] - both
     linked = (both >= (threshold - 1e-12) * union) & (union > 0)
     i, j = np.nonzero(np.triu(linked, 1) if left is None else linked)
     j = j + (left or 0)
-    labels = np.array([r["labels"] for r in rows], np.int64).view(np.uint64) >> np.uint64(BITS * (full - depth))
+    labels = (np.concatenate([one.labels, other.labels]) if other else one.labels) >> np.uint64(BITS * (full - depth))
     seen = np.zeros(len(i), np.int64)
-    tree = rows[0]["tree"]
     early = np.zeros(len(i), bool)
     for t in range(labels.shape[1]):
         same = labels[i, t] == labels[j, t]
         seen += same
-        if tree is not None and t < tree:
+        if one.tree is not None and t < one.tree:
             early |= same
     i, j, seen = i[~early], j[~early], seen[~early]  # a trie node's pairs: those that no earlier trie has
-    parent = list(range(len(rows)))
+    parent = list(range(len(tids)))
 
     def find(k: int) -> int:
         while parent[k] != k:
@@ -156,40 +177,67 @@ def _verify_unit(rows: list[dict], threshold: float, depth: int, full: int) -> I
     for x, y in zip(i.tolist(), j.tolist(), strict=True):
         x, y = find(x), find(y)
         parent[max(x, y)] = min(x, y)
-    count = lambda which: np.bincount(i[which], minlength=len(rows)) + np.bincount(j[which], minlength=len(rows))
+    count = lambda which: np.bincount(i[which], minlength=len(tids)) + np.bincount(j[which], minlength=len(tids))
     degree, *kinds = count(seen >= 0), count(seen == 1), count(seen == 2), count(seen == 0)
     for k in np.flatnonzero(degree).tolist():
-        yield rows[k]["tid"], int(degree[k]), rows[find(k)]["tid"], *(int(x[k]) for x in kinds)
+        yield tids[k], int(degree[k]), tids[find(k)], *(int(x[k]) for x in kinds)
+
 
+def _batches(found: Iterator[tuple], size: int = 10_000) -> Iterator[pa.RecordBatch]:
+    """Rows of ``UNIT`` in batches."""
+    kinds = {"string": pa.string(), "long": pa.int64()}
+    fields = [f.split() for f in UNIT.split(", ")]
+    while rows := list(islice(found, size)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)], [n for n, _ in fields])
 
-def _verifier(threshold: float, depth: int, full: int):
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
-        out: list[tuple] = []
 
-        def flush() -> None:
-            if len(held) > 1:
-                out.extend(_verify_unit(sorted(held, key=lambda r: (r["side"], r["tid"])), threshold, depth, full))
-            held.clear()
+def _blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, _Block]]:
+    """(unit, blocks of its group, block) of rows that are sorted by unit."""
+    held: list[tuple] = []
 
-        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            kinds = {"string": pa.string(), "long": pa.int64()}
-            fields = [f.split() for f in UNIT.split(", ")]
-            return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)], [n for n, _ in fields])
+    def block() -> tuple[int, int, _Block]:
+        tids, labels, sets, units, blocks, trees = zip(*sorted(held, key=lambda r: r[0]), strict=True)
+        return units[0], blocks[0], _Block(list(tids), np.stack(labels), list(sets), trees[0])
 
+    for batch in slices(batches, "text"):
+        units, blocks, tids, trees = (batch.column(c).to_pylist() for c in ("unit", "blocks", "tid", "tree"))
+        for row in zip(tids, _label_rows(batch.column("labels")), _sets(batch.column("text")), units, blocks, trees, strict=True):
+            if held and held[0][3] != row[3]:
+                yield block()
+                held = []
+            held.append(row)
+    if held:
+        yield block()
+
+
+def _within(threshold: float, depth: int, full: int, folder: str):
+    """Verifies each block by itself, and writes those whose group has more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for unit, blocks, block in _blocks_of(batches):
+            if blocks > 1:
+                write_atomically(_block_file(folder, unit), [block.packed()])
+            yield from _links(block, None, threshold, depth, full)
+
+    return lambda batches: _batches(run(batches))
+
+
+def _across(threshold: float, depth: int, full: int, folder: str):
+    """Verifies pairs of blocks, read from their files."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        at, one = None, None
         for batch in batches:
-            for row in batch.to_pylist():
-                if held and held[0]["unit"] != row["unit"]:
-                    flush()
-                held.append(row)
-            if len(out) > 10_000:
-                yield batch_of(out)
-                out = []
-        flush()
-        if out:
-            yield batch_of(out)
+            for a, b in zip(batch.column("unit").to_pylist(), batch.column("other").to_pylist(), strict=True):
+                if a != at:
+                    at, one = a, _Block.unpacked(read_whole(_block_file(folder, a)))
+                yield from _links(one, _Block.unpacked(read_whole(_block_file(folder, b))), threshold, depth, full)
 
-    return verify
+    return lambda batches: _batches(run(batches))
+
+
+def _block_file(folder: str, unit: int) -> str:
+    return f"{folder}/{unit & 0xFF:02x}/{unit & (1 << 64) - 1:016x}"
 
 
 def _nodes_of(texts: DataFrame, depth: int, full: int) -> DataFrame:
@@ -201,17 +249,13 @@ def _nodes_of(texts: DataFrame, depth: int, full: int) -> DataFrame:
 
 
 def _dealt(rows: DataFrame, key: str) -> DataFrame:
-    """Units of ``rows`` (tid, tree, texts, shingles, key): each text once for every other block of its group.
+    """``rows`` (tid, n, tree, texts, shingles, key) with the block of each.
 
-    ``place`` numbers the units of a group one after another, so that they are dealt evenly.
+    ``unit`` tells blocks apart; ``place`` numbers those of a group one after another, so that they are dealt evenly.
     """
     blocks = F.greatest(F.ceil(F.col("texts") / BLOCK_TEXTS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     own = F.pmod(F.xxhash64("tid"), F.col("blocks")).cast("int")
-    spread = rows.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    low, high = F.least("own", "other").cast("long"), F.greatest("own", "other").cast("long")
-    number = low * F.col("blocks") - F.floor(low * (low - 1) / 2) + high - low
-    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") > F.col("other"), 2).otherwise(1)
-    return spread.select(F.xxhash64(key, low, high, "blocks").alias("unit"), (F.pmod(F.xxhash64(key), F.lit(1 << 30)) + number).alias("place"), "tid", "tree", side.alias("side"))
+    return rows.withColumn("blocks", blocks).withColumn("own", own).select("tid", "n", "tree", "blocks", "own", F.xxhash64(key).alias("group"), F.xxhash64(key, "own", "blocks").alias("unit"))
 
 
 def _sized(members: DataFrame, key: str) -> DataFrame:
@@ -250,7 +294,7 @@ def find_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     once = not _repeats(rows)
     level = None
     for at in range(depth, 0, -1):
-        new = _match(lambda wanted: _sets_of(df, id_col, text_col, wanted, once), texts, at, depth, threshold, level)
+        new = _match(lambda wanted: _texts_of(df, id_col, text_col, wanted, once), texts, at, depth, threshold, level)
         if level:
             discard(spark, level.groups, *([] if new.found is level.found else [level.found]))
         level = new
@@ -265,7 +309,7 @@ def find_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     return rows.select("doc_id", "tid"), linked
 
 
-def _match(sets_of, texts: DataFrame, at: int, depth: int, threshold: float, before: _Level | None) -> _Level:
+def _match(texts_of, texts: DataFrame, at: int, depth: int, threshold: float, before: _Level | None) -> _Level:
     """Links of the groups at prefixes of ``at`` values; those of groups that have not grown since ``before`` are kept."""
     spark = texts.sparkSession
     nodes = materialize(_nodes_of(texts, at, depth), "lsh-nodes")
@@ -278,24 +322,25 @@ def _match(sets_of, texts: DataFrame, at: int, depth: int, threshold: float, bef
     if before and members.isEmpty():
         discard(spark, nodes, sized, members)
         return _Level(groups, before.found)
-    sets = sets_of(members.select("tid").join(texts, "tid").select("tid", "doc_id", "labels"))
+    verify = lambda rows, key: _verify(texts_of, texts, _dealt(rows, key), threshold, at, depth)
     small = (F.col("texts") <= MANY_BLOCKS * BLOCK_TEXTS) & (F.col("shingles") <= MANY_BLOCKS * BLOCK_SHINGLES)
-    found = _verify(sets, _dealt(members.filter(small), "root"), threshold, at, depth)
-    parts = [found]
+    parts = verify(members.filter(small), "root")
     large = members.filter(~small).select("tid", "n")
-    chained = not large.isEmpty()
-    if chained:
-        inside = _sized(nodes.join(large, "tid").select("node", "tree", "tid", "n"), "node")
-        first = _verify(sets, _dealt(inside, "node"), threshold, at, depth)
-        classes = components(first.select(F.col("tid").alias("a"), F.col("root").alias("b")))
+    if not large.isEmpty():
+        inside = materialize(_sized(nodes.join(large, "tid").select("node", "tree", "tid", "n"), "node"), "lsh-inside")
+        # A text is in nodes of up to all tries: so many at a time that their blocks stay within twice the large groups' own size.
+        rounds = -(-inside.agg(F.sum("n")).first()[0] // (2 * large.agg(F.sum("n")).first()[0]))
+        first = [f for r in range(rounds) for f in verify(inside.filter(F.col("tree") % rounds == r), "node")]
+        classes = components(reduce(DataFrame.union, first).select(F.col("tid").alias("a"), F.col("root").alias("b")))
         whole = classes.join(large, F.col("node") == F.col("tid")).select("tid", "root", "n", F.lit(None).cast("int").alias("tree"))
-        parts.append(_verify(sets, _dealt(_sized(whole, "root"), "root"), threshold, at, depth))
+        parts += verify(materialize(_sized(whole, "root"), "lsh-classes"), "root")
+        discard(spark, inside, *first)
     if before:
-        parts.append(before.found.join(members.select("tid"), "tid", "left_anti"))
-        found = materialize(reduce(DataFrame.union, parts), "lsh-found")
-    elif len(parts) > 1:
-        found = materialize(parts[0].union(parts[1]), "lsh-found")
-    discard(spark, nodes, sized, members, sets, *(p for p in parts[: 1 + chained] if p is not found))
+        kept = before.found.join(members.select("tid"), "tid", "left_anti")
+        found = materialize(reduce(DataFrame.union, [*parts, kept]), "lsh-found")
+    else:
+        found = materialize(reduce(DataFrame.union, parts), "lsh-found") if len(parts) > 1 else parts[0]
+    discard(spark, nodes, sized, members, *(p for p in parts if p is not found))
     return _Level(groups, found)
 
 
@@ -308,20 +353,46 @@ def _repeats(rows: DataFrame) -> bool:
     return not rows.groupBy("tid", "doc_id").count().filter("count > 1").isEmpty()
 
 
-def _sets_of(df: DataFrame, id_col: str, text_col: str, wanted: DataFrame, once: bool) -> DataFrame:
-    """tid, labels, shingles of the wanted texts, each from its row of least id: copies of a hot text have other ids."""
-    keyed = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", _tid(F.col("text")))
-    rows = keyed.join(wanted, (F.col("key") == F.col("tid")) & F.col("id").eqNullSafe(F.col("doc_id"))).select("tid", "labels", "text")
-    rows = rows if once else rows.dropDuplicates(["tid"])
-    return materialize(rows.withColumn("shingles", _shingle_column()(F.col("text"))).drop("text"), "lsh-sets")
+def _texts_of(df: DataFrame, id_col: str, text_col: str, wanted: DataFrame, once: bool) -> DataFrame:
+    """``wanted`` (tid, doc_id, unit, ...) with the texts, each from its row of least id: copies of a hot text have other ids.
+
+    A map of 2^24 bits that the wanted texts set comes before the join, so that few other texts are shuffled.
+    """
+    hashed = F.xxhash64("tid")
+    word, bit = F.pmod(hashed, F.lit(1 << 18)), F.shiftrightunsigned(hashed, 58).cast("int")
+    bits = F.broadcast(wanted.select(word.alias("word"), F.expr("shiftleft(1L, shiftrightunsigned(xxhash64(tid), 58)::int)").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")))
+    keyed = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("tid", _tid(F.col("text")))
+    likely = keyed.withColumns({"word": word, "bit": bit}).join(bits, "word").filter(F.expr("bits & shiftleft(1L, bit) != 0")).select(F.col("tid").alias("key"), "id", "text")
+    rows = likely.join(wanted, (F.col("key") == F.col("tid")) & F.col("id").eqNullSafe(F.col("doc_id"))).drop("key", "id", "doc_id")
+    return rows if once else rows.dropDuplicates(["tid", "unit"])
+
 
+def _verify(texts_of, texts: DataFrame, dealt: DataFrame, threshold: float, at: int, depth: int) -> list[DataFrame]:
+    """Frames with rows of ``UNIT``: exact links within the groups of ``dealt``.
 
-def _verify(sets: DataFrame, units: DataFrame, threshold: float, at: int, depth: int) -> DataFrame:
-    """Rows of ``UNIT``: exact links of the texts in ``sets``, unit by unit."""
-    n = partitions_for(sets)
-    dealt = units.join(sets, "tid").select("unit", "tid", "side", "tree", "labels", "shingles", F.pmod("place", F.lit(n)).cast("int").alias("place"))
-    dealt = dealt.repartitionById(n, F.col("place")).drop("place").sortWithinPartitions("unit")
-    return materialize(dealt.mapInArrow(_verifier(threshold, at, depth), UNIT), "lsh-found")
+    Each text goes to the task that has its block, which verifies it.  Blocks
+    of groups of several are kept as files, and pairs of them name these files,
+    so that no text is copied for every other block.
+    """
+    spark = dealt.sparkSession
+    folder = scratch(spark, "lsh-blocks")
+    shingles = dealt.agg(F.sum("n")).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-8 * shingles // PARTITION_BYTES))
+    begin = F.pmod(F.col("group"), F.lit(1 << 30))
+    rows = texts_of(dealt.join(texts.select("tid", "doc_id", "labels"), "tid").drop("n"))
+    rows = rows.select("tid", "unit", "blocks", "tree", "labels", "text", F.pmod(begin + F.col("own"), F.lit(n)).cast("int").alias("place"))
+    rows = rows.repartitionById(n, F.col("place")).drop("place").sortWithinPartitions("unit")
+    found = [materialize(rows.mapInArrow(_within(threshold, at, depth, folder), UNIT), "lsh-found")]
+    blocks = dealt.filter("blocks > 1").select("group", "blocks", "own", "unit").distinct()
+    if not blocks.isEmpty():
+        others = blocks.select("group", F.col("own").alias("high"), F.col("unit").alias("other"))
+        low = F.col("own").cast("long")
+        number = low * F.col("blocks") - F.floor(low * (low + 1) / 2) + F.col("high") - low
+        pairs = blocks.join(others, "group").filter("own < high").select("unit", "other", F.pmod(begin + number, F.lit(n)).cast("int").alias("place"))
+        pairs = pairs.repartitionById(n, F.col("place")).drop("place").sortWithinPartitions("unit", "other")
+        found.append(materialize(pairs.mapInArrow(_across(threshold, at, depth, folder), UNIT), "lsh-found"))
+        remove(spark, folder)
+    return found
 
 
 def near_duplicates(df: DataFrame, **options) -> DataFrame:

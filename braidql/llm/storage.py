@@ -7,12 +7,16 @@ executor, so a lost executor never takes intermediate results with it.
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+RELEASE_SECONDS = 5
+_released = [0.0]
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -45,17 +49,34 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    release(spark)
     return spark.read.schema(spark.read.parquet(path).schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the shuffle files of finished queries deleted, every few seconds at most.
+
+    Spark deletes them when the driver's garbage is collected.  A driver that
+    only hands out tasks makes little of it, and would keep all of a run's.
+    """
+    if time.monotonic() - _released[0] >= RELEASE_SECONDS:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        _released[0] = time.monotonic()
+
+
 def discard(spark: SparkSession, *frames: DataFrame) -> None:
     """Delete the folders of materialized frames that nothing reads any more."""
-    hadoop, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm
     for frame in frames:
         for name in {f.rsplit("/", 1)[0] for f in frame.inputFiles()}:
             if name.startswith(shared_root(spark)) or name.removeprefix("file://").startswith(shared_root(spark).removeprefix("file://")):
-                path = jvm.org.apache.hadoop.fs.Path(name)
-                path.getFileSystem(hadoop).delete(path, True)
+                remove(spark, name)
+
+
+def remove(spark: SparkSession, uri: str) -> None:
+    """Delete a folder of the shared ones."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions_for(df: DataFrame, each: int = 256 << 20) -> int:
@@ -76,6 +97,13 @@ def open_fs(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def read_whole(uri: str):
+    """The bytes of a file, as a buffer of pyarrow."""
+    fs, path = open_fs(uri)
+    with fs.open_input_file(path) as source:
+        return source.read_buffer()
+
+
 def write_atomically(uri: str, parts) -> int:
     """Write an iterable of byte strings to ``uri`` through a rename.
 

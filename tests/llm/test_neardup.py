@@ -5,6 +5,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from braidql.llm import neardup
 from braidql.llm.components import components
@@ -169,3 +170,40 @@ def test_default_options_shorten_prefixes_and_find_borderline_links(spark, tmp_p
     assert len(depths) > 1 and [a for a, _ in depths] == list(range(8, 8 - len(depths), -1))
     assert depths[0][1] < 400 and depths[-1][1] >= 0.995 * 400
     assert sum(r.links for r in got) == 2 * depths[-1][1]
+
+
+def test_a_text_is_dealt_once_however_many_blocks_its_group_has(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK_TEXTS", 7)
+    members = spark.range(40).selectExpr("md5(string(id)) AS tid", "100 AS n", "int(null) AS tree", "40L AS texts", "4000L AS shingles", "'a' AS root")
+    assert neardup._dealt(members, "root").count() == 40
+    rows = [(i, t) for i, t in enumerate(family(5, 40))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/d")
+    dealt, verify = [], neardup._verify
+
+    def spy(texts_of, texts, members, *rest):
+        dealt.append((members.count(), members.select("unit").distinct().count()))
+        return verify(texts_of, texts, members, *rest)
+
+    monkeypatch.setattr(neardup, "_verify", spy)
+    compare(rows, neardup.near_duplicates(spark.read.parquet(f"{tmp_path}/d")).collect())
+    assert dealt[0][0] <= 40 and dealt[0][1] > 1
+
+
+def test_shuffle_files_go_when_the_next_table_is_written(spark, monkeypatch):
+    import time
+
+    from braidql.llm import storage
+
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    kept = lambda: [f.getName() for f in map(files.getAllFiles().apply, range(files.getAllFiles().size())) if f.getName().startswith("shuffle")]
+    monkeypatch.setattr(storage, "RELEASE_SECONDS", 0)
+    spark._jvm.System.gc()
+    time.sleep(2)
+    before = set(kept())
+    storage.materialize(spark.range(100_000).groupBy((F.col("id") % 1000).alias("k")).count(), "test-release")
+    first = set(kept()) - before
+    storage.materialize(spark.range(10), "test-release")
+    until = time.monotonic() + 10
+    while first & set(kept()) and time.monotonic() < until:
+        time.sleep(0.2)
+    assert not first & set(kept())
