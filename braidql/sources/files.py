@@ -11,11 +11,13 @@ import io
 import json
 import re
 import tempfile
+import uuid
 from collections.abc import Iterator, Sequence
 from typing import Any
 from urllib.parse import urlparse
 
 import pyarrow as pa
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -100,8 +102,14 @@ def _read(spark: SparkSession, path: str, kind: Format, schema: Any, options: di
         return _read_json5(spark, path, schema)
     if kind.name == "excel":
         return _read_excel(spark, path, options)
-    if kind.options.get("multiLine") and kind.source == "json" and formats.is_lines(_head(spark, path)):
-        kind = formats.FORMATS["jsonlines"]
+    if kind.options.get("multiLine") and kind.source == "json":
+        head = _head(spark, path)
+        if formats.is_lines(head):
+            kind = formats.FORMATS["jsonlines"]
+        elif schema is None and not options and re.match(rb"\[\s*\n\s*\{", head):
+            rows = _array_lines(spark, path)
+            if rows is not None:
+                return rows
     reader = spark.read.format(kind.source)
     ignore = options.pop("ignore_errors", False)
     if kind.name in ("csv", "tsv", "adt") and options.pop("detect_separator", False):
@@ -138,6 +146,26 @@ def flatten(df: DataFrame, separator: str = ".", max_depth: int | None = None) -
     return df.select(columns)
 
 
+def _array_lines(spark: SparkSession, path: str) -> DataFrame | None:
+    """A file with one JSON array, whole elements on every line, read in as many tasks as any text; None if its lines are otherwise."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        return None
+    line = F.btrim("value", F.lit(" \t\r"))
+    lines = spark.read.text(path).select(line.alias("line")).filter("line != ''")
+    element, commas = ~F.col("line").isin("[", "]"), F.col("line").startswith(",").cast("int") + F.col("line").endswith(",").cast("int")
+    n, between, opened, closed = lines.agg(F.count_if(element), F.sum(F.when(element, commas)), F.count_if(F.col("line") == "["), F.count_if(F.col("line") == "]")).first()
+    if not n or between != n - 1 or (opened, closed) != (1, 1):
+        return None
+    # As arrays, lines that begin or end within an element are malformed, and those of several elements give all of them.
+    arrays = lines.filter(element).select(F.concat(F.lit("["), F.regexp_replace("line", "^,|,$", ""), F.lit("]")))
+    texts = getattr(arrays._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+    try:
+        return DataFrame(spark._jsparkSession.read().option("mode", "FAILFAST").json(texts), spark)  # parses all to know the schema
+    except PySparkException:
+        return None
+
+
 def _read_arrow(spark: SparkSession, path: str) -> DataFrame:
     """Arrow files, opened by the tasks that read them; the schema comes from the first one."""
     from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
@@ -200,6 +228,8 @@ def save(df: DataFrame, path: str, format: str | None = None, mode: str = "error
         df = _csv_values(df, options)
     if kind.source == "json":
         df = _json_values(df, options)
+    if single and kind.name in ("json", "jsoncompact"):
+        return _save_array(df, path, mode, options)
     df = df.coalesce(1) if single else df
     writer = df.write.format(kind.source).mode(mode)
     defaults = {k: v for k, v in kind.options.items() if k not in ("inferSchema", "multiLine")}
@@ -208,15 +238,13 @@ def save(df: DataFrame, path: str, format: str | None = None, mode: str = "error
         writer = df.write.format("csv").mode(mode)
         defaults["quote"] = "\0"
         defaults["emptyValue"] = ""
-    if options.get("escape_unicode") and not (single and kind.name != "jsonlines"):
+    if options.get("escape_unicode"):
         writer, options, defaults = _json_rows(df, options).write.format("text").mode(mode), {}, {}
     for name, value in (defaults | options).items():
         writer = writer.option(WRITE_OPTIONS.get(name, name), value)
     if not single:
         writer.save(path)
         return None
-    if kind.name in ("json", "jsoncompact"):
-        return _save_array(df, path, mode, options)
     folder = f"{path}.{tempfile.gettempprefix()}{abs(hash(path)) % 10**8}"
     writer.save(folder)
     return _keep_one_file(df.sparkSession, folder, path, mode)
@@ -288,21 +316,33 @@ def _keep_one_file(spark: SparkSession, folder: str, path: str, mode: str) -> No
 
 
 def _save_array(df: DataFrame, path: str, mode: str, options: dict[str, Any]) -> None:
-    """One JSON array, streamed through the driver a partition at a time."""
+    """One JSON array: its rows are written by the tasks that have them, and the files joined byte by byte."""
     spark = df.sparkSession
-    to = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = to.getFileSystem(spark._jsc.hadoopConfiguration())
+    jvm = spark._jvm
+    to, folder = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    conf = spark._jsc.hadoopConfiguration()
+    fs = to.getFileSystem(conf)
     if mode == "errorifexists" and fs.exists(to):
         raise FileExistsError(path)
-    stream = fs.create(to, True)
+    rows = _json_rows(df, options)
+    rows.select(F.concat(F.lit(","), "value").alias("value")).write.option("compression", "none").text(folder.toString())
     try:
-        first = True
-        for row in _json_rows(df, options).toLocalIterator():
-            stream.write(bytearray((("[" if first else ",") + "\n" + row.value).encode()))
-            first = False
-        stream.write(bytearray(b"[]\n" if first else b"\n]\n"))
+        stream = fs.create(to, True)
+        try:
+            first = True
+            for part in sorted((s for s in fs.listStatus(folder) if s.getPath().getName().startswith("part-") and s.getLen()), key=lambda s: s.getPath().getName()):
+                source = fs.open(part.getPath())
+                if first:
+                    stream.write(bytearray(b"[\n"))
+                    source.seek(1)  # the comma of the first row
+                    first = False
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, stream, conf, False)
+                source.close()
+            stream.write(bytearray(b"[]\n" if first else b"]\n"))
+        finally:
+            stream.close()
     finally:
-        stream.close()
+        fs.delete(folder, True)
 
 
 def _save_local(df: DataFrame, path: str, kind: Format) -> None:

@@ -176,3 +176,42 @@ def test_streaming(spark, people, tmp_path):
         people.write.mode("append").parquet(f"{tmp_path}/in")
     once = {r.city: r.s for r in people.groupBy("city").agg(F.sum("age").alias("s")).collect()}
     assert {r.city: r.m for r in spark.read.parquet(f"{tmp_path}/ages").groupBy("city").agg(F.max("total").alias("m")).collect()} == {k: 2 * v for k, v in once.items()}
+
+
+def test_one_array_is_written_and_read_by_many_tasks(spark, tmp_path, monkeypatch):
+    df = spark.range(1000).repartition(7).select("id", F.when(F.col("id") % 3 != 0, F.concat(F.lit('a,]\n"'), "id")).alias("s"), F.struct(F.array("id", F.lit(2)).alias("x")).alias("o"))
+    monkeypatch.setattr(type(df), "toLocalIterator", None)  # rows must not pass the driver
+    sources.save(df, f"{tmp_path}/a.json", single=True)
+    found = json.loads((tmp_path / "a.json").read_text())
+    assert sorted(r["id"] for r in found) == list(range(1000)) and found[0]["o"]["x"][1] == 2
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["a.json"]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        back = sources.load(spark, f"{tmp_path}/a.json")
+        assert back.rdd.getNumPartitions() > 2
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert back.columns == ["id", "o", "s"] and sorted(map(str, back.select(*df.columns).collect())) == sorted(map(str, df.collect()))
+    with pytest.raises(FileExistsError):
+        sources.save(df, f"{tmp_path}/a.json", single=True)
+    sources.save(df.limit(0), f"{tmp_path}/b.json", single=True)
+    assert json.loads((tmp_path / "b.json").read_text()) == []
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        '[\n{"a": [\n{"b": 1},\n{"b": 2}\n], "c": 3},\n{"c": 4}\n]\n',
+        '[\n{"c": 1}, {"c": 2},\n{"c": 3}\n]',
+        '[\n{"c": 1},\n{"c":\n2}\n]',
+        '[\n{"c": 1}\n,{"c": "x\\n,]"}\n\n]',
+        '[\r\n  {"c": 1},\r\n  {"d": {"e": 2}}\r\n]\r\n',
+        '[\n{"c": 1},\n{"c": 2}]',
+    ],
+)
+def test_arrays_over_lines_are_what_a_whole_reading_gives(spark, tmp_path, text):
+    (tmp_path / "a.json").write_bytes(text.encode())
+    got, want = sources.load(spark, f"{tmp_path}/a.json"), spark.read.option("multiLine", True).json(f"{tmp_path}/a.json")
+    assert got.dtypes == want.dtypes and got.collect() == want.collect() and len(json.loads(text)) == got.count()
