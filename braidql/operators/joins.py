@@ -2,7 +2,8 @@
 
 Sides are joined on columns of one name or on pairs of names; ``null_equal``
 makes null match null.  Columns of the right side that the left has too get a
-suffix.  The physical join is left to Spark: it knows sizes at run time.
+suffix.  The physical join is left to Spark, which knows sizes at run time, but
+for theta joins: there the smaller side is broadcast and the other spread.
 """
 
 from __future__ import annotations
@@ -21,6 +22,9 @@ KINDS = {
 }
 VALIDATIONS = ("many_to_many", "one_to_one", "one_to_many", "many_to_one")
 
+# Most bytes, as planned, of a side that every task of a theta join holds whole.
+WHOLE_BYTES = 32 << 20
+
 
 @dataclass(frozen=True)
 class Keys:
@@ -149,7 +153,27 @@ def join_multiple(frames: Sequence[DataFrame], keys: Keys, options: Options | No
 def join_with_condition(left: DataFrame, right: DataFrame, condition: Column | str, how: str = "inner", suffix: str = "_right") -> DataFrame:
     """Theta join.  ``condition`` speaks of the joined names: clashes of the right side carry the suffix."""
     other = right.withColumnsRenamed(renamed(left, right, suffix))
-    return left.join(other, F.expr(condition) if isinstance(condition, str) else condition, kind_of(how))
+    kind = kind_of(how)
+    whole = _whole_side(left, other, kind)
+    if whole == "right":
+        left, other = _spread(left), F.broadcast(other)
+    elif whole == "left":
+        left, other = F.broadcast(left), _spread(other)
+    return left.join(other, F.expr(condition) if isinstance(condition, str) else condition, kind)
+
+
+def _whole_side(left: DataFrame, right: DataFrame, how: str) -> str | None:
+    """The side that every task should hold whole, as comparing all pairs otherwise reads a side again for each part of the other; None if both are large."""
+    size = lambda df: int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    can = {"right": how in ("inner", "cross", "left", "left_semi", "left_anti"), "left": how in ("inner", "cross", "right")}
+    sizes = {side: size(df) for side, df in (("right", right), ("left", left)) if can[side]}
+    least = min(sizes, key=sizes.get, default=None)
+    return least if least and sizes[least] <= WHOLE_BYTES else None
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    """``df`` over several tasks a core: a row's work is the other side's, however few the rows are."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
 
 
 def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], at: str, value: str, out: str | None = None) -> DataFrame:

@@ -179,3 +179,15 @@ def test_log_returns_of_zero(zeros):
 
 def test_drawdown_from_zero(zeros):
     same_as_sql(series.max_drawdown(zeros, "v", ["i"], ["k"]), f"SELECT k, max((peak - v) / peak) FROM (SELECT k, v, max(v) OVER ({OVER} ROWS UNBOUNDED PRECEDING) AS peak FROM t) GROUP BY 1")
+
+
+def test_a_theta_join_spreads_the_larger_side(spark, monkeypatch):
+    few, many = spark.range(9).selectExpr("id AS a"), spark.range(0, 300, 1, 1).selectExpr("id AS b")
+    df = joins.join_with_condition(few, many, "a < b AND b < 4")
+    assert df.rdd.getNumPartitions() > 1 and df.count() == 6
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastNestedLoopJoin" in plan and "RepartitionBy" not in plan
+    for how, n in (("left", 12), ("right", 303), ("full", 309), ("semi", 3), ("anti", 6)):
+        assert joins.join_with_condition(few, many, "a < b AND b < 4", how).count() == n, how
+    monkeypatch.setattr(joins, "WHOLE_BYTES", 0)
+    assert joins.join_with_condition(few, many, "a < b AND b < 4").count() == 6
