@@ -240,12 +240,26 @@ def _block_file(folder: str, unit: int) -> str:
     return f"{folder}/{unit & 0xFF:02x}/{unit & (1 << 64) - 1:016x}"
 
 
+def _likely(rows: DataFrame, hashed: Column, wanted: DataFrame) -> DataFrame:
+    """``rows`` whose ``hashed`` may be among the column ``hash`` of ``wanted``: by a map of 2^24 bits, so that few others are shuffled by the join that follows."""
+    word, bit = "pmod(hash, 1 << 18)", "shiftleft(1L, shiftrightunsigned(hash, 58)::int)"
+    bits = wanted.select(F.expr(word).alias("word"), F.expr(bit).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    own = rows.withColumn("hash", hashed).withColumn("word", F.expr(word))
+    return own.join(F.broadcast(bits), "word").filter(F.expr(f"(bits & {bit}) != 0")).drop("hash", "word", "bits")
+
+
 def _nodes_of(texts: DataFrame, depth: int, full: int) -> DataFrame:
     """(node, tree, tid, least) of the trie nodes at ``depth`` that hold two texts or more."""
-    prefixes = texts.filter("labels is not null").select("tid", F.posexplode("labels").alias("tree", "label"))
-    rows = prefixes.select("tid", "tree", F.xxhash64("tree", F.shiftrightunsigned("label", BITS * (full - depth))).alias("node"))
-    shared = rows.groupBy(F.col("node").alias("shared")).agg(F.count(F.lit(1)).alias("members"), F.min("tid").alias("least")).filter("members > 1")
-    return rows.join(shared, F.col("node") == F.col("shared")).drop("shared")
+    labelled = texts.filter("labels is not null")
+    node = F.xxhash64("tree", F.shiftrightunsigned("label", BITS * (full - depth))).alias("node")
+    counts = labelled.select(F.posexplode("labels").alias("tree", "label")).select(node).groupBy("node").agg(F.count(F.lit(1)).alias("members"))
+    shared = materialize(counts.filter("members > 1").select("node"), "lsh-shared")
+    rows = labelled.select("tid", F.posexplode("labels").alias("tree", "label")).select("tid", "tree", node)
+    held = _likely(rows, F.col("node"), shared.select(F.col("node").alias("hash"))).join(shared, "node", "left_semi")
+    held = materialize(held, "lsh-held")
+    found = materialize(held.join(held.groupBy("node").agg(F.min("tid").alias("least")), "node"), "lsh-nodes")
+    discard(texts.sparkSession, shared, held)
+    return found
 
 
 def _dealt(rows: DataFrame, key: str) -> DataFrame:
@@ -312,7 +326,7 @@ def find_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
 def _match(texts_of, texts: DataFrame, at: int, depth: int, threshold: float, before: _Level | None) -> _Level:
     """Links of the groups at prefixes of ``at`` values; those of groups that have not grown since ``before`` are kept."""
     spark = texts.sparkSession
-    nodes = materialize(_nodes_of(texts, at, depth), "lsh-nodes")
+    nodes = _nodes_of(texts, at, depth)
     roots = components(nodes.select(F.col("least").alias("a"), F.col("tid").alias("b")))
     sized = materialize(roots.join(texts.select(F.col("tid").alias("node"), "n"), "node").select(F.col("node").alias("tid"), "root", "n"), "lsh-roots")
     groups = materialize(sized.groupBy("root").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("shingles")), "lsh-groups")
@@ -354,15 +368,9 @@ def _repeats(rows: DataFrame) -> bool:
 
 
 def _texts_of(df: DataFrame, id_col: str, text_col: str, wanted: DataFrame, once: bool) -> DataFrame:
-    """``wanted`` (tid, doc_id, unit, ...) with the texts, each from its row of least id: copies of a hot text have other ids.
-
-    A map of 2^24 bits that the wanted texts set comes before the join, so that few other texts are shuffled.
-    """
-    hashed = F.xxhash64("tid")
-    word, bit = F.pmod(hashed, F.lit(1 << 18)), F.shiftrightunsigned(hashed, 58).cast("int")
-    bits = F.broadcast(wanted.select(word.alias("word"), F.expr("shiftleft(1L, shiftrightunsigned(xxhash64(tid), 58)::int)").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")))
-    keyed = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("tid", _tid(F.col("text")))
-    likely = keyed.withColumns({"word": word, "bit": bit}).join(bits, "word").filter(F.expr("bits & shiftleft(1L, bit) != 0")).select(F.col("tid").alias("key"), "id", "text")
+    """``wanted`` (tid, doc_id, unit, ...) with the texts, each from its row of least id: copies of a hot text have other ids."""
+    keyed = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", _tid(F.col("text")))
+    likely = _likely(keyed, F.xxhash64("key"), wanted.select(F.xxhash64("tid").alias("hash")))
     rows = likely.join(wanted, (F.col("key") == F.col("tid")) & F.col("id").eqNullSafe(F.col("doc_id"))).drop("key", "id", "doc_id")
     return rows if once else rows.dropDuplicates(["tid", "unit"])
 
