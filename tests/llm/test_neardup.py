@@ -207,3 +207,10 @@ def test_shuffle_files_go_when_the_next_table_is_written(spark, monkeypatch):
     while first & set(kept()) and time.monotonic() < until:
         time.sleep(0.2)
     assert not first & set(kept())
+
+
+def test_few_unwanted_rows_are_shuffled_and_no_wanted_one_is_lost(spark):
+    wanted = spark.range(0, 5000, 50).select(F.xxhash64("id").alias("hash"))
+    kept = {r.id for r in neardup._likely(spark.range(5000), F.xxhash64("id"), wanted).collect()}
+    assert kept >= set(range(0, 5000, 50)) and len(kept) < 110
+    assert neardup._likely(spark.range(9), F.xxhash64("id"), wanted.limit(0)).count() == 0
