@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import discard, materialize
+from .storage import discard, keep
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -17,16 +17,16 @@ def components(edges: DataFrame) -> DataFrame:
     before it is shuffled, and a join of written tables, which adaptive execution can split.
     """
     spark = edges.sparkSession
-    edges = materialize(edges.filter("a is not null and b is not null and a != b").select("a", "b").distinct(), "cc-edges")
+    edges = keep(edges.filter("a is not null and b is not null and a != b").select("a", "b").distinct(), "cc-edges")
     while not _settled(edges):
         before = edges
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        edges = materialize(_star(both).filter("a > u").select(F.col("a"), F.col("m").alias("b")).filter("a != b").distinct(), "cc-edges")
+        edges = keep(_star(both).filter("a > u").select(F.col("a"), F.col("m").alias("b")).filter("a != b").distinct(), "cc-edges")
         larger = edges
         down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         joined = _star(down)
         small = joined.select("a", F.col("m").alias("b")).union(joined.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        edges = materialize(small.filter("a != b").distinct(), "cc-edges")
+        edges = keep(small.filter("a != b").distinct(), "cc-edges")
         discard(spark, before, larger)
     down = edges.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root"))
     return down.union(down.select("root", "root").distinct())
@@ -35,7 +35,7 @@ def components(edges: DataFrame) -> DataFrame:
 def _star(edges: DataFrame) -> DataFrame:
     """(u, a, m) for each edge u-a: m is the least of u and its neighbours."""
     # Written first: over two plain exchanges a hub's edges can be split among tasks.
-    least = materialize(edges.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m")), "cc-least")
+    least = keep(edges.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m")), "cc-least")
     return edges.select(F.col("a").alias("of"), F.col("b").alias("a")).join(least, F.col("of") == F.col("u")).select("u", "a", "m")
 
 

@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .storage import discard, materialize, read_whole, remove, scratch, write_atomically
+from .storage import discard, keep, materialize, plain, read_whole, remove, scratch, write_atomically
 from .textops import column_bytes, mix64, shingle_hashes, slices, word_hashes
 
 SHINGLE = 5
@@ -78,7 +78,6 @@ def _labeller(trees: int, depth: int):
 
 
 def _signatures(trees: int, depth: int):
-    @F.arrow_udf("struct<n:int,labels:array<bigint>>")
     def signature(texts: pa.Array) -> pa.Array:
         label = _labeller(trees, depth)
         sizes, labels = [], []
@@ -90,6 +89,27 @@ def _signatures(trees: int, depth: int):
     return signature
 
 
+def _signed(trees: int, depth: int):
+    """Rows (doc_id, tid, text) with n and labels in place of the text."""
+    signature = _signatures(trees, depth)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc_ids, tids, texts = batch.columns
+            yield pa.RecordBatch.from_arrays([doc_ids, tids, *signature(texts).flatten()], ["doc_id", "tid", "n", "labels"])
+
+    return run
+
+
+def _rows_of(df: DataFrame, id_col: str, text: Column, trees: int, depth: int) -> DataFrame:
+    """doc_id, tid, n, labels of each row; ids of types that Arrow may lack stay out of Python."""
+    rows, own = df.select(F.col(id_col).alias("doc_id"), _tid(text).alias("tid"), text.alias("text")), "n int, labels array<bigint>"
+    if plain(kind := rows.schema["doc_id"].dataType):
+        return keep(rows, "lsh-rows", _signed(trees, depth), f"doc_id {kind.simpleString()}, tid string, {own}")
+    sign = F.arrow_udf(_signatures(trees, depth), f"struct<{own}>")
+    return materialize(rows.select("doc_id", "tid", sign("text").alias("sig")).select("doc_id", "tid", "sig.n", "sig.labels"), "lsh-rows")
+
+
 def shared_counts(sets: list[np.ndarray], left: int | None = None) -> np.ndarray:
     """Matrix of the numbers of shingles that two sets share; of the first ``left`` sets with the others if given."""
     n = len(sets)
@@ -253,11 +273,11 @@ def _nodes_of(texts: DataFrame, depth: int, full: int) -> DataFrame:
     labelled = texts.filter("labels is not null")
     node = F.xxhash64("tree", F.shiftrightunsigned("label", BITS * (full - depth))).alias("node")
     counts = labelled.select(F.posexplode("labels").alias("tree", "label")).select(node).groupBy("node").agg(F.count(F.lit(1)).alias("members"))
-    shared = materialize(counts.filter("members > 1").select("node"), "lsh-shared")
+    shared = keep(counts.filter("members > 1").select("node"), "lsh-shared")
     rows = labelled.select("tid", F.posexplode("labels").alias("tree", "label")).select("tid", "tree", node)
     held = _likely(rows, F.col("node"), shared.select(F.col("node").alias("hash"))).join(shared, "node", "left_semi")
-    held = materialize(held, "lsh-held")
-    found = materialize(held.join(held.groupBy("node").agg(F.min("tid").alias("least")), "node"), "lsh-nodes")
+    held = keep(held, "lsh-held")
+    found = keep(held.join(held.groupBy("node").agg(F.min("tid").alias("least")), "node"), "lsh-nodes")
     discard(texts.sparkSession, shared, held)
     return found
 
@@ -274,7 +294,7 @@ def _dealt(rows: DataFrame, key: str) -> DataFrame:
 
 def _sized(members: DataFrame, key: str) -> DataFrame:
     """``members`` (tid, n, key, ...) with texts and shingles of their group."""
-    groups = materialize(members.groupBy(F.col(key).alias("of")).agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("shingles")), "lsh-sizes")
+    groups = keep(members.groupBy(F.col(key).alias("of")).agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("shingles")), "lsh-sizes")
     return members.join(groups, F.col(key) == F.col("of")).drop("of")
 
 
@@ -303,8 +323,8 @@ def find_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     """
     spark = df.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = materialize(df.select(F.col(id_col).alias("doc_id"), _tid(text).alias("tid"), _signatures(trees, depth)(text).alias("sig")).select("doc_id", "tid", "sig.n", "sig.labels"), "lsh-rows")
-    texts = materialize(rows.groupBy("tid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("labels").alias("labels")), "lsh-texts")
+    rows = _rows_of(df, id_col, text, trees, depth)
+    texts = keep(rows.groupBy("tid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("labels").alias("labels")), "lsh-texts")
     once = not _repeats(rows)
     level = None
     for at in range(depth, 0, -1):
@@ -318,7 +338,7 @@ def find_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     found = level.found
     tied = components(found.select(F.col("tid").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("tid").agg(F.sum("links").cast("long").alias("links"))
-    linked = materialize(links.join(tied, F.col("tid") == F.col("node")).select("tid", "root", "links"), "lsh-linked")
+    linked = keep(links.join(tied, F.col("tid") == F.col("node")).select("tid", "root", "links"), "lsh-linked")
     discard(spark, texts, level.groups, found)
     return rows.select("doc_id", "tid"), linked
 
@@ -328,11 +348,11 @@ def _match(texts_of, texts: DataFrame, at: int, depth: int, threshold: float, be
     spark = texts.sparkSession
     nodes = _nodes_of(texts, at, depth)
     roots = components(nodes.select(F.col("least").alias("a"), F.col("tid").alias("b")))
-    sized = materialize(roots.join(texts.select(F.col("tid").alias("node"), "n"), "node").select(F.col("node").alias("tid"), "root", "n"), "lsh-roots")
-    groups = materialize(sized.groupBy("root").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("shingles")), "lsh-groups")
+    sized = keep(roots.join(texts.select(F.col("tid").alias("node"), "n"), "node").select(F.col("node").alias("tid"), "root", "n"), "lsh-roots")
+    groups = keep(sized.groupBy("root").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("shingles")), "lsh-groups")
     # A group only ever grows, and its root is its least text: of equal root and number, it is the same.
     grown = groups.join(before.groups.select("root", "texts"), ["root", "texts"], "left_anti") if before else groups
-    members = materialize(sized.join(grown, "root").withColumn("tree", F.lit(None).cast("int")), "lsh-members")
+    members = keep(sized.join(grown, "root").withColumn("tree", F.lit(None).cast("int")), "lsh-members")
     if before and members.isEmpty():
         discard(spark, nodes, sized, members)
         return _Level(groups, before.found)
@@ -341,19 +361,19 @@ def _match(texts_of, texts: DataFrame, at: int, depth: int, threshold: float, be
     parts = verify(members.filter(small), "root")
     large = members.filter(~small).select("tid", "n")
     if not large.isEmpty():
-        inside = materialize(_sized(nodes.join(large, "tid").select("node", "tree", "tid", "n"), "node"), "lsh-inside")
+        inside = keep(_sized(nodes.join(large, "tid").select("node", "tree", "tid", "n"), "node"), "lsh-inside")
         # A text is in nodes of up to all tries: so many at a time that their blocks stay within twice the large groups' own size.
         rounds = -(-inside.agg(F.sum("n")).first()[0] // (2 * large.agg(F.sum("n")).first()[0]))
         first = [f for r in range(rounds) for f in verify(inside.filter(F.col("tree") % rounds == r), "node")]
         classes = components(reduce(DataFrame.union, first).select(F.col("tid").alias("a"), F.col("root").alias("b")))
         whole = classes.join(large, F.col("node") == F.col("tid")).select("tid", "root", "n", F.lit(None).cast("int").alias("tree"))
-        parts += verify(materialize(_sized(whole, "root"), "lsh-classes"), "root")
+        parts += verify(keep(_sized(whole, "root"), "lsh-classes"), "root")
         discard(spark, inside, *first)
     if before:
         kept = before.found.join(members.select("tid"), "tid", "left_anti")
-        found = materialize(reduce(DataFrame.union, [*parts, kept]), "lsh-found")
+        found = keep(reduce(DataFrame.union, [*parts, kept]), "lsh-found")
     else:
-        found = materialize(reduce(DataFrame.union, parts), "lsh-found") if len(parts) > 1 else parts[0]
+        found = keep(reduce(DataFrame.union, parts), "lsh-found") if len(parts) > 1 else parts[0]
     discard(spark, nodes, sized, members, *(p for p in parts if p is not found))
     return _Level(groups, found)
 
@@ -390,7 +410,7 @@ def _verify(texts_of, texts: DataFrame, dealt: DataFrame, threshold: float, at:
     rows = texts_of(dealt.join(texts.select("tid", "doc_id", "labels"), "tid").drop("n"))
     rows = rows.select("tid", "unit", "blocks", "tree", "labels", "text", F.pmod(begin + F.col("own"), F.lit(n)).cast("int").alias("place"))
     rows = rows.repartitionById(n, F.col("place")).drop("place").sortWithinPartitions("unit")
-    found = [materialize(rows.mapInArrow(_within(threshold, at, depth, folder), UNIT), "lsh-found")]
+    found = [keep(rows, "lsh-found", _within(threshold, at, depth, folder), UNIT)]
     blocks = dealt.filter("blocks > 1").select("group", "blocks", "own", "unit").distinct()
     if not blocks.isEmpty():
         others = blocks.select("group", F.col("own").alias("high"), F.col("unit").alias("other"))
@@ -398,7 +418,7 @@ def _verify(texts_of, texts: DataFrame, dealt: DataFrame, threshold: float, at:
         number = low * F.col("blocks") - F.floor(low * (low + 1) / 2) + F.col("high") - low
         pairs = blocks.join(others, "group").filter("own < high").select("unit", "other", F.pmod(begin + number, F.lit(n)).cast("int").alias("place"))
         pairs = pairs.repartitionById(n, F.col("place")).drop("place").sortWithinPartitions("unit", "other")
-        found.append(materialize(pairs.mapInArrow(_across(threshold, at, depth, folder), UNIT), "lsh-found"))
+        found.append(keep(pairs, "lsh-found", _across(threshold, at, depth, folder), UNIT))
         remove(spark, folder)
     return found
 
@@ -414,7 +434,7 @@ def near_duplicates(df: DataFrame, **options) -> DataFrame:
     texts = rows.groupBy("tid").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
     full = texts.join(linked, "tid", "left").withColumn("root", F.coalesce("root", "tid"))
     classes = full.groupBy("root").agg(F.min("least").alias("class_id"))
-    info = materialize(full.join(classes, "root").select("tid", "class_id", F.coalesce("links", F.lit(0)).alias("links"), "copies"), "lsh-info")
+    info = keep(full.join(classes, "root").select("tid", "class_id", F.coalesce("links", F.lit(0)).alias("links"), "copies"), "lsh-info")
     return rows.join(info, "tid").select("doc_id", "class_id", "links", "copies")
 
 
@@ -424,7 +444,7 @@ def drop_near_duplicates(df: DataFrame, **options) -> DataFrame:
     rows, linked = find_links(df, **options)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "tid")
     tagged = rows.join(linked.select("tid", "root"), "tid", "left").withColumn("root", F.coalesce("root", "tid"))
-    kept = materialize(tagged.groupBy("root").agg(F.min(order).alias("o")).select(F.col("o.doc_id").alias("kept_id"), F.col("o.tid").alias("kept_tid")), "lsh-kept")
+    kept = keep(tagged.groupBy("root").agg(F.min(order).alias("o")).select(F.col("o.doc_id").alias("kept_id"), F.col("o.tid").alias("kept_tid")), "lsh-kept")
     key = "__neardup_tid"
     keyed = df.withColumn(key, _tid(F.coalesce(F.col(text_col), F.lit(""))))
     out = keyed.join(kept, (F.col(key) == F.col("kept_tid")) & F.col(id_col).eqNullSafe(F.col("kept_id")), "left_semi")

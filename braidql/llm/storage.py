@@ -11,8 +11,13 @@ import gc
 import tempfile
 import time
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 _OWN: dict[str, str] = {}
 RELEASE_SECONDS = 5
@@ -53,6 +58,72 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     return spark.read.schema(spark.read.parquet(path).schema).parquet(path)
 
 
+def keep(df: DataFrame, name: str, step: Callable | None = None, schema: str | None = None) -> DataFrame:
+    """``materialize`` with Python workers as writers, for the many tables of one operator.
+
+    For each file of Spark's writers, Hadoop's local file system starts
+    ``chmod`` three times.  A child that is being started shares its parent's
+    memory, so that an executor is seen to take twice what it has.  Columns of
+    other than plain types go through Spark's writer.
+
+    With ``step``, what it makes of the rows (as for ``mapInArrow``, of type
+    ``schema``) is written, by the same workers.
+    """
+    kind = T.StructType.fromDDL(schema) if schema else df.schema
+    if not all(plain(f.dataType) for f in kind):
+        return materialize(df.mapInArrow(step, kind) if step else df, name)
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(folder)
+    df.mapInArrow(_part_of(path, step), "done boolean").write.format("noop").mode("overwrite").save()
+    release(spark)
+    return spark.read.schema(kind).parquet(path)
+
+
+def plain(kind: T.DataType) -> bool:
+    """Whether Arrow's Parquet files hold this type as Spark's do."""
+    if isinstance(kind, T.ArrayType):
+        return plain(kind.elementType)
+    return kind in (T.StringType(), T.BinaryType(), T.BooleanType(), T.ByteType(), T.ShortType(), T.IntegerType(), T.LongType(), T.FloatType(), T.DoubleType())
+
+
+def _part_of(path: str, step: Callable | None):
+    """Writes a task's rows to one file, which appears by a rename; none for no rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, folder = open_fs(path)
+        part = f"part-{TaskContext.get().partitionId():05d}.parquet"
+        temporary = f"{folder}/.{part}.{uuid.uuid4().hex}.tmp"
+        out = writer = None
+        for rows in _groups(step(batches) if step else batches):
+            if writer is None:
+                out = fs.open_output_stream(temporary)
+                writer = pq.ParquetWriter(out, rows.schema, compression="zstd")
+            writer.write_table(rows)
+        if writer is not None:
+            writer.close()
+            out.close()
+            fs.move(temporary, f"{folder}/{part}")
+        yield from ()
+
+    return run
+
+
+def _groups(batches: Iterator[pa.RecordBatch], most: int = 16 << 20) -> Iterator[pa.Table]:
+    """The batches put together to row groups of about ``most`` bytes."""
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.nbytes
+        if size >= most:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def release(spark: SparkSession) -> None:
     """Have the shuffle files of finished queries deleted, every few seconds at most.
 

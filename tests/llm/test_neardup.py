@@ -1,6 +1,10 @@
 import collections
+import os
 import random
 import re
+import shutil
+import subprocess
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -10,9 +14,12 @@ from pyspark.sql import functions as F
 from braidql.llm import neardup
 from braidql.llm.components import components
 from braidql.llm.queries import QUERIES
+from braidql.llm.storage import keep
 
 from .conftest import prose
 
+REPO = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
 
 def lower(s):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in s)
@@ -214,3 +221,46 @@ def test_few_unwanted_rows_are_shuffled_and_no_wanted_one_is_lost(spark):
     kept = {r.id for r in neardup._likely(spark.range(5000), F.xxhash64("id"), wanted).collect()}
     assert kept >= set(range(0, 5000, 50)) and len(kept) < 110
     assert neardup._likely(spark.range(9), F.xxhash64("id"), wanted.limit(0)).count() == 0
+
+
+def test_writes_start_no_processes(tmp_path):
+    """Tasks write without Hadoop's ``chmod``, during whose start an executor's memory is seen twice."""
+    log, wrapper = tmp_path / "started", tmp_path / "bin" / "chmod"
+    wrapper.parent.mkdir()
+    wrapper.write_text(f'#!/bin/sh\necho "$@" >> {log}\nexec {shutil.which("chmod")} "$@"\n')
+    wrapper.chmod(0o755)
+    code = f"""
+from pyspark.sql import SparkSession
+from braidql.llm import neardup
+from tests.llm.conftest import prose
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "4").config("spark.checkpoint.dir", "file://{tmp_path}/shared").getOrCreate()
+rows = [(i, prose(i % 3, 80) + " more" * (i % 2)) for i in range(12)]
+print("links", neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).agg({{"links": "sum"}}).first()[0])
+"""
+    env = os.environ | {"PATH": f"{wrapper.parent}:{os.environ['PATH']}", "PYTHONPATH": REPO}
+    said = subprocess.run([sys.executable, "-c", code], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert "links 12" in said.stdout, said.stderr[-2000:]
+    assert [x for x in (log.read_text().splitlines() if log.exists() else []) if "attempt_" in x] == []
+
+
+@pytest.mark.parametrize("kind", ["date", "decimal(12,2)", "interval year", "string"])
+def test_ids_of_other_types(spark, kind):
+    """Ids that Arrow's files hold otherwise, or not at all, come back as they were."""
+    made = {"date": "date_add(date'1500-01-01', id::int)", "decimal(12,2)": "id::decimal(12,2)", "interval year": "make_ym_interval(id::int, 0)::interval year", "string": "concat('é', id)"}[kind]
+    df = spark.range(6).selectExpr(f"{made} AS doc_id", f"concat('{prose(1, 60)}', if(id % 2 = 0, ' even', '')) AS text")
+    out = neardup.near_duplicates(df)
+    assert out.schema["doc_id"].dataType == out.schema["class_id"].dataType == df.schema["doc_id"].dataType
+    assert out.selectExpr("doc_id::string d", "class_id::string c", "links", "copies").orderBy("d").collect() == df.selectExpr("doc_id::string d", "(min(doc_id) OVER ())::string c", "1L links", "3L copies").orderBy("d").collect()
+
+
+def test_kept_tables(spark):
+    """Several row groups and files, nulls, arrays; tables and files without rows."""
+    df = spark.range(0, 50_000, 1, 3).selectExpr("id", "if(id % 7 = 0, null, repeat(md5(id::string), 20)) s", "if(id % 5 = 0, null, array(id, null, -id)) a", "id::int i", "encode(id::string, 'utf-8') b", "id / 3 d", "id % 2 = 0 t")
+    kept = keep(df, "kept")
+    assert kept.schema == df.schema.__class__([f.__class__(f.name, f.dataType) for f in df.schema])
+    assert kept.exceptAll(df).isEmpty() and df.exceptAll(kept).isEmpty() and len(kept.inputFiles()) == 3
+    assert len(keep(df.filter("id < 10"), "kept").inputFiles()) == 1
+    empty = keep(df.limit(0), "kept")
+    assert empty.columns == df.columns and empty.isEmpty()
+    stepped = keep(df, "kept", lambda batches: (b.select(["id"]) for b in batches), "id long")
+    assert stepped.agg(F.sum("id")).first()[0] == sum(range(50_000))
