@@ -4,8 +4,8 @@ Every document gets a 60-bit hash.  Tokens are summed by source and hash
 bucket; in each source the budget falls inside one bucket at most, and only
 the rows of that bucket are counted again over ten finer bits, until a single
 hash value is left.  The result is one threshold for each source: documents
-below it are taken once more than the rest.  Nothing is sorted and no row
-leaves its partition; what moves is ``sources x 1024`` partial sums a level.
+below it are taken once more than the rest.  What moves is each row's id,
+source, size and hash once, and ``sources x 1024`` partial sums a level.
 
 DataFrame functions only.
 
@@ -76,10 +76,9 @@ def mixing_plan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     the shared folder so that the texts are read once.  ``plan``: one row for
     each source with its size, target, whole copies ``base`` and ``threshold``.
     """
-    sized = materialize(
-        df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), row_hash(F.col(id_col), seed).alias("hash")),
-        "mix-sizes",
-    )
+    sized = df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), row_hash(F.col(id_col), seed).alias("hash"))
+    # As many files as the small rows need, instead of one for each task that read the texts.
+    sized = materialize(sized.hint("rebalance"), "mix-sizes")
     sizes = sized.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
     state = (
         source_targets(sizes, weights, cap)

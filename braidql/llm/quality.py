@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from .storage import give_back, materialize
 from .textops import SPACES, column_bytes, mix64, slices, span_hashes, word_hashes, word_spans
 
 LINE_END = np.zeros(256, bool)
@@ -216,6 +216,7 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label", o
             bounds, index, value, stats = features(*column_bytes(batch.column("text")), _meta(batch, names), bits)
             blobs = [(index[a:b].tobytes(), value[a:b].tobytes()) for a, b in zip(bounds, bounds[1:], strict=False)]
             yield pa.RecordBatch.from_pydict({"o": batch.column("o"), "label": batch.column("label"), "i": pa.array([x for x, _ in blobs], pa.binary()), "v": pa.array([x for _, x in blobs], pa.binary()), "s": pa.array([r.tobytes() for r in stats], pa.binary())})
+        give_back()
 
     extracted = materialize(rows.mapInArrow(extract, "o long, label int, i binary, v binary, s binary"), "quality-features")
     sizes = sorted(extracted.select("o", F.octet_length("i") + F.octet_length("v") + F.octet_length("s")).collect())
@@ -244,6 +245,7 @@ def score(df: DataFrame, model: FactorMachine | None, text_col: str = "text", me
     def judge(texts: pa.Array, *meta: pa.Array) -> pa.Array:
         table = pa.RecordBatch.from_arrays([texts, *meta], ["text", *names])
         parts = [held.value.scores(*features(*column_bytes(b.column("text")), _meta(b, names), held.value.bits)) for b in slices(iter([table]), "text")]
+        give_back()
         return pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
 
     return df.withColumn(out, judge(F.col(text_col), *[F.col(c).cast("double") for c in meta_cols]))

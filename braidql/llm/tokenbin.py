@@ -38,7 +38,7 @@ FILE_IDS = 1 << 27
 
 def _writer(path: str, tokenizer: str, end_id: int | None, width: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .storage import write_atomically
+        from .storage import give_back, write_atomically
         from .tokens import encoder
 
         part, number = TaskContext.get().partitionId(), 0
@@ -68,6 +68,7 @@ def _writer(path: str, tokenizer: str, end_id: int | None, width: int):
             size = write_atomically(name, stream())
             yield pa.RecordBatch.from_pydict({"part": pa.array([part << 16 | number], pa.int64()), "path": [name], "docs": [docs], "tokens": [tokens], "bytes": [size]})
             number += 1
+        give_back()
 
     return write
 

@@ -278,3 +278,11 @@ def test_equal_texts_score_equally_and_the_sample_is_bounded(spark):
     bounded = quality.fit(labelled, feature_bytes=5000)
     own = quality.fit(labelled.filter("order < 6"), feature_bytes=1 << 30)
     assert bounded.mean.tolist() != model.mean.tolist() and len(bounded.mean) == len(own.mean)
+
+
+def test_mix_keeps_few_files(spark, docs):
+    """The sizes that every pass reads lie in as many files as they need, not in one for each task that read texts."""
+    parts = docs.repartition(40)
+    sized, _ = mixing.mixing_plan(parts)
+    assert sized.count() == docs.count() and len(sized.inputFiles()) <= 4
+    assert sorted(mixing.mix(parts).collect(), key=repr) == sorted(mixing.mix(docs.coalesce(1)).collect(), key=repr)
