@@ -264,3 +264,23 @@ def test_kept_tables(spark):
     assert empty.columns == df.columns and empty.isEmpty()
     stepped = keep(df, "kept", lambda batches: (b.select(["id"]) for b in batches), "id long")
     assert stepped.agg(F.sum("id")).first()[0] == sum(range(50_000))
+
+
+def test_workers_return_memory(spark):
+    """A worker that has had much memory holds little after its task."""
+
+    def fill(batches):
+        for batch in batches:
+            pieces = [bytes(2000) for _ in range(150_000)]  # 300 MB, of which the last piece stays
+            sys.modules["sys"].last_piece = pieces.pop()
+            del pieces
+            yield batch
+
+    def held(batches):
+        for batch in batches:
+            with open("/proc/self/status") as f:
+                size = next(int(line.split()[1]) for line in f if line.startswith("RssAnon")) // 1024
+            yield pa.RecordBatch.from_pydict({"mb": pa.array([size] * batch.num_rows, pa.int64())})
+
+    keep(spark.range(0, 4, 1, 4), "kept", fill, "id long")
+    assert spark.range(0, 4, 1, 4).mapInArrow(held, "mb long").agg(F.max("mb")).first()[0] < 250
